@@ -1,7 +1,13 @@
 """Registered queries over the input tables."""
 
+import importlib
+
+MODULES = ["transit_queries", "feed_queries"]
+
 
 def all_queries():
-    from reachlake.catalog import registry, transit_queries  # noqa: F401
+    from reachlake.catalog import registry
 
+    for name in MODULES:
+        importlib.import_module(f"reachlake.catalog.{name}")
     return registry.QUERIES, registry.ORACLES
