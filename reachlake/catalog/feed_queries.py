@@ -366,9 +366,8 @@ def running_services(spark, sf_dir):
 
 
 @query("merge_feeds", D.with_views(["f_stops", "f_routes"], """
-    select stop_id, case when stop_id in (select route_id from f_routes) then 'right' else 'left' end side, stop_name from f_stops
-    union all select route_id, 'right', route_short_name from f_routes where route_id not in (select stop_id from f_stops)"""
-    ).replace("stop_name from f_stops", "case when stop_id in (select route_id from f_routes) then (select route_short_name from f_routes r where r.route_id=f_stops.stop_id) else stop_name end stop_name from f_stops", 1))
+    select coalesce(route_id, stop_id) stop_id, case when route_id is null then 'left' else 'right' end side,
+           coalesce(route_short_name, stop_name) stop_name from f_stops full join f_routes on stop_id=route_id"""))
 def merge_feeds(spark, sf_dir):
     feed = read(spark, sf_dir, "stops", "routes", "agency")
     mine = feed["stops"].select("stop_id", F.lit("left").alias("side"), "stop_name")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -57,8 +57,14 @@ def written(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_observed(df: DataFrame, label: str = "step", **aggs: Column) -> tuple[DataFrame, dict]:
+    """Like :func:`written`, with aggregates over the rows taken in the same job."""
+    seen = Observation()
+    out = written(df.observe(seen, *[c.alias(n) for n, c in aggs.items()]), label)
+    return out, dict(seen.get)
+
+
 def written_with_count(df: DataFrame, label: str = "step") -> tuple[DataFrame, int]:
     """Like :func:`written`; the row count comes from the same job."""
-    seen = Observation()
-    out = written(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
-    return out, int(seen.get["n"])
+    out, seen = written_observed(df, label, n=F.count(F.lit(1)))
+    return out, int(seen["n"])
