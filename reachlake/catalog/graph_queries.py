@@ -15,15 +15,15 @@ from reachlake.sources import derived as D
 
 def best_edges(spark, sf_dir):
     """Sparse directed graph: a preferred out edge and in edge of every stop."""
-    e = D.hop_edges(spark, sf_dir).withColumn("h", (F.col("src") * 7 + F.col("dst") * 13) % 101)
+    e = D.hop_edges(spark, sf_dir).withColumn("h", (F.col("src") * F.col("src") * 7 + F.col("dst") * F.col("dst") * 13 + F.col("src") * F.col("dst") * 5) % 101)
     out = first_per_key(e, ["src"], ["h", "dst"])
     into = first_per_key(e, ["dst"], ["h", "src"])
     return out.unionByName(into).select("src", "dst", "weight").distinct()
 
 
 D.SQL["best_edges"] = """select distinct src, dst, weight from (
-    select *, row_number() over (partition by src order by (src*7+dst*13)%101, dst) a,
-      row_number() over (partition by dst order by (src*7+dst*13)%101, src) b from hop_edges) where a=1 or b=1"""
+    select *, row_number() over (partition by src order by (src*src*7+dst*dst*13+src*dst*5)%101, dst) a,
+      row_number() over (partition by dst order by (src*src*7+dst*dst*13+src*dst*5)%101, src) b from hop_edges) where a=1 or b=1"""
 D._NEEDS["best_edges"] = ["hop_edges"]
 D.SQL["cheap_roads"] = "select * from road_edges where weight<=110"
 D._NEEDS["cheap_roads"] = ["road_edges"]
@@ -137,7 +137,7 @@ def graph_retain(spark, sf_dir):
 
 
 @query("graph_filter_map", D.with_views(["hop_edges", "stops"], """
-    select src, dst, weight/60 minutes from hop_edges where weight>=840 and src in (select stop_id from stops where x>=y)
+    select src, dst, weight/60 as minutes from hop_edges where weight>=840 and src in (select stop_id from stops where x>=y)
       and dst in (select stop_id from stops where x>=y)"""))
 def graph_filter_map(spark, sf_dir):
     return G.filter_map(stop_vertices(spark, sf_dir), D.hop_edges(spark, sf_dir), F.col("x") >= F.col("y"), [F.col("x")],
@@ -327,10 +327,10 @@ def simple_paths(spark, sf_dir):
 
 @query("spanning_forest", D.with_views(["trade_edges"], """with recursive e as materialized (select least(src,dst)*100+greatest(src,dst) edge_id, least(src,dst) src, greatest(src,dst) dst, sum(weight) weight
       from trade_edges where src<>dst group by 1,2,3),
-    r(edge_id, w, goal, at) as (select edge_id, weight, dst, src from e union
-      select r.edge_id, r.w, r.goal, case when e.src=r.at then e.dst else e.src end from r join e on (e.src=r.at or e.dst=r.at)
+    r(edge_id, w, goal, pos) as (select edge_id, weight, dst, src from e union
+      select r.edge_id, r.w, r.goal, case when e.src=r.pos then e.dst else e.src end from r join e on (e.src=r.pos or e.dst=r.pos)
         and (e.weight<r.w or (e.weight=r.w and e.edge_id<r.edge_id)))
-    select edge_id, src, dst, weight from e where edge_id not in (select edge_id from r where at=goal)"""))
+    select edge_id, src, dst, weight from e where edge_id not in (select edge_id from r where pos=goal)"""))
 def spanning_forest(spark, sf_dir):
     e = G.canonical(D.trade_edges(spark, sf_dir)).where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     return C.spanning_forest(e.withColumn("edge_id", F.col("src") * 100 + F.col("dst")))

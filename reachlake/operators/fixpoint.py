@@ -7,7 +7,7 @@ never rewrites it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -46,6 +46,30 @@ class Adjacency:
         self.edges.unpersist()
 
 
+class Deltas:
+    """Tables added round by round, with few enough of them to keep plans short.
+
+    When there are many, the recent ones are merged into one, together with the oldest only once
+    they have grown to half its size, so a row is rewritten a logarithmic number of times.
+    """
+
+    def __init__(self, merge: Callable[[DataFrame], DataFrame] = lambda df: df, most: int = 6):
+        self.merge = merge
+        self.most = most
+        self.parts: list[tuple[DataFrame, int]] = []
+
+    def add(self, df: DataFrame, n: int) -> None:
+        self.parts.append((df, n))
+        if len(self.parts) > self.most:
+            first = self.parts[0][1]
+            keep = 0 if sum(n for _, n in self.parts[1:]) * 2 >= first else 1
+            old = union_all([d for d, _ in self.parts[keep:]])
+            self.parts[keep:] = [written_with_count(self.merge(old), "merged")]
+
+    def union(self) -> DataFrame:
+        return union_all([d for d, _ in self.parts])
+
+
 def relax(
     seeds: DataFrame,
     edges: DataFrame,
@@ -54,14 +78,13 @@ def relax(
     keep: Column | None = None,
     expand: Column | None = None,
     max_rounds: int | None = None,
-    hops: int = 1,
 ) -> tuple[DataFrame, int]:
     """Least cost per ``(group, id)`` from ``seeds(group..., id, cost)`` along ``edges(src, dst, ...)``.
 
     ``step`` is the new cost in terms of ``cost`` and the edge columns (default ``cost + weight``).
     ``keep`` drops candidate labels, ``expand`` says which labels travel on; both see ``cost``,
-    ``id`` and the group columns. ``hops`` steps are taken per job. Returns the labels
-    ``(group..., id, cost, pred, hop)`` and the number of rounds; with ``max_rounds`` reached while
+    ``id`` and the group columns. Returns the labels ``(group..., id, cost, pred, hop)`` and the
+    number of rounds; with ``max_rounds`` reached while
     labels still improve, that number is ``max_rounds + 1``.
     """
     group = list(group)
@@ -86,29 +109,22 @@ def relax(
     if keep is not None:
         start = start.where(keep)
     frontier, n = written_with_count(start, "labels")
-    deltas = [frontier]
+    deltas = Deltas(best)
+    deltas.add(frontier, n)
     rounds = 0
     while n and (max_rounds is None or rounds < max_rounds):
         rounds += 1
-        cur = frontier
-        steps = []
-        for i in range(hops):
-            grow = cur if expand is None else cur.where(expand)
-            out = adjacency.join(grow.withColumnRenamed("id", "src"))
-            cur = out.select(
-                *group,
-                F.col("dst").alias("id"),
-                step.alias("cost"),
-                (F.col("hop") + 1).alias("hop"),
-                F.col("src").alias("pred"),
-            )
-            if keep is not None:
-                cur = cur.where(keep)
-            if i + 1 < hops:
-                cur = best(cur)
-            steps.append(cur)
-        cands = union_all(steps)
-        old = union_all(deltas).select(*keys, F.col("cost").alias("old"), F.lit(None).alias("new"))
+        grow = frontier if expand is None else frontier.where(expand)
+        cands = adjacency.join(grow.withColumnRenamed("id", "src")).select(
+            *group,
+            F.col("dst").alias("id"),
+            step.alias("cost"),
+            (F.col("hop") + 1).alias("hop"),
+            F.col("src").alias("pred"),
+        )
+        if keep is not None:
+            cands = cands.where(keep)
+        old = deltas.union().select(*keys, F.col("cost").alias("old"), F.lit(None).alias("new"))
         new_type = "struct<cost:{},hop:int,pred:{}>".format(
             cands.schema["cost"].dataType.simpleString(), id_type.simpleString()
         )
@@ -127,13 +143,8 @@ def relax(
             merged.where(better).select(*keys, "new.cost", "new.hop", "new.pred"), "labels"
         )
         if n:
-            deltas.append(frontier)
+            deltas.add(frontier, n)
     adjacency.release()
     if n:
         rounds += 1
-    return best(union_all(deltas)), rounds
-
-
-def bounded_relax_rounds(result: tuple[DataFrame, int], limit: int) -> bool:
-    """True when the loop ended on its own."""
-    return result[1] <= limit
+    return best(deltas.union()), rounds

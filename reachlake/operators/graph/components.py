@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reachlake.operators.fixpoint import Adjacency, relax, union_all
+from reachlake.operators.fixpoint import Adjacency, Deltas, relax, union_all
 from reachlake.operators.graph.basic import both_ways, reverse, vertices_of
-from reachlake.operators.skew import small_or_plain
 from reachlake.session import written, written_observed, written_with_count
 
 
@@ -58,21 +57,25 @@ def topological_levels(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame
     need = written(vertices.select("id").join(need, "id", "left").select("id", F.coalesce("need", F.lit(0)).alias("need")), "need")
     adjacency = Adjacency(edges.select("src", "dst"))
     ready, n = written_with_count(need.where("need = 0").select("id", F.lit(0).alias("level")), "peel")
-    peeled, passed = [ready], []
+    def total(df):
+        return df.groupBy("id").agg(F.sum("done").alias("done"))
+
+    peeled, passed, level = Deltas(), Deltas(total), 0
+    peeled.add(ready, n)
     while n:
-        level = len(peeled)
+        level += 1
         step = adjacency.join(ready.select(F.col("id").alias("src"))).groupBy(F.col("dst").alias("id")).agg(
             F.count("*").alias("done"))
-        step = written(step, "passed")
-        passed.append(step)
+        step, m = written_with_count(step, "passed")
+        passed.add(step, m)
         # Only vertices touched this round can have become ready.
-        total = union_all(passed).join(step.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("done").alias("done"))
+        sums = total(passed.union().join(step.select("id"), "id", "left_semi"))
         ready, n = written_with_count(
-            total.join(need, "id").where("done = need").select("id", F.lit(level).alias("level")), "peel")
+            sums.join(need, "id").where("done = need").select("id", F.lit(level).alias("level")), "peel")
         if n:
-            peeled.append(ready)
+            peeled.add(ready, n)
     adjacency.release()
-    levels = union_all(peeled)
+    levels = peeled.union()
     return levels, vertices.select("id").join(levels, "id", "left_anti")
 
 

@@ -8,15 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from reachlake.operators.fixpoint import Adjacency, relax, union_all
+from reachlake.operators.fixpoint import Adjacency, Deltas, relax, union_all
 from reachlake.operators.graph.basic import reverse
 from reachlake.session import written, written_with_count
 
 
-def hop_levels(sources: DataFrame, edges: DataFrame, hops: int = 1) -> DataFrame:
+def hop_levels(sources: DataFrame, edges: DataFrame) -> DataFrame:
     """Breadth-first levels ``source, id, level`` from each ``sources(source, id)``."""
     seeds = sources.select("source", "id", F.lit(0).alias("cost"))
-    labels, _ = relax(seeds, edges, ["source"], step=F.col("cost") + 1, hops=hops)
+    labels, _ = relax(seeds, edges, ["source"], step=F.col("cost") + 1)
     return labels.select("source", "id", F.col("cost").alias("level"))
 
 
@@ -28,7 +28,7 @@ def has_path(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def shortest_paths(sources: DataFrame, edges: DataFrame, weight: Column | None = None,
-                   goals: DataFrame | None = None, max_cost: float | None = None, hops: int = 1) -> DataFrame:
+                   goals: DataFrame | None = None, max_cost: float | None = None) -> DataFrame:
     """Least cost ``source, id, cost, pred`` for non-negative weights.
 
     ``weight`` is any expression over the edge columns. With ``goals(source, id)`` only goal rows
@@ -37,7 +37,7 @@ def shortest_paths(sources: DataFrame, edges: DataFrame, weight: Column | None =
     step = F.col("cost") + (F.col("weight") if weight is None else weight)
     keep = None if max_cost is None else F.col("cost") <= max_cost
     seeds = sources.select("source", "id", F.lit(0.0).alias("cost"))
-    labels, _ = relax(seeds, edges, ["source"], step=step, keep=keep, hops=hops)
+    labels, _ = relax(seeds, edges, ["source"], step=step, keep=keep)
     out = labels.select("source", "id", "cost", "pred")
     return out if goals is None else out.join(goals, ["source", "id"], "left_semi")
 
@@ -65,10 +65,9 @@ def trace_back(labels: DataFrame, goals: DataFrame, max_steps: int | None = None
 def bellman_ford(sources: DataFrame, edges: DataFrame, vertex_count: int) -> tuple[DataFrame, bool]:
     """Least costs with negative weights allowed, and whether a negative cycle was met."""
     seeds = sources.select("source", "id", F.lit(0.0).alias("cost"))
-    # Four steps a round; labels that still improve after V steps are on or behind such a cycle.
-    limit = -(-vertex_count // 4) + 1
-    labels, rounds = relax(seeds, edges, ["source"], max_rounds=limit, hops=4)
-    return labels.select("source", "id", "cost", "pred"), rounds > limit
+    # Labels that still improve after V steps are on or behind such a cycle.
+    labels, rounds = relax(seeds, edges, ["source"], max_rounds=vertex_count)
+    return labels.select("source", "id", "cost", "pred"), rounds > vertex_count
 
 
 class NegativeCycle(ValueError):
@@ -106,17 +105,20 @@ def k_shortest_walks(sources: DataFrame, edges: DataFrame, k: int, weight: Colum
     adjacency = Adjacency(edges)
     by = W.partitionBy("source", "id").orderBy("cost", "hop")
     front, n = written_with_count(sources.select("source", "id", F.lit(0.0).alias("cost"), F.lit(0).alias("hop")), "walks")
-    kept = [front]
+    kept = Deltas()
+    kept.add(front, n)
+    hop = 0
     while n:
+        hop += 1
         grown = adjacency.join(front.withColumnRenamed("id", "src")).select(
             "source", F.col("dst").alias("id"), step.alias("cost"), (F.col("hop") + 1).alias("hop"))
         # Only the k best of a vertex matter; ranks are cut before and after the shuffle.
-        ranked = union_all([*kept, grown]).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-        front, n = written_with_count(ranked.where(F.col("hop") == len(kept)).drop("rank"), "walks")
+        ranked = kept.union().unionByName(grown).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+        front, n = written_with_count(ranked.where(F.col("hop") == hop).drop("rank"), "walks")
         if n:
-            kept.append(front)
+            kept.add(front, n)
     adjacency.release()
-    best = union_all(kept).withColumn("rank", F.row_number().over(by))
+    best = kept.union().withColumn("rank", F.row_number().over(by))
     return best.where(F.col("rank") == k).select("source", "id", "cost")
 
 

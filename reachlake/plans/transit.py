@@ -265,7 +265,7 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.withColumns(back))
 
 
-def street_catchment(bases: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int = 4) -> DataFrame:
+def street_catchment(bases: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Walking seconds from each base ``(base_id, x, y)`` to the street nodes it reaches.
 
     Nodes within 100 m are reached straight, then streets are followed both ways; a node at or past
@@ -281,7 +281,7 @@ def street_catchment(bases: DataFrame, nodes: DataFrame, edges: DataFrame, hops:
     )
     both = undirected(edges.select("src", "dst", "weight"))
     step = F.col("cost") + F.col("weight") / STREET_SPEED
-    labels, _ = relax(seeds, both, ["base_id"], step=step, expand=F.col("cost") < STREET_SECONDS, hops=hops)
+    labels, _ = relax(seeds, both, ["base_id"], step=step, expand=F.col("cost") < STREET_SECONDS)
     return labels.select("base_id", F.col("id").alias("node_id"), F.col("cost").alias("walk_s"))
 
 

@@ -53,7 +53,7 @@ def written(df: DataFrame, label: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = new_table_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
