@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["transit_queries", "feed_queries", "geo_queries", "graph_queries"]
+MODULES = ["transit_queries", "feed_queries", "geo_queries", "graph_queries", "bike_queries"]
 
 
 def all_queries():

@@ -141,11 +141,10 @@ STOP_BASES = "bases as materialized (select 's'||stop_id base, x, y from stops u
 
 
 @query("street_catchment", D.with_views(["stops", "road_nodes", "road_both", "requests"],
-       f"with recursive {STOP_BASES}, {CATCH_SQL} select base base_id, node node_id, round(s,6) walk_s from catchment where base[1]='s'"))
+       f"with recursive {STOP_BASES}, {CATCH_SQL} select distinct b.x, b.y, node node_id, round(s,6) walk_s from catchment join bases b using (base) where base[1]='s'"))
 def street_catchment(spark, sf_dir):
-    bases = D.stops(spark, sf_dir).select(F.concat(F.lit("s"), "stop_id").alias("base_id"), "x", "y")
-    out = T.street_catchment(bases, D.road_nodes(spark, sf_dir), D.road_edges(spark, sf_dir))
-    return out.select("base_id", "node_id", r6("walk_s", "walk_s"))
+    out = T.street_catchment(D.stops(spark, sf_dir), D.road_nodes(spark, sf_dir), D.road_edges(spark, sf_dir))
+    return out.select("x", "y", "node_id", r6("walk_s", "walk_s"))
 
 
 ISO_SQL = f"""{reach_ctes()}, {STOP_BASES}, {CATCH_SQL},
@@ -155,7 +154,7 @@ ISO_SQL = f"""{reach_ctes()}, {STOP_BASES}, {CATCH_SQL},
 
 
 @query("isochrone", D.with_views(["stops", "stop_times", "requests", "walk", "road_nodes", "road_edges", "road_both"],
-       f"with recursive {ISO_SQL} select a.request_id, edge_id, round((a.t+b.t)/2,6) t, cast(trunc((a.t+b.t)/2) as int) seconds from road_edges join times a on a.node=src "
+       f"with recursive {ISO_SQL} select a.request_id, edge_id, round((a.t+b.t)/2,6) t, cast(trunc((a.t+b.t)/2) as int) as seconds from road_edges join times a on a.node=src "
        "join times b on b.node=dst and a.request_id=b.request_id"))
 def isochrone(spark, sf_dir):
     from reachlake.sources.sinks import edge_seconds
@@ -190,7 +189,7 @@ def edge_seconds_json(spark, sf_dir):
 
 
 @query("hover_edge_seconds", D.with_views(["stops", "stop_times", "requests", "walk", "road_nodes", "road_edges", "road_both"],
-       f"""with recursive {ISO_SQL} select e.edge_id, coalesce(cast(trunc((a.t+b.t)/2) as int), -1) seconds from road_edges e
+       f"""with recursive {ISO_SQL} select e.edge_id, coalesce(cast(trunc((a.t+b.t)/2) as int), -1) as seconds from road_edges e
          left join times a on a.node=src and a.request_id=0 left join times b on b.node=dst and b.request_id=0"""))
 def hover_edge_seconds(spark, sf_dir):
     from reachlake.sources.sinks import edge_seconds
@@ -301,9 +300,8 @@ def itinerary_details(spark, sf_dir):
 
     asked, net = D.requests(spark, sf_dir), network(spark, sf_dir)
     labels = written(T.reach(asked, net), "labels")
-    bases = net.stops.select(F.col("stop_id").alias("base_id"), "x", "y")
     nodes, edges = D.road_nodes(spark, sf_dir), D.road_edges(spark, sf_dir)
-    times = written(T.node_times(labels, T.street_catchment(bases, nodes, edges)), "times")
+    times = written(T.search_times(labels, asked, net, nodes, edges), "times")
     targets = asked.select("request_id", F.lit(0).cast("long").alias("target_id"),
                            ((F.col("x") + 2500) % 8009).alias("x"), ((F.col("y") * 3 + 500) % 4009).alias("y"))
     ends = written(I.access_nodes(targets, nodes, times), "ends")
@@ -351,8 +349,7 @@ def access_node_of_target(spark, sf_dir):
     asked, net = D.requests(spark, sf_dir), network(spark, sf_dir)
     labels = T.reach(asked, net)
     nodes, edges = D.road_nodes(spark, sf_dir), D.road_edges(spark, sf_dir)
-    stops_, reqs = net.stops.select(F.col("stop_id").alias("base_id"), "x", "y"), asked.select(F.col("request_id").alias("base_id"), "x", "y")
-    times = T.node_times(labels, T.street_catchment(stops_, nodes, edges), asked, T.street_catchment(reqs, nodes, edges))
+    times = T.search_times(labels, asked, net, nodes, edges)
     targets = asked.select("request_id", F.lit(0).cast("long").alias("target_id"),
                            ((F.col("x") + 2500) % 8009).alias("x"), ((F.col("y") * 3 + 500) % 4009).alias("y"))
     return I.access_nodes(targets, nodes, times).select("request_id", "node_id", r6("arrival", "arrival"))

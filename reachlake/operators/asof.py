@@ -25,7 +25,7 @@ def next_departure(labels: DataFrame, departures: DataFrame, pattern: Sequence[s
     buses = departures.select(
         *keys, F.col("time").cast("double").alias("at"), F.lit(1).alias("kind"), F.col("seq").cast("long").alias("a"),
         F.col("trip_id").cast("long").alias("b"),
-        F.struct(F.col("time").cast("long"), F.col("seq").cast("long"), F.col("trip_id").cast("long")).alias("dep"))
+        F.struct(*[F.col(c).cast("long").alias(c) for c in ("time", "seq", "trip_id")]).alias("dep"))
     scan = OrderedScan(asks.unionByName(buses), keys, ["at", "kind", "a", "b"]).fill_next("next", F.col("dep"))
     return scan.frame().where("kind = 0 and next is not null").select(
         F.col("a").alias("label_id"), *keys, "next.time", "next.seq", "next.trip_id")

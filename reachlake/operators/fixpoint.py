@@ -78,13 +78,18 @@ def relax(
     keep: Column | None = None,
     expand: Column | None = None,
     max_rounds: int | None = None,
+    via: str | None = None,
+    goals: DataFrame | None = None,
+    bound: Column | None = None,
 ) -> tuple[DataFrame, int]:
     """Least cost per ``(group, id)`` from ``seeds(group..., id, cost)`` along ``edges(src, dst, ...)``.
 
     ``step`` is the new cost in terms of ``cost`` and the edge columns (default ``cost + weight``).
     ``keep`` drops candidate labels, ``expand`` says which labels travel on; both see ``cost``,
-    ``id`` and the group columns. Returns the labels ``(group..., id, cost, pred, hop)`` and the
-    number of rounds; with ``max_rounds`` reached while
+    ``id`` and the group columns. ``via`` names an edge column to keep with the label. With
+    ``goals(group..., id)`` labels that cannot beat the cost already found at the goal are dropped;
+    ``bound`` is a lower bound of the cost still ahead, in terms of edge and group columns. Returns
+    the labels ``(group..., id, cost, hop, pred[, via])`` and the number of rounds; with ``max_rounds`` reached while
     labels still improve, that number is ``max_rounds + 1``.
     """
     group = list(group)
@@ -92,9 +97,11 @@ def relax(
     step = F.col("cost") + F.col("weight") if step is None else step
     adjacency = Adjacency(edges)
 
+    facts = ["cost", "hop", "pred", *([via] if via else [])]
+
     def best(cands: DataFrame) -> DataFrame:
-        pick = F.min(F.struct("cost", "hop", "pred")).alias("b")
-        return cands.groupBy(*keys).agg(pick).select(*keys, "b.cost", "b.hop", "b.pred")
+        pick = F.min(F.struct(*facts)).alias("b")
+        return cands.groupBy(*keys).agg(pick).select(*keys, "b.*")
 
     id_type = edges.schema["dst"].dataType
     start = best(
@@ -104,6 +111,7 @@ def relax(
             F.col("cost"),
             F.lit(0).alias("hop"),
             F.lit(None).cast(id_type).alias("pred"),
+            *([F.lit(None).cast(edges.schema[via].dataType).alias(via)] if via else []),
         )
     )
     if keep is not None:
@@ -115,32 +123,34 @@ def relax(
     while n and (max_rounds is None or rounds < max_rounds):
         rounds += 1
         grow = frontier if expand is None else frontier.where(expand)
-        cands = adjacency.join(grow.withColumnRenamed("id", "src")).select(
+        if goals is not None:
+            at_goal = deltas.union().join(goals.select(*keys), keys, "left_semi").groupBy(*group)
+            grow = grow.join(at_goal.agg(F.min("cost").alias("_found")), group, "left")
+        cands = adjacency.join(grow.withColumnRenamed("id", "src").drop(*([via] if via else [])))
+        cands = cands.select(
             *group,
             F.col("dst").alias("id"),
             step.alias("cost"),
             (F.col("hop") + 1).alias("hop"),
             F.col("src").alias("pred"),
+            *([via] if via else []),
+            *([(F.lit(0.0) if bound is None else bound).alias("_ahead"), "_found"] if goals is not None else []),
         )
+        if goals is not None:
+            open_ = F.col("_found").isNull() | (F.col("cost") + F.col("_ahead") <= F.col("_found"))
+            cands = cands.where(open_).drop("_ahead", "_found")
         if keep is not None:
             cands = cands.where(keep)
-        old = deltas.union().select(*keys, F.col("cost").alias("old"), F.lit(None).alias("new"))
-        new_type = "struct<cost:{},hop:int,pred:{}>".format(
-            cands.schema["cost"].dataType.simpleString(), id_type.simpleString()
-        )
-        tagged = old.withColumn("new", F.col("new").cast(new_type)).unionByName(
-            cands.select(
-                *keys,
-                F.lit(None).cast(cands.schema["cost"].dataType).alias("old"),
-                F.struct("cost", "hop", "pred").alias("new"),
-            )
-        )
+        cands = cands.select(*keys, F.lit(None).cast(cands.schema["cost"].dataType).alias("old"), F.struct(*facts).alias("new"))
+        new_type = cands.schema["new"].dataType
+        old = deltas.union().select(*keys, F.col("cost").alias("old"), F.lit(None).cast(new_type).alias("new"))
+        tagged = old.unionByName(cands)
         merged = tagged.groupBy(*keys).agg(F.min("old").alias("old"), F.min("new").alias("new"))
         better = F.col("new").isNotNull() & (
             F.col("old").isNull() | (F.col("new.cost") < F.col("old"))
         )
         frontier, n = written_with_count(
-            merged.where(better).select(*keys, "new.cost", "new.hop", "new.pred"), "labels"
+            merged.where(better).select(*keys, "new.*"), "labels"
         )
         if n:
             deltas.add(frontier, n)

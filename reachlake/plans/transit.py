@@ -265,41 +265,36 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.withColumns(back))
 
 
-def street_catchment(bases: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Walking seconds from each base ``(base_id, x, y)`` to the street nodes it reaches.
+def street_catchment(points: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Walking seconds ``x, y, node_id, walk_s`` from each distinct ``points(x, y)`` to street nodes.
 
     Nodes within 100 m are reached straight, then streets are followed both ways; a node at or past
     1440 s is reached but not left. The result does not depend on times or requests, so one
-    catchment serves every search over the same bases.
+    catchment serves every search over the same places.
     """
-    near = places_within(bases, nodes, STREET_RADIUS)
-    seeds = (
-        bases.select("base_id", "x", "y")
-        .join(near, ["x", "y"])
-        .join(nodes.select(F.col("node_id").alias("id"), F.col("x").alias("x2"), F.col("y").alias("y2")), ["x2", "y2"])
-        .select("base_id", "id", (F.col("dist") / STRAIGHT_SPEED).alias("cost"))
-    )
+    near = places_within(points, nodes, STREET_RADIUS)
+    at = nodes.select(F.col("node_id").alias("id"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    seeds = near.join(at, ["x2", "y2"]).select("x", "y", "id", (F.col("dist") / STRAIGHT_SPEED).alias("cost"))
     both = undirected(edges.select("src", "dst", "weight"))
     step = F.col("cost") + F.col("weight") / STREET_SPEED
-    labels, _ = relax(seeds, both, ["base_id"], step=step, expand=F.col("cost") < STREET_SECONDS)
-    return labels.select("base_id", F.col("id").alias("node_id"), F.col("cost").alias("walk_s"))
+    labels, _ = relax(seeds, both, ["x", "y"], step=step, expand=F.col("cost") < STREET_SECONDS)
+    return labels.select("x", "y", F.col("id").alias("node_id"), F.col("cost").alias("walk_s"))
 
 
-def node_times(labels: DataFrame, catchment: DataFrame, requests: DataFrame | None = None,
-               request_catchment: DataFrame | None = None) -> DataFrame:
+def node_times(labels: DataFrame, stops: DataFrame, catchment: DataFrame, requests: DataFrame | None = None) -> DataFrame:
     """Earliest time per request and street node, with the stop and round it was walked from.
 
-    ``catchment`` is keyed by stop. Walking straight from the request point is included when
-    ``request_catchment`` (keyed by request) is given.
+    ``catchment`` covers the places of the stops and, for walking straight from the request point,
+    those of ``requests``.
     """
-    best = best_labels(labels)
-    walked = best.join(catchment.withColumnRenamed("base_id", "stop_id"), "stop_id").select(
+    best = best_labels(labels).join(stops.select("stop_id", "x", "y"), "stop_id")
+    walked = best.join(catchment, ["x", "y"]).select(
         "request_id", "node_id", (F.col("t") + EXIT_SECONDS + F.col("walk_s")).alias("t"),
         "walk_s", "boardings", F.col("stop_id").alias("from_stop"), F.col("round").alias("from_round"),
     )
-    if request_catchment is not None:
+    if requests is not None:
         walked = walked.unionByName(
-            requests.join(request_catchment.withColumnRenamed("base_id", "request_id"), "request_id").select(
+            requests.join(catchment, ["x", "y"]).select(
                 "request_id", "node_id", (F.col("start") + EXIT_SECONDS + F.col("walk_s")).alias("t"), "walk_s",
                 F.lit(0).alias("boardings"), F.lit(None).cast("long").alias("from_stop"),
                 F.lit(0).alias("from_round"),
@@ -324,10 +319,13 @@ def edge_times(times: DataFrame, edges: DataFrame) -> DataFrame:
 def isochrone(requests: DataFrame, network: Network, nodes: DataFrame, edges: DataFrame, **options) -> DataFrame:
     """Requests to street arrival times: transit search, walking, edge times."""
     labels = reach(requests, network, **options)
-    bases = network.stops.select(F.col("stop_id").alias("base_id"), "x", "y")
-    by_stop = street_catchment(bases, nodes, edges)
-    by_request = street_catchment(requests.select(F.col("request_id").alias("base_id"), "x", "y"), nodes, edges)
-    return edge_times(node_times(labels, by_stop, requests, by_request), edges)
+    return edge_times(search_times(labels, requests, network, nodes, edges), edges)
+
+
+def search_times(labels: DataFrame, requests: DataFrame, network: Network, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Node times of a finished search, one catchment for stops and request points together."""
+    points = network.places.select("x", "y").unionByName(requests.select("x", "y"))
+    return node_times(labels, network.stops, street_catchment(points, nodes, edges), requests)
 
 
 def with_start_times(requests: DataFrame, first: int, last: int, every: int) -> DataFrame:
