@@ -56,7 +56,7 @@ def od_pairs(spark, sf_dir):
     q = D.requests(spark, sf_dir)
     at = lambda x, y, p: [(F.lit(37.0) + y * 9 / 1e6).alias(f"{p}_lat"), (F.lit(-122.0) - x * 12 / 1e6).alias(f"{p}_lon")]
     x, y = F.col("x"), F.col("y")
-    return q.select(F.col("request_id").alias("od_id"), *at(x, y, "start"), *at((x + 2500) % D.EXTENT, (y * 3 + 500) % 4009, "end"),
+    return q.select(F.col("request_id").alias("od_id"), *at(x, y, "start"), *at(F.least(x + 700, F.lit(7800)), F.least(y + 500, F.lit(7800)), "end"),
                     F.lit(0.5).alias("avoid_hills"), F.lit(0.5).alias("prefer_protected_lanes"))
 
 
@@ -125,16 +125,16 @@ def ride_energy(spark, sf_dir):
     return B.energy(ways).select(F.col("od_id").alias("rating"), F.round("calories", 4).alias("calories"), "uphill_meters", "downhill_meters", "total_meters")
 
 
-ROUTE_SQL = f"""pt as (select request_id od, x, y, (x+2500)%8009 x2, (y*3+500)%4009 y2 from requests),
+ROUTE_SQL = f"""pt as (select request_id od, x, y, least(x+700,7800) x2, least(y+500,7800) y2 from requests),
     ll as (select od, 37.0::double+y*9/1e6::double la, -122.0::double-x*12/1e6::double lo, 37.0::double+y2*9/1e6::double la2, -122.0::double-x2*12/1e6::double lo2 from pt),
     s as (select od, arg_min(node_id, row({hav('la','lo','lat','lon')}, node_id)) a, arg_min(node_id, row({hav('la2','lo2','lat','lon')}, node_id)) b from ll, b_nodes group by 1),
-    w(k, od, id, c) as (select 0, od, a, 0.0::double from s union all select k+1, od, dst, min(c+{COST}) from w join b_ways on src=id where k<110 group by 1,2,3),
+    w(k, od, id, c) as (select 0, od, a, 0.0::double from s union all select k+1, w.od, dst, min(c+{COST}) from w join b_ways on src=w.id where k<110 group by 1,2,3),
     best as (select od, id, min(c) c from w group by 1,2)"""
 
 
 @query("bike_routes", D.with_views(["b_ways", "b_nodes", "requests"], f"""with recursive {ROUTE_SQL}
     select s.od od_id, a start_node, b end_node, round(c,4) cost, round(c,4) ridden, case when a=b then 'No path found' else 'ok' end status
-    from s left join best on best.od=s.od and id=b"""))
+    from s left join best on best.od=s.od and best.id=b"""))
 def bike_routes(spark, sf_dir):
     """Least-cost routes; the cost of the ridden steps must add up to the label's cost."""
     n = bike_nodes(spark, sf_dir)

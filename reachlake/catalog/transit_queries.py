@@ -202,17 +202,14 @@ def hover_edge_seconds(spark, sf_dir):
         "edge_id", F.coalesce("seconds", F.lit(-1)).alias("seconds"))
 
 
-NEXT_SQL = """ask as materialized (select row_number() over (order by request_id, stop_id)::bigint label_id, stop_id, start ready from requests, stops),
+NEXT_SQL = """ask as materialized (select trip_id*100+seq label_id, stop_id, arrival+35 ready from stop_times),
     dep as materialized (select stop_id, mode, direction, arrival, seq, trip_id from stop_times join trips using (trip_id))"""
 
 
 def asks(spark, sf_dir):
-    """One label per request and stop."""
-    s = D.stops(spark, sf_dir).select("stop_id", F.lit(1).alias("k"))
-    n = s.count()
-    q = D.requests(spark, sf_dir).select("request_id", F.col("start").alias("ready"), F.lit(1).alias("k"))
-    rank = (F.col("request_id") * n + F.col("stop_id") + 1).alias("label_id")
-    return q.join(s, "k").select(rank, "stop_id", "ready")
+    """Every arrival as a label ready to board again after the transfer time."""
+    return D.stop_times(spark, sf_dir).select(
+        (F.col("trip_id") * 100 + F.col("seq")).alias("label_id"), "stop_id", (F.col("arrival") + 35).alias("ready"))
 
 
 def departures(spark, sf_dir):
@@ -220,7 +217,7 @@ def departures(spark, sf_dir):
         "stop_id", "mode", "direction", F.col("arrival").alias("time"), "seq", "trip_id")
 
 
-@query("next_departure", D.with_views(["stops", "requests", "stop_times", "trips"], f"""with {NEXT_SQL}
+@query("next_departure", D.with_views(["stop_times", "trips"], f"""with {NEXT_SQL}
     select label_id, stop_id, mode, direction, d.arrival as time, d.seq, d.trip_id from (
       select label_id, ask.stop_id, mode, direction, min(row(arrival, seq, trip_id)) m from ask join dep on dep.stop_id=ask.stop_id and arrival>=ready group by 1,2,3,4) x,
       lateral (select x.m[1] arrival, x.m[2] seq, x.m[3] trip_id) d"""))

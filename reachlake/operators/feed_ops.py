@@ -197,11 +197,6 @@ def weekday_flag(date: Column) -> Column:
     return out
 
 
-def last_exception(calendar_dates: DataFrame, order: list[str]) -> DataFrame:
-    """One exception per service and date, the last in order."""
-    return last_per_key(calendar_dates, ["service_id", "date"], order)
-
-
 def service_days(calendar: DataFrame, calendar_dates: DataFrame, since: Column | None = None) -> DataFrame:
     """Dates each service runs: its weekdays inside its range, less removed, plus added dates."""
     day = F.explode(F.sequence("start_date", "end_date")).alias("date")

@@ -42,24 +42,30 @@ def shortest_paths(sources: DataFrame, edges: DataFrame, weight: Column | None =
     return out if goals is None else out.join(goals, ["source", "id"], "left_semi")
 
 
-def trace_back(labels: DataFrame, goals: DataFrame, max_steps: int | None = None) -> DataFrame:
+STEPS_PER_JOB = 6
+
+
+def trace_back(labels: DataFrame, goals: DataFrame) -> DataFrame:
     """Vertices of the path to each goal ``(source, id)``: ``source, goal, back, id``.
 
-    ``back`` counts from the goal. One step of all paths per round, so the number of rounds is the
-    longest path.
+    ``back`` counts from the goal. All paths move several steps per round, so the number of rounds
+    follows the longest path.
     """
-    at, n = written_with_count(
-        labels.select("source", "id", "pred").join(goals.select("source", "id").distinct(), ["source", "id"], "left_semi")
-        .select("source", F.col("id").alias("goal"), F.lit(0).alias("back"), "id", "pred"), "trace")
+    links = written(labels.select("source", "id", "pred").where("pred is not null"), "links")
+    ends = goals.select("source", "id").distinct().join(labels.select("source", "id"), ["source", "id"], "left_semi")
+    at, n = written_with_count(ends.select("source", F.col("id").alias("goal"), F.lit(0).alias("back"), "id"), "trace")
     steps = [at]
-    links = labels.select("source", F.col("id").alias("pred"), F.col("pred").alias("next"))
-    while n and (max_steps is None or len(steps) <= max_steps):
-        at, n = written_with_count(
-            at.where("pred is not null").join(links, ["source", "pred"]).select(
-                "source", "goal", (F.col("back") + 1).alias("back"), F.col("pred").alias("id"), F.col("next").alias("pred")),
-            "trace")
-        steps.append(at)
-    return union_all(steps).select("source", "goal", "back", "id")
+    while n:
+        cur = at.withColumn("p0", F.col("id"))
+        for i in range(STEPS_PER_JOB):
+            cur = cur.join(links.select("source", F.col("id").alias(f"p{i}"), F.col("pred").alias(f"p{i + 1}")), ["source", f"p{i}"], "left")
+        walked = F.array_compact(F.array(*[F.col(f"p{i + 1}") for i in range(STEPS_PER_JOB)]))
+        found, _ = written_with_count(
+            cur.select("source", "goal", "back", F.posexplode(walked).alias("pos", "id"))
+            .select("source", "goal", (F.col("back") + F.col("pos") + 1).alias("back"), "id"), "trace")
+        steps.append(found)
+        at, n = written_with_count(found.where((F.col("back") % STEPS_PER_JOB == 0)), "trace")
+    return union_all(steps)
 
 
 def bellman_ford(sources: DataFrame, edges: DataFrame, vertex_count: int) -> tuple[DataFrame, bool]:
