@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from reachlake.catalog.feed_queries import read
 from reachlake.catalog.geo_queries import PLACE_SQL, feed_stops_on_shapes, hav, node_lonlat, r6, stop_points
 from reachlake.catalog.graph_queries import cheap_roads, road_vertices
-from reachlake.catalog.registry import query
+from reachlake.catalog.registry import prepared, query
 from reachlake.functions import bike, codes, geo, text
 from reachlake.operators import feed_ops, grid, profile, raster
 from reachlake.operators.shapes import shape_slices
@@ -101,7 +101,7 @@ def nodes_with_edges(spark, sf_dir):
     return B.connected_nodes(D.road_nodes(spark, sf_dir).select("node_id"), e)
 
 
-@query("edge_polylines", D.with_views(["b_edges"], "select id edge_id, 0::bigint piece, 3 n, 2 as rises from b_edges").replace("2 as rises", "3 as points"))
+@query("edge_polylines", D.with_views(["b_edges"], "select id edge_id, 0::bigint piece, 3 n, 3 points from b_edges"))
 def edge_polylines(spark, sf_dir):
     out = B.polylines(bike_edges(spark, sf_dir), bike_points(spark, sf_dir))
     return out.select("edge_id", "piece", F.size("points").alias("n"), F.size(F.array_distinct(F.transform("points", lambda p: F.struct(p["lat"], p["lon"])))).alias("points"))
@@ -137,22 +137,28 @@ ROUTE_SQL = f"""pt as (select request_id od, x, y, least(x+700,7800) x2, least(y
     from s left join best on best.od=s.od and best.id=b"""))
 def bike_routes(spark, sf_dir):
     """Least-cost routes; the cost of the ridden steps must add up to the label's cost."""
-    n = bike_nodes(spark, sf_dir)
-    steps, res = B.routes(od_pairs(spark, sf_dir), n, B.rated_edges(bike_edges(spark, sf_dir), n))
-    e = B.rated_edges(bike_edges(spark, sf_dir), n).select(F.col("id").alias("edge_id"), "access_friendly")
+    rated, steps, res = found_routes(spark, sf_dir)
+    e = rated.select(F.col("id").alias("edge_id"), "access_friendly")
     c = bike.edge_cost(F.col("dist"), F.col("climb"), F.col("rating"), F.col("access_friendly"), F.lit(0.5), F.lit(0.5))
     ridden = steps.join(e, "edge_id").groupBy("od_id").agg(F.sum(c).alias("ridden"))
     return res.join(ridden, "od_id", "left").select(
         "od_id", "start_node", "end_node", F.round("cost", 4).alias("cost"), F.round(F.coalesce("ridden", F.lit(0.0)), 4).alias("ridden"), "status")
 
 
+def found_routes(spark, sf_dir):
+    def build():
+        n = bike_nodes(spark, sf_dir)
+        e = written(B.rated_edges(bike_edges(spark, sf_dir), n), "rated")
+        return e, *B.routes(od_pairs(spark, sf_dir), n, e)
+
+    return prepared(spark, sf_dir, "bike-routes", build)
+
+
 @query("bike_route_points")
 def bike_route_points(spark, sf_dir):
     """Rendered routes with elevation, rating and distance so far."""
-    n = bike_nodes(spark, sf_dir)
-    e = written(B.rated_edges(bike_edges(spark, sf_dir), n), "rated")
-    steps, res = B.routes(od_pairs(spark, sf_dir), n, e)
-    return B.rendered(steps, e, bike_points(spark, sf_dir), n, res)
+    e, steps, res = found_routes(spark, sf_dir)
+    return B.rendered(steps, e, bike_points(spark, sf_dir), bike_nodes(spark, sf_dir), res)
 
 
 @query("bike_route_runs_and_extremes")

@@ -9,6 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+_PREPARED: dict[tuple, object] = {}
+
+
+def prepared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object]):
+    """Inputs several queries share, built and written once per session and input folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _PREPARED:
+        _PREPARED[key] = build()
+    return _PREPARED[key]
+
 
 def query(name: str, sql: str | None = None):
     def add(fn):

@@ -4,15 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reachlake.catalog.registry import query
+from reachlake.catalog.registry import prepared, query
 from reachlake.plans import transit as T
+from reachlake.session import written
 from reachlake.sources import derived as D
 
 
 def network(spark, sf_dir, trips: bool = False) -> T.Network:
-    return T.Network(
-        D.stops(spark, sf_dir), D.stop_times(spark, sf_dir), D.trips(spark, sf_dir) if trips else None
-    )
+    def build():
+        return T.Network(
+            D.stops(spark, sf_dir), D.stop_times(spark, sf_dir), D.trips(spark, sf_dir) if trips else None
+        )
+
+    return prepared(spark, sf_dir, f"network-{trips}", build)
+
+
+def labels_of_requests(spark, sf_dir):
+    return prepared(spark, sf_dir, "labels", lambda: written(T.reach(D.requests(spark, sf_dir), network(spark, sf_dir)), "labels"))
+
+
+def times_of_requests(spark, sf_dir):
+    """Node times of all requests; the street catchment is the long part."""
+    def build():
+        return written(T.search_times(labels_of_requests(spark, sf_dir), D.requests(spark, sf_dir), network(spark, sf_dir),
+                                      D.road_nodes(spark, sf_dir), D.road_edges(spark, sf_dir)), "times")
+
+    return prepared(spark, sf_dir, "times", build)
 
 
 def r6(c, name=None):
@@ -158,7 +175,6 @@ ISO_SQL = f"""{reach_ctes()}, {STOP_BASES}, {CATCH_SQL},
        "join times b on b.node=dst and a.request_id=b.request_id"))
 def isochrone(spark, sf_dir):
     from reachlake.sources.sinks import edge_seconds
-    from reachlake.session import written
 
     t = T.isochrone(D.requests(spark, sf_dir), network(spark, sf_dir), D.road_nodes(spark, sf_dir), D.road_edges(spark, sf_dir))
     t = written(t, "edge-times")
@@ -175,7 +191,7 @@ def isochrone_shades(spark, sf_dir):
     from reachlake.functions.text import shade
 
     asked = D.requests(spark, sf_dir)
-    t = T.isochrone(asked, network(spark, sf_dir), D.road_nodes(spark, sf_dir), D.road_edges(spark, sf_dir))
+    t = T.edge_times(times_of_requests(spark, sf_dir), D.road_edges(spark, sf_dir))
     bucket = shade(F.col("t"), F.col("start"), F.col("start") + F.col("duration"))
     return t.join(asked, "request_id").groupBy("request_id", bucket.alias("shade")).agg(F.count("*").alias("edges"))
 
@@ -184,7 +200,7 @@ def isochrone_shades(spark, sf_dir):
 def edge_seconds_json(spark, sf_dir):
     from reachlake.sources.sinks import edge_seconds_json as as_json
 
-    t = T.isochrone(D.requests(spark, sf_dir), network(spark, sf_dir), D.road_nodes(spark, sf_dir), D.road_edges(spark, sf_dir))
+    t = T.edge_times(times_of_requests(spark, sf_dir), D.road_edges(spark, sf_dir))
     return as_json(t)
 
 
@@ -195,7 +211,7 @@ def hover_edge_seconds(spark, sf_dir):
     from reachlake.sources.sinks import edge_seconds
 
     asked = D.requests(spark, sf_dir)
-    t = edge_seconds(T.isochrone(asked, network(spark, sf_dir), D.road_nodes(spark, sf_dir), D.road_edges(spark, sf_dir)))
+    t = edge_seconds(T.edge_times(times_of_requests(spark, sf_dir), D.road_edges(spark, sf_dir)))
     first = asked.agg(F.min("request_id")).first()[0]
     seen = t.where(F.col("request_id") == first).select("edge_id", "seconds")
     return D.road_edges(spark, sf_dir).select("edge_id").join(seen, "edge_id", "left").select(
@@ -259,10 +275,10 @@ def routes(spark, sf_dir):
 
 def traced(spark, sf_dir):
     from reachlake.plans import itinerary as I
-    from reachlake.session import written
 
-    labels = written(T.reach(D.requests(spark, sf_dir), network(spark, sf_dir)), "labels")
-    return labels, written(I.trace_labels(I.label_ends(labels), labels), "rides")
+    labels = labels_of_requests(spark, sf_dir)
+    build = lambda: written(I.trace_labels(I.label_ends(labels), labels), "rides")
+    return labels, prepared(spark, sf_dir, "rides", build)
 
 
 @query("itinerary_back_trace", D.with_views(["stops", "stop_times", "requests", "walk"],
@@ -293,12 +309,9 @@ def itinerary_legs(spark, sf_dir):
 def itinerary_details(spark, sf_dir):
     """Walks and rides to every street corner near a stop, with the final walk."""
     from reachlake.plans import itinerary as I
-    from reachlake.session import written
 
-    asked, net = D.requests(spark, sf_dir), network(spark, sf_dir)
-    labels = written(T.reach(asked, net), "labels")
-    nodes, edges = D.road_nodes(spark, sf_dir), D.road_edges(spark, sf_dir)
-    times = written(T.search_times(labels, asked, net, nodes, edges), "times")
+    asked, labels = D.requests(spark, sf_dir), labels_of_requests(spark, sf_dir)
+    nodes, times = D.road_nodes(spark, sf_dir), times_of_requests(spark, sf_dir)
     targets = asked.select("request_id", F.lit(0).cast("long").alias("target_id"),
                            ((F.col("x") + 2500) % 8009).alias("x"), ((F.col("y") * 3 + 500) % 4009).alias("y"))
     ends = written(I.access_nodes(targets, nodes, times), "ends")
@@ -343,10 +356,8 @@ def trip_usage(spark, sf_dir):
 def access_node_of_target(spark, sf_dir):
     from reachlake.plans import itinerary as I
 
-    asked, net = D.requests(spark, sf_dir), network(spark, sf_dir)
-    labels = T.reach(asked, net)
-    nodes, edges = D.road_nodes(spark, sf_dir), D.road_edges(spark, sf_dir)
-    times = T.search_times(labels, asked, net, nodes, edges)
+    asked = D.requests(spark, sf_dir)
+    nodes, times = D.road_nodes(spark, sf_dir), times_of_requests(spark, sf_dir)
     targets = asked.select("request_id", F.lit(0).cast("long").alias("target_id"),
                            ((F.col("x") + 2500) % 8009).alias("x"), ((F.col("y") * 3 + 500) % 4009).alias("y"))
     return I.access_nodes(targets, nodes, times).select("request_id", "node_id", r6("arrival", "arrival"))
