@@ -348,3 +348,23 @@ def stream_of_requests(spark, sf_dir):
     run = answer(stream, search, out, new_table_path(spark, "stream"))
     run.awaitTermination()
     return spark.read.parquet(out).agg(F.count("request_id").alias("answered"))
+
+
+@query("itinerary_geojson")
+def itinerary_geojson(spark, sf_dir):
+    """Line and end points of every ride on a trip with a shape, as GeoJSON features."""
+    from reachlake.catalog.transit_queries import traced
+    from reachlake.operators.skew import in_pieces
+    from reachlake.plans.itinerary import leg_shapes
+
+    _, rides = traced(spark, sf_dir)
+    placed = feed_stops_on_shapes(spark, sf_dir).withColumn("trip_id", F.col("trip_id").cast("long"))
+    pts = OrderedScan(feed_ops.shape_points(read(spark, sf_dir, "shapes")), ["shape_id"], ["seq"]).index("i").frame()
+    cut = written(leg_shapes(rides, placed, pts), "leg-shapes")
+    spot = F.array(F.col("x"), F.col("y"))
+    style = F.struct(F.lit("FFFFFF").alias("color"), F.lit(codes.OTHER_WIDTH).alias("line_width"))
+    lines = in_pieces(cut, ["leg_id"], ["i"], spot, name="line").select(
+        "leg_id", F.col("piece"), sinks.line_feature(F.col("line"), style).alias("feature"))
+    ends = cut.groupBy("leg_id").agg(F.array(F.min_by(spot, F.col("i")), F.max_by(spot, F.col("i"))).alias("e"))
+    color = F.struct(F.lit("FFFFFF").alias("color"))
+    return lines.unionByName(ends.select("leg_id", F.lit(-1).cast("long").alias("piece"), sinks.points_feature(F.col("e"), color).alias("feature")))

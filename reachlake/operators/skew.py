@@ -15,7 +15,6 @@ DEFAULT_HOT_ROWS = 1_000_000
 # A key is salted only when it also holds more than this share of the rows, which bounds the
 # number of such keys, and so the size of the broadcast table of them, by 1 / share.
 HOT_SHARE = 1.0 / 1000.0
-DEFAULT_BROADCAST_ROWS = 100_000
 
 
 def _setting(spark: SparkSession, name: str, default: int) -> int:
@@ -26,12 +25,6 @@ def hot_row_limit(spark: SparkSession) -> int:
     return _setting(spark, "reachlake.hot.rows", DEFAULT_HOT_ROWS)
 
 
-def small_or_plain(df: DataFrame) -> DataFrame:
-    """Broadcast ``df`` when a count shows it is small; otherwise leave the join to Catalyst."""
-    limit = _setting(df.sparkSession, "reachlake.broadcast.rows", DEFAULT_BROADCAST_ROWS)
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     """Keys above the row limit, or None. At most ``1 / HOT_SHARE`` rows, so safe to broadcast."""
     limit = hot_row_limit(df.sparkSession)
