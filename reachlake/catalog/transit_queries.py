@@ -196,7 +196,11 @@ def isochrone_shades(spark, sf_dir):
     return t.join(asked, "request_id").groupBy("request_id", bucket.alias("shade")).agg(F.count("*").alias("edges"))
 
 
-@query("edge_seconds_json")
+@query("edge_seconds_json", D.with_views(["stops", "stop_times", "requests", "walk", "road_nodes", "road_edges", "road_both"],
+       f"""with recursive {ISO_SQL}, e as (select a.request_id, edge_id, cast(trunc((a.t+b.t)/2) as int) s,
+           (row_number() over (partition by a.request_id order by edge_id)-1)//1000 piece
+         from road_edges join times a on a.node=src join times b on b.node=dst and a.request_id=b.request_id)
+       select request_id, piece, '{{'||string_agg('"'||edge_id||'":'||s, ',' order by edge_id)||'}}' json from e group by 1,2"""))
 def edge_seconds_json(spark, sf_dir):
     from reachlake.sources.sinks import edge_seconds_json as as_json
 

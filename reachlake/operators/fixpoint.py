@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reachlake.operators.skew import hot_keys, with_all_salts, with_salt
+from reachlake.operators.skew import hot_keys_and_rows, with_all_salts, with_salt
 from reachlake.session import written_with_count
 
 
@@ -21,17 +21,22 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+ROWS_PER_PART = 200_000
+
+
 class Adjacency:
     """Edges partitioned by source once and kept for all rounds; hub sources are salted."""
 
     def __init__(self, edges: DataFrame, key: str = "src", spread: Sequence[str] = ("dst",)):
         self.key = key
-        self.hot = hot_keys(edges, [key])
+        self.hot, rows = hot_keys_and_rows(edges, [key])
         if self.hot is None:
             salted = edges.withColumn("_salt", F.lit(0))
         else:
             salted = with_salt(edges, [key], self.hot, spread)
-        n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spark = edges.sparkSession
+        most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n = min(most, max(spark.sparkContext.defaultParallelism, rows // ROWS_PER_PART))
         self.edges = salted.repartition(n, key, "_salt").persist()
 
     def join(self, rows: DataFrame, how: str = "inner") -> DataFrame:

@@ -27,14 +27,20 @@ def hot_row_limit(spark: SparkSession) -> int:
 
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     """Keys above the row limit, or None. At most ``1 / HOT_SHARE`` rows, so safe to broadcast."""
+    return hot_keys_and_rows(df, keys)[0]
+
+
+def hot_keys_and_rows(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame | None, int]:
+    """:func:`hot_keys` and the number of rows, from one pass."""
     limit = hot_row_limit(df.sparkSession)
     counts = df.groupBy(*keys).count()
     top = counts.agg(F.sum("count").alias("n"), F.max("count").alias("m")).first()
-    if top["m"] is None or top["m"] <= limit:
-        return None
-    bound = max(limit, int(top["n"] * HOT_SHARE))
+    rows = top["n"] or 0
+    if not rows or top["m"] <= limit:
+        return None, rows
+    bound = max(limit, int(rows * HOT_SHARE))
     hot = written(counts.where(F.col("count") > bound).select(*keys), "hot")
-    return None if hot.isEmpty() else hot
+    return (None if hot.isEmpty() else hot), rows
 
 
 def salt_count(spark: SparkSession) -> int:
