@@ -12,6 +12,9 @@ import pyarrow as pa
 U64 = np.uint64
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+# Also ASCII punctuation, for words without the marks around them.
+MARKS = SPACES.copy()
+MARKS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 # Fixed random codes of bytes; part of the definition of every hash below.
@@ -52,9 +55,9 @@ class Words:
     text ``i``; ``start`` is the place of the word in the bytes.
     """
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = True):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = True, breaks: np.ndarray = SPACES):
         n = len(offs) - 1
-        word = ~SPACES.take(data)
+        word = ~breaks.take(data)
         begins = word.copy()
         if len(data):
             begins[1:] &= ~word[:-1]
@@ -67,7 +70,7 @@ class Words:
             self.hash = np.zeros(0, np.uint64)
             self.length = np.zeros(0, np.int64)
             return
-        codes = np.where(SPACES, U64(0), _CODES[LOWER] if lower else _CODES)
+        codes = np.where(breaks, U64(0), _CODES[LOWER] if lower else _CODES)
         gap = np.diff(np.append(self.start, len(data)))
         place = np.arange(self.start[0], len(data), dtype=np.int32) - np.repeat(self.start.astype(np.int32), gap)
         powers = np.cumprod(np.append(U64(1), np.full(int(gap.max()), _POWER, np.uint64)))
