@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from reachlake.llm import bpe, fingerprints, language_id, packing, toxicity, url_filter
+from reachlake.llm import bpe, fingerprints, language_id, line_dedup, packing, toxicity, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op3_weighted_fingerprints": fingerprints.query,
     "op4_language_id": language_id.query,
+    "op5_line_dedup": line_dedup.query,
     "op7_bpe_round_trip": bpe.query,
     "op8_url_filters": url_filter.query,
     "op9_toxicity": toxicity.query,
