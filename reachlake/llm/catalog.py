@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reachlake.llm import bpe, fingerprints, language_id, line_dedup, packing, toxicity, url_filter
+from reachlake.llm import bpe, fingerprints, language_id, line_dedup, minhash_dedup, packing, toxicity, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_bpe_round_trip": bpe.query,
     "op8_url_filters": url_filter.query,
     "op9_toxicity": toxicity.query,
+    "op10_minhash_near_dedup": minhash_dedup.query,
 }
 
 ORACLES = {"op8_url_filters": url_filter.SQL}
