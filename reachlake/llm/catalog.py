@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from reachlake.llm import bpe, fingerprints, language_id, line_dedup, minhash_dedup, packing, toxicity, url_filter
+from reachlake.llm import bpe, fingerprints, language_id, line_dedup, minhash_dedup, packing, pitman_yor, toxicity, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
+    "op2_pitman_yor_lm": pitman_yor.query,
     "op3_weighted_fingerprints": fingerprints.query,
     "op4_language_id": language_id.query,
     "op5_line_dedup": line_dedup.query,
