@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from reachlake.llm import bpe, fingerprints, language_id, line_dedup, minhash_dedup, packing, pitman_yor, toxicity, url_filter
+import corpus_pipeline
+from reachlake.llm import bpe, embedding_dedup, fingerprints, language_id, line_dedup, minhash_dedup, packing, pitman_yor, toxicity, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -10,10 +11,12 @@ QUERIES = {
     "op3_weighted_fingerprints": fingerprints.query,
     "op4_language_id": language_id.query,
     "op5_line_dedup": line_dedup.query,
+    "op6_embedding_near_dedup": embedding_dedup.query,
     "op7_bpe_round_trip": bpe.query,
     "op8_url_filters": url_filter.query,
     "op9_toxicity": toxicity.query,
     "op10_minhash_near_dedup": minhash_dedup.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {"op8_url_filters": url_filter.SQL}

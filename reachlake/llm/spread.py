@@ -30,10 +30,10 @@ def lookup(big: DataFrame, small: DataFrame, keys: Sequence[str], count: str, ro
         big.join(F.broadcast(small.where(F.col(count) > limit).select(*keys)), keys, "left_anti").join(cold, keys))
 
 
-def only_ids(rows: DataFrame, ids: DataFrame, key: str, n: int) -> DataFrame:
-    """Rows whose ``key`` is in ``ids`` (a written table of ``n`` different ids)."""
+def only_ids(rows: DataFrame, ids: DataFrame, key: str, n: int, inside: bool = True) -> DataFrame:
+    """Rows whose ``key`` is in ``ids`` (a written table of ``n`` different ids), or is not."""
     other = F.broadcast(ids) if n <= MAX_BROADCAST_IDS else ids
-    return rows.join(other, key, "left_semi")
+    return rows.join(other, key, "left_semi" if inside else "left_anti")
 
 
 def sorted_groups(stream, keys: Sequence[str], most: int = 1 << 62):
