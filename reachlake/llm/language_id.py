@@ -183,13 +183,18 @@ def training_sample(rows: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> l
     Of a text at most ``SNIPPET_CHARS`` characters from a hashed place on; at most ``MAX_LANGUAGES``
     languages, those with most rows.
     """
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = F.xxhash64("id", "text")
-    start = F.pmod(F.xxhash64("text", "id"), F.greatest(F.lit(1), F.length("text") - SNIPPET_CHARS)).cast("int") + 1
-    top = (rows.select("lang", order.alias("o"), F.substring(F.col("text"), start, F.lit(SNIPPET_CHARS)).alias("text"))
-           .withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("o"))).where(F.col("n") <= per_language))
-    names = {r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    return sorted((r["lang"], r["text"]) for r in top.where(F.col("lang").isin(list(names))).collect()) if names else []
+    rows = rows.where(F.col("lang").isNotNull())
+    names = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    if not names:
+        return []
+    # Ids are chosen first, so that no text is shuffled; they are bounded as the sample is.
+    order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    chosen = (rows.where(F.col("lang").isin(names)).select("lang", "id").withColumn("n", F.row_number().over(order))
+              .where(F.col("n") <= per_language).select("lang", "id").distinct())
+    start = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.length("text") - SNIPPET_CHARS)).cast("int") + 1
+    texts = rows.join(F.broadcast(chosen), ["lang", "id"]).where(F.col("text").rlike(r"\p{L}"))
+    found = texts.select("lang", F.substring(F.col("text"), start, F.lit(SNIPPET_CHARS)).alias("text"))
+    return sorted((r["lang"], r["text"]) for r in found.limit(2 * per_language * len(names)).collect())
 
 
 def train(rows: DataFrame, per_language: int = DOCS_PER_LANGUAGE, **options) -> ByteGru:
