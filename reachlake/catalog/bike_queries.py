@@ -107,6 +107,31 @@ def edge_polylines(spark, sf_dir):
     return out.select("edge_id", "piece", F.size("points").alias("n"), F.size(F.array_distinct(F.transform("points", lambda p: F.struct(p["lat"], p["lon"])))).alias("points"))
 
 
+def _two_latitudes(df):
+    """Rows as they are and once more 23 degrees to the north, with ids from a million on."""
+    north = df.withColumns({"lat": F.col("lat") + 23.0, "id": F.col("id") + 1_000_000})
+    return df.unionByName(north)
+
+
+D.SQL["far_nodes"] = "select node_id id, lat, lon from node_ll union all select node_id+1000000, lat+23.0, lon from node_ll"
+D._NEEDS["far_nodes"] = ["node_ll"]
+D.SQL["far_stops"] = """select stop_id id, 37.0::double+y*9/1e6::double lat, -122.0::double-x*12/1e6::double lon from stops
+    union all select stop_id+1000000, 37.0::double+y*9/1e6::double+23.0, -122.0::double-x*12/1e6::double from stops"""
+D._NEEDS["far_stops"] = ["stops"]
+
+
+@query("snap_at_two_latitudes", D.with_views(["far_nodes", "far_stops"], f"""select p.id, round(min({hav('p.lat','p.lon','n.lat','n.lon')}), 4) dist,
+    min(abs(n.lat - p.lat)) < 1 near from far_stops p, far_nodes n group by p.id"""))
+def snap_at_two_latitudes(spark, sf_dir):
+    """Nearest node by great-circle distance, where east-west degrees differ in length."""
+    nodes = _two_latitudes(node_lonlat(spark, sf_dir).withColumnRenamed("node_id", "id"))
+    s = D.stops(spark, sf_dir)
+    points = _two_latitudes(s.select(F.col("stop_id").alias("id"), (F.lit(37.0) + F.col("y") * 9 / 1e6).alias("lat"), (F.lit(-122.0) - F.col("x") * 12 / 1e6).alias("lon")))
+    got = B.snap(points, nodes.withColumnRenamed("id", "node_id"), "id").join(points, "id")
+    d = geo.haversine(F.col("lat"), F.col("lon"), F.col("node_lat"), F.col("node_lon"))
+    return got.select("id", F.round(d, 4).alias("dist"), (F.abs(F.col("node_lat") - F.col("lat")) < 1).alias("near"))
+
+
 @query("bike_edge_costs", D.with_views(["b_ways"], f"select id edge_id, src, dst, round({COST},6) cost from b_ways"))
 def bike_edge_costs(spark, sf_dir):
     n = bike_nodes(spark, sf_dir)
@@ -228,11 +253,11 @@ def elevation_enrichment(spark, sf_dir):
     return raster.enrich(bike_nodes(spark, sf_dir), px, "node_id").select("node_id", "ele")
 
 
-@query("graph_documents", D.with_views(["road_nodes", "road_edges"], """
-    select 'nodes' as "table", count(*) n from road_nodes union all select 'edges', count(*) from road_edges
+@query("graph_documents", D.with_views(["road_nodes", "road_edges", "b_edges"], """
+    select 'nodes' as "table", count(*) n from road_nodes union all select 'edges rated '||rating||access, count(*) from b_edges group by 1
     union all select 'points', sum(case when edge_id%2=0 then 2 else 3 end)::bigint from road_edges"""))
 def graph_documents(spark, sf_dir):
-    """Nested JSON documents, one per edge, to tables; odd edges lack their end point."""
+    """Nested JSON documents, one per edge, to tables that can be rated; odd edges lack their end point."""
     n = bike_nodes(spark, sf_dir)
     e = bike_edges(spark, sf_dir)
     end = lambda k, p: n.select(F.col("node_id").alias(k), F.struct("lat", "lon", "ele").alias(p))
@@ -245,7 +270,9 @@ def graph_documents(spark, sf_dir):
     docs.write.json(path)
     nodes.write.mode("append").json(path)
     tables = sinks.graph_tables(spark.read.schema(sinks.GRAPH_SCHEMA).json(path))
-    parts = [d.agg(F.count("*").alias("n")).select(F.lit(t).alias("table"), "n") for t, d in zip(("nodes", "edges", "points"), tables)]
+    parts = [d.agg(F.count("*").alias("n")).select(F.lit(t).alias("table"), "n") for t, d in zip(("nodes", "points"), tables[::2])]
+    kind = F.concat(F.lit("edges rated "), F.col("rating"), F.col("access_friendly").cast("string"))
+    parts.append(B.rated_edges(tables[1], tables[0]).groupBy(kind.alias("table")).agg(F.count("*").alias("n")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

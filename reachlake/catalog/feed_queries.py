@@ -29,6 +29,7 @@ FEED_SQL = {
         cast('43.'||lpad(cast(y*9 as varchar),6,'0') as double) stop_lat, cast(stop_id%4 as int) wheelchair_boarding from stops""",
     "f_routes": """select cast(c_custkey as varchar) route_id, 'A'||c_custkey%5 agency_id, c_name route_short_name,
         ([0,1,2,3,4,5,6,7,100,200,401,700,800,900,1000,1100,1200,1300,1400,1500,1702,11])[c_custkey%22+1] route_type,
+        'The "'||c_mktsegment||'" line, daily'||case when c_custkey%2=0 then chr(10) else '' end||'to '||c_name route_desc,
         case c_custkey%4 when 0 then 'FFFFFF' when 1 then 'FF8800' when 2 then '0A0B0C' end route_color,
         case when c_custkey%3=0 then '000000' else '00FF00' end route_text_color from customer""",
     "f_trips": """select cast(o_orderkey as varchar) trip_id, o_orderpriority service_id, cast(o_custkey as varchar) route_id,
@@ -39,10 +40,12 @@ FEED_SQL = {
         cast(case when (trip_id+seq)%11<>0 then arrival+trip_id%7*3600 end as int) arrival_time,
         cast(case when (trip_id+seq)%11<>0 then arrival+trip_id%7*3600+30 end as int) departure_time,
         cast(([0,0,1,2,7])[seq%5+1] as int) pickup_type, cast(([1,0,1])[seq%3+1] as int) timepoint from stop_times""",
-    "f_calendar": """select o_orderpriority service_id, cast(substr(o_orderpriority,1,1) as int)*37 bits,
+    "f_calendar": """select * from f_calendar_ahead
+        union all select '9-TURNED', bits, end_date, start_date from f_calendar_ahead where bits=37""",
+    "f_calendar_ahead": """select o_orderpriority service_id, cast(substr(o_orderpriority,1,1) as int)*37 bits,
         cast(min(o_orderdate) as date) start_date, cast(max(o_orderdate) as date) end_date from orders group by 1,2""",
     "f_calendar_dates": """select service_id, start_date + cast(event_id*7%2000 as int) as date,
-        cast(1+event_id%2 as int) exception_type, event_id from events join f_calendar on user_id%5+1=bits//37""",
+        cast(1+event_id%2 as int) exception_type, event_id from events join f_calendar_ahead on user_id%5+1=bits//37""",
     "f_shapes": """select 'S'||trip_id shape_id, cast('43.'||lpad(cast(y*9+333 as varchar),6,'0') as double) y,
         cast('-79.'||lpad(cast(x*12+seq*50 as varchar),6,'0') as double) x, cast(seq*10 as int) seq
         from stop_times join stops using (stop_id) where trip_id%3<>0""",
@@ -57,7 +60,7 @@ FEED_SQL = {
         cast(greatest(s_suppkey-1,0) as varchar) to_stop_id, cast(1+s_suppkey%7 as int) pathway_mode,
         cast(s_suppkey%2 as int) is_bidirectional, cast(s_suppkey%50 as double) length from supplier""",
 }
-_FEED_NEEDS = {"f_stops": ["stops"], "f_stop_times": ["stop_times"], "f_calendar_dates": ["f_calendar"],
+_FEED_NEEDS = {"f_stops": ["stops"], "f_stop_times": ["stop_times"], "f_calendar": ["f_calendar_ahead"], "f_calendar_dates": ["f_calendar_ahead"],
                "f_shapes": ["stop_times", "stops"]}
 D.SQL.update(FEED_SQL)
 D._NEEDS.update(_FEED_NEEDS)
@@ -104,11 +107,11 @@ def feed_stops(spark, sf_dir):
         "stop_id", "stop_name", "location_type", "parent_station", "stop_lon", "stop_lat", "wheelchair_boarding")
 
 
-@query("feed_routes", D.with_views(["f_routes"], f"""select route_id, agency_id, route_short_name, route_type,
+@query("feed_routes", D.with_views(["f_routes"], f"""select route_id, agency_id, route_short_name, route_desc, route_type,
     {ROUTE_CASE} route_kind, route_color, route_text_color from (select *, route_type t, route_type//100 h from f_routes)"""))
 def feed_routes(spark, sf_dir):
     return read(spark, sf_dir, "routes")["routes"].select(
-        "route_id", "agency_id", "route_short_name", "route_type",
+        "route_id", "agency_id", "route_short_name", "route_desc", "route_type",
         codes.route_type_label(F.col("route_type")).alias("route_kind"), "route_color", "route_text_color")
 
 
@@ -206,6 +209,14 @@ def feed_snapshot_round_trip(spark, sf_dir):
     return back["trips"].groupBy("agency").agg(F.count("*").alias("n"), F.count_distinct("route_id").alias("routes"))
 
 
+@query("feed_write_round_trip_text", D.with_views(["f_routes"], "select route_id, agency_id, route_short_name, route_desc from f_routes"))
+def feed_write_round_trip_text(spark, sf_dir):
+    """Text with quotes, commas and line breaks survives writing and reading."""
+    path = new_table_path(spark, "feed-out")
+    R.write_feed(read(spark, sf_dir, "routes"), path)
+    return R.read_feed(spark, path, ("routes",))["routes"].select("route_id", "agency_id", "route_short_name", "route_desc")
+
+
 @query("feed_write_round_trip", D.with_views(["f_stop_times"], """
     select trip_id, stop_id, stop_sequence, arrival_time, departure_time from f_stop_times"""))
 def feed_write_round_trip(spark, sf_dir):
@@ -351,7 +362,7 @@ def service_days(spark, sf_dir):
     return O.service_days(feed["calendar"], feed["calendar_dates"])
 
 
-@query("running_services", D.with_views(["f_calendar", "f_calendar_dates"], f"""with {_DAYS_SQL}, q as (select max(start_date) + 100 as day from f_calendar)
+@query("running_services", D.with_views(["f_calendar", "f_calendar_dates"], f"""with {_DAYS_SQL}, q as (select max(start_date) + 100 as day from f_calendar where start_date<=end_date)
     select 'correct' mode, service_id from (
       (select service_id from reg, q where d=day and service_id not in (select service_id from ex, q where exception_type=2 and d=day))
       union select service_id from ex, q where exception_type=1 and d=day)
@@ -359,7 +370,7 @@ def service_days(spark, sf_dir):
 def running_services(spark, sf_dir):
     feed = read(spark, sf_dir, "calendar", "calendar_dates")
     cal, dates = feed["calendar"], feed["calendar_dates"]
-    day = F.lit(cal.agg(F.date_add(F.max("start_date"), 100)).first()[0])
+    day = F.lit(cal.where("start_date <= end_date").agg(F.date_add(F.max("start_date"), 100)).first()[0])
     parts = [O.running_services(cal.select("service_id"), cal, dates, day, m).select(F.lit(m).alias("mode"), "service_id")
              for m in ("correct", "weekday_only")]
     return parts[0].unionByName(parts[1])

@@ -20,7 +20,8 @@ def split_by_agency(feed: Feed) -> Feed:
     """Feed tables with the owning ``agency``, following routes, trips and their children.
 
     A feed of one agency keeps everything under it. An agency with any stop time without arrival is
-    left out. Rows used by several agencies appear once for each.
+    left out. Rows used by several agencies appear once for each. Routes that name no agency of the
+    feed, and so belong to none, are in the table ``unassigned_routes``.
     """
     agencies = agency_key(feed["agency"]).select("agency")
     if agencies.count() <= 1:
@@ -44,6 +45,7 @@ def split_by_agency(feed: Feed) -> Feed:
     shapes = trips.select("shape_id", "agency").where("shape_id is not null").distinct()
     stops = times.select("stop_id", "agency").distinct()
     return feed.replace(
+        unassigned_routes=feed["routes"].join(agencies, F.col("agency_id") == F.col("agency"), "left_anti"),
         routes=keep(routes), trips=keep(trips), stop_times=keep(times),
         stops=children(feed["stops"], "stop_id", stops),
         calendar=children(feed["calendar"], "service_id", services),
@@ -200,7 +202,7 @@ def weekday_flag(date: Column) -> Column:
 def service_days(calendar: DataFrame, calendar_dates: DataFrame, since: Column | None = None) -> DataFrame:
     """Dates each service runs: its weekdays inside its range, less removed, plus added dates."""
     day = F.explode(F.sequence("start_date", "end_date")).alias("date")
-    regular = calendar.select("*", day).where(weekday_flag(F.col("date"))).select("service_id", "date")
+    regular = calendar.where("start_date <= end_date").select("*", day).where(weekday_flag(F.col("date"))).select("service_id", "date")
     changes = calendar_dates.select("service_id", "date", "exception_type").distinct()
     removed = changes.where("exception_type = 2").select("service_id", "date")
     added = changes.where("exception_type = 1").select("service_id", "date")

@@ -35,8 +35,7 @@ class Adjacency:
         else:
             salted = with_salt(edges, [key], self.hot, spread)
         spark = edges.sparkSession
-        most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        n = min(most, max(spark.sparkContext.defaultParallelism, rows // ROWS_PER_PART))
+        n = max(spark.sparkContext.defaultParallelism, rows // ROWS_PER_PART)
         self.edges = salted.repartition(n, key, "_salt").persist()
 
     def join(self, rows: DataFrame, how: str = "inner") -> DataFrame:

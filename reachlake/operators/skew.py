@@ -12,9 +12,9 @@ from reachlake.session import written
 
 # A key with more rows than this is spread over several tasks.
 DEFAULT_HOT_ROWS = 1_000_000
-# A key is salted only when it also holds more than this share of the rows, which bounds the
-# number of such keys, and so the size of the broadcast table of them, by 1 / share.
-HOT_SHARE = 1.0 / 1000.0
+# At most so many keys are salted; a key must hold more than rows / MAX_HOT_KEYS for it, which only
+# matters beyond two million times the row limit. The table of hot keys is broadcast, and so bounded.
+MAX_HOT_KEYS = 2_000_000
 
 
 def _setting(spark: SparkSession, name: str, default: int) -> int:
@@ -26,47 +26,43 @@ def hot_row_limit(spark: SparkSession) -> int:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """Keys above the row limit, or None. At most ``1 / HOT_SHARE`` rows, so safe to broadcast."""
+    """Keys above the row limit with their ``_salts``, or None. At most ``MAX_HOT_KEYS`` rows."""
     return hot_keys_and_rows(df, keys)[0]
 
 
 def hot_keys_and_rows(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame | None, int]:
-    """:func:`hot_keys` and the number of rows, from one pass."""
+    """:func:`hot_keys` and the number of rows, from one pass.
+
+    A key gets as many salts as its rows hold the limit, and one more.
+    """
     limit = hot_row_limit(df.sparkSession)
     counts = df.groupBy(*keys).count()
     top = counts.agg(F.sum("count").alias("n"), F.max("count").alias("m")).first()
     rows = top["n"] or 0
     if not rows or top["m"] <= limit:
         return None, rows
-    bound = max(limit, int(rows * HOT_SHARE))
-    hot = written(counts.where(F.col("count") > bound).select(*keys), "hot")
-    return (None if hot.isEmpty() else hot), rows
-
-
-def salt_count(spark: SparkSession) -> int:
-    return _setting(spark, "reachlake.salts", 64)
+    bound = max(limit, rows // MAX_HOT_KEYS)
+    salts = (F.ceil(F.col("count") / bound) + 1).cast("int").alias("_salts")
+    return written(counts.where(F.col("count") > bound).select(*keys, salts), "hot"), rows
 
 
 def with_salt(df: DataFrame, keys: Sequence[str], hot: DataFrame, spread: Sequence[str]) -> DataFrame:
     """Column ``_salt``: 0 for usual keys, a hash of ``spread`` for hot ones."""
-    flag = hot.select(*keys, F.lit(True).alias("_hot"))
-    salts = F.lit(salt_count(df.sparkSession)).cast("long")
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), salts).cast("int")
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.col("_salts").cast("long")).cast("int")
     return (
-        df.join(F.broadcast(flag), list(keys), "left")
-        .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0)))
-        .drop("_hot")
+        df.join(F.broadcast(hot), list(keys), "left")
+        .withColumn("_salt", F.coalesce(salt, F.lit(0)))
+        .drop("_salts")
     )
 
 
 def with_all_salts(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
     """Repeat rows with a hot key once per salt, the other side of :func:`with_salt`."""
-    flag = hot.select(*keys, F.lit(True).alias("_hot"))
-    last = F.when(F.col("_hot"), F.lit(salt_count(df.sparkSession) - 1)).otherwise(F.lit(0))
+    last = F.coalesce(F.col("_salts") - 1, F.lit(0))
     return (
-        df.join(F.broadcast(flag), list(keys), "left")
+        df.join(F.broadcast(hot), list(keys), "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
-        .drop("_hot")
+        .drop("_salts")
     )
 
 

@@ -10,12 +10,11 @@ from reachlake.operators import profile
 from reachlake.operators.fixpoint import relax
 from reachlake.operators.graph.paths import trace_back
 from reachlake.operators.grid import nearest_points
-from reachlake.operators.skew import OrderedScan, in_pieces
+from reachlake.operators.skew import OrderedScan, in_pieces, salted_join
 from reachlake.session import written
 
-# Points closer than this (metres) are the same; nodes compared when snapping.
+# Fixed value: points closer than this (metres) are the same.
 SAME_POINT = 0.001
-SNAP_NODES = 5
 
 
 def rated_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -55,18 +54,37 @@ def directed(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def snap(points: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
-    """Node nearest to each ``points(key, lat, lon)``: ``key, node_id, node_lat, node_lon``.
+    """Node nearest to each ``points(key, lat, lon)``: ``key, node_id, node_lat, node_lon``, exact.
 
-    Candidates come from a flat grid, the choice among them from the great-circle distance.
+    A node near on a flat map gives a distance that the answer can't exceed. All nodes within it are
+    then compared by great-circle distance, found through cubes in space whose size fits each point's
+    own distance; the chord between two points is never longer than the way along the surface.
     """
     flat = {"y": F.radians("lat") * geo.EARTH_M, "x": F.radians("lon") * geo.EARTH_M * F.cos(F.radians(F.lit(_mid_lat(nodes))))}
-    p, n = points.withColumns(flat), nodes.withColumns(flat)
-    near = nearest_points(p, n, "node_id", SNAP_NODES).select("x", "y", "node_id")
     at = nodes.select("node_id", F.col("lat").alias("node_lat"), F.col("lon").alias("node_lon"))
-    both = p.join(near, ["x", "y"]).join(at, "node_id")
+    p = written(points.select(key, "lat", "lon").withColumns(flat), "snapped")
+    near = nearest_points(p, nodes.withColumns(flat), "node_id", 1).select("x", "y", "node_id")
     d = geo.haversine(F.col("lat"), F.col("lon"), F.col("node_lat"), F.col("node_lon"))
+    # The least power of two, in metres, that is no less than the distance.
+    level = F.ceil(F.log2(F.greatest(d, F.lit(1e-3)) * (1 + 1e-9))).cast("int")
+    spots = written(p.join(near, ["x", "y"]).join(at, "node_id").groupBy("lat", "lon").agg(F.min(level).alias("level")), "spots")
+
+    def cube(lat, lon):
+        size = F.pow(F.lit(2.0), F.col("level"))
+        la, lo = F.radians(lat), F.radians(lon)
+        xyz = (F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.sin(la))
+        return {c: F.floor(v * geo.EARTH_M / size) for c, v in zip(("_cx", "_cy", "_cz"), xyz)}
+
+    around = spots.withColumns(cube("lat", "lon"))
+    for c in ("_cx", "_cy", "_cz"):
+        around = around.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
+    # Distances lie between a millimetre and half the earth's girth, so there are at most 35 levels.
+    levels = [F.lit(r["level"]) for r in spots.select("level").distinct().collect()] or [F.lit(0)]
+    placed = at.withColumn("level", F.explode(F.array(*levels))).withColumns(cube("node_lat", "node_lon"))
+    both = salted_join(placed, around, ["level", "_cx", "_cy", "_cz"], ["node_id"])
     best = F.min(F.struct(d.alias("d"), "node_id", "node_lat", "node_lon")).alias("b")
-    return both.groupBy(key).agg(best).select(key, "b.node_id", "b.node_lat", "b.node_lon")
+    found = both.groupBy("lat", "lon").agg(best)
+    return p.join(found, ["lat", "lon"]).select(key, "b.node_id", "b.node_lat", "b.node_lon")
 
 
 def _mid_lat(nodes: DataFrame) -> float:

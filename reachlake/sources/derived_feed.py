@@ -49,6 +49,7 @@ def text_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     out["routes"] = t("customer").select(
         s(k).alias("route_id"), F.concat(F.lit("A"), s(k % 5)).alias("agency_id"),
         F.col("c_name").alias("route_short_name"), F.lit("").alias("route_long_name"),
+        F.concat(F.lit('The "'), "c_mktsegment", F.lit('" line, daily'), F.when(k % 2 == 0, "\n").otherwise(""), F.lit("to "), "c_name").alias("route_desc"),
         s(_pick(ROUTE_TYPES, k % len(ROUTE_TYPES))).alias("route_type"),
         _pick(COLOR_TEXTS, k % len(COLOR_TEXTS)).alias("route_color"),
         F.when(k % 3 == 0, "").otherwise("00ff00").alias("route_text_color"),
@@ -83,6 +84,10 @@ def text_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         *[s(F.floor(bits / 2**i).cast("int") % 2).alias(d) for i, d in enumerate(days)],
         F.date_format("lo", "yyyyMMdd").alias("start_date"), F.date_format("hi", "yyyyMMdd").alias("end_date"),
     )
+    # A range that ends before it starts holds no day.
+    turned = out["calendar"].where("service_id like '1%'")
+    out["calendar"] = out["calendar"].unionByName(turned.select(
+        F.lit("9-TURNED").alias("service_id"), *days, F.col("end_date").alias("start_date"), F.col("start_date").alias("end_date")))
     services = orders.groupBy("o_orderpriority").agg(F.min("o_orderdate").cast("date").alias("lo"))
     services = services.withColumn("n", F.substring("o_orderpriority", 1, 1).cast("long"))
     ev = t("events").select("event_id", (F.col("user_id") % 5 + 1).alias("n"))
@@ -139,6 +144,6 @@ def feed_path(spark: SparkSession, sf_dir: str, tables: tuple[str, ...]) -> str:
     for name in tables:
         if (key + (name,)) not in _PATHS:
             made = made or text_tables(spark, sf_dir)
-            made[name].write.csv(f"{path}/{name}.txt", header=True, emptyValue="")
+            made[name].write.csv(f"{path}/{name}.txt", header=True, emptyValue="", escape='"')
             _PATHS[key + (name,)] = path
     return path

@@ -12,6 +12,7 @@ from reachlake.functions import codes, text
 from reachlake.operators.skew import last_per_key
 
 MANDATORY = ("trips", "stops", "routes", "stop_times", "agency")
+SPLITTABLE = ("stop_times", "shapes")
 DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 
 
@@ -121,8 +122,11 @@ def read_raw(spark: SparkSession, path: str, name: str) -> DataFrame | None:
         if name in MANDATORY:
             raise MissingFile(f"{file} is required")
         return None
+    # Quotes in quoted text are doubled. Text may hold line breaks, but in the two large tables, which
+    # have no free text and so stay splittable.
     df = spark.read.csv(
-        file, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE"
+        file, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE",
+        escape='"', multiLine=name not in SPLITTABLE
     )
     present = {c.lstrip("﻿").strip(): c for c in df.columns}
     line = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
@@ -203,7 +207,7 @@ def write_feed(feed: Feed, path: str) -> None:
     """Typed tables back in feed form."""
     for name, df in feed.tables.items():
         cells = [encoded(F.col(c), k).alias(c) for c, (k, _) in SCHEMAS[name].items() if c in df.columns]
-        df.select(*cells).write.mode("overwrite").csv(f"{path}/{name}.txt", header=True, emptyValue="")
+        df.select(*cells).write.mode("overwrite").csv(f"{path}/{name}.txt", header=True, emptyValue="", escape='"')
 
 
 def unknown_to_default(feed: Feed) -> Feed:

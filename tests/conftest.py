@@ -15,10 +15,8 @@ def spark():
 def hot(spark):
     """Treat keys with more than a few rows as hot, to run the paths meant for skewed data."""
     spark.conf.set("reachlake.hot.rows", "5")
-    spark.conf.set("reachlake.salts", "4")
     yield
     spark.conf.unset("reachlake.hot.rows")
-    spark.conf.unset("reachlake.salts")
 
 
 def rows(df):

@@ -30,3 +30,28 @@ def test_route_and_rendering(spark):
     assert [round(r.cumdist) for r in line] == [0, 116, 116, 173, 173]
     e = B.energy(steps).first()
     assert (e.uphill_meters, e.downhill_meters, e.total_meters) == (5.0, 0.0, 224.0)
+
+
+def test_snap_is_exact_far_from_the_mean_latitude(spark):
+    import math
+    import random
+
+    rnd = random.Random(8)
+    nodes = [(i, rnd.uniform(-1, 1), rnd.uniform(-1, 1)) for i in range(400)]
+    nodes += [(1000 + i, 60 + rnd.uniform(-0.002, 0.002), 179.999 + rnd.uniform(-0.002, 0.004)) for i in range(9)]
+    nodes += [(2000, 89.9999, 10.0), (2001, 89.9999, -170.0)]
+    points = [(i, 60 + rnd.uniform(-0.003, 0.003), (180 + rnd.uniform(-0.004, 0.004) + 180) % 360 - 180) for i in range(20)]
+    points += [(100, 0.0, 0.0), (101, 89.99995, 12.0), (102, -70.0, 30.0), (103, nodes[5][1], nodes[5][2])]
+
+    def far(a, b):
+        la, lo, lb, l2 = map(math.radians, (a[1], a[2], b[1], b[2]))
+        h = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin((l2 - lo) / 2) ** 2
+        return 2 * math.asin(math.sqrt(min(1, h)))
+
+    got = B.snap(spark.createDataFrame(points, "id int, lat double, lon double"),
+                 spark.createDataFrame(nodes, "node_id int, lat double, lon double"), "id").collect()
+    by_id = {n[0]: n for n in nodes}
+    assert len(got) == len(points)
+    for r in got:
+        p = next(q for q in points if q[0] == r["id"])
+        assert abs(far(p, by_id[r["node_id"]]) - min(far(p, n) for n in nodes)) < 1e-9

@@ -73,6 +73,31 @@ def test_service_days(spark, tmp_path):
     assert by == {"service1": [6, 7, 13, 14], "service2": [0]}
 
 
+def test_reversed_range_has_no_days(spark, tmp_path):
+    days = "monday,tuesday,wednesday,thursday,friday,saturday,sunday"
+    files = dict(BASE, calendar=f"service_id,{days},start_date,end_date\na,1,1,1,1,1,1,1,20170110,20170105\nb,1,1,1,1,1,1,1,20170105,20170105\n")
+    feed = R.read_feed(spark, write(tmp_path, files))
+    assert rows(feed_ops.service_days(feed["calendar"], feed["calendar_dates"])) == [("b", dt.date(2017, 1, 5))]
+
+
+def test_quoted_text(spark, tmp_path):
+    files = dict(BASE, agency='agency_id,agency_name,agency_url,agency_timezone\nA1,"The ""Big"" Bus, Co","http://x",UTC\nA2,"two\nlines",u,UTC\n')
+    feed = R.read_feed(spark, write(tmp_path, files))
+    want = [("A1", 'The "Big" Bus, Co', "http://x"), ("A2", "two\nlines", "u")]
+    assert rows(feed["agency"].select("agency_id", "agency_name", "agency_url")) == want
+    back = str(tmp_path / "back")
+    R.write_feed(feed, back)
+    assert rows(R.read_feed(spark, back)["agency"].select("agency_id", "agency_name", "agency_url")) == want
+
+
+def test_routes_without_agency_are_listed(spark, tmp_path):
+    files = dict(
+        BASE, agency="agency_id,agency_name,agency_url,agency_timezone\nA,Alpha,u,UTC\nB,Beta,u,UTC\n",
+        routes="route_id,agency_id,route_short_name,route_long_name,route_type\nr1,A,1,L,3\nr2,,2,L,3\nr3,Z,3,L,3\n")
+    out = feed_ops.split_by_agency(R.read_feed(spark, write(tmp_path, files)))
+    assert rows(out["unassigned_routes"].select("route_id")) == [("r2",), ("r3",)]
+
+
 def test_references(spark, tmp_path):
     files = dict(BASE, transfers="from_stop_id,to_stop_id,transfer_type\ns1,nowhere,0\n",
                  frequencies="trip_id,start_time,end_time,headway_secs\nlost,05:30:00,06:30:00,600\n")
