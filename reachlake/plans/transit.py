@@ -21,11 +21,31 @@ STREET_SECONDS = 1440.0
 SLOT_SECONDS = 3600
 
 # What a label says about how its stop was reached. Its parent is the label of the same request at
-# (parent_round, parent_stop); the label of round 0 is the request point and has no stop.
+# (parent_round, parent_stop); the label of round 0 is the request point and has no stop. A label's
+# round also tells its boardings, as a stop can be improved for several numbers of them at once.
 LABEL = ["t", "boardings", "trip_id", "board_stop", "board_seq", "board_time", "exit_seq", "walk_m",
          "parent_stop", "parent_round"]
 
 
+ROUND_STEP = 1000  # above any number of boardings
+
+
+def _least_by_boardings(df: DataFrame, keys: list[str], fields: list[str], most: int) -> DataFrame:
+    """Rows of each key of which the first of ``fields`` is below that of all rows with fewer boardings.
+
+    At most one row per number of boardings stays, the least by ``fields`` in order.
+    """
+    first = fields[0]
+    wide = df.groupBy(*keys).agg(*[
+        F.min(F.when(F.col("boardings") == b, F.struct(*fields))).alias(f"_b{b}") for b in range(most + 1)])
+    kept = []
+    for b in range(most + 1):
+        here = F.col(f"_b{b}")
+        fewer = F.array_min(F.array(F.lit(None).cast(wide.schema[f"_b{b}"].dataType[first].dataType), *[F.col(f"_b{k}")[first] for k in range(b)]))
+        kept.append(F.when(fewer.isNull() | (here[first] < fewer), here))
+    return wide.select(*keys, F.explode(F.array_compact(F.array(*kept))).alias("_a")).select(*keys, "_a.*")
+
+
 class Network:
     """Stops, places, walks and departures prepared once and shared by every request batch.
 
@@ -72,31 +92,30 @@ class Network:
 REQ = ["request_id", "until", "cost_s"]
 
 
-def _ready(frontier: DataFrame, network: Network) -> DataFrame:
-    """Earliest time each request can board at each place after walking from improved labels."""
+def _ready(frontier: DataFrame, network: Network, most: int) -> DataFrame:
+    """Earliest time each request can board at each place after walking from improved labels.
+
+    Labels without a boarding left don't count, and one with fewer boardings stays beside an earlier
+    one with more.
+    """
+    here = frontier.where(F.col("boardings") < most).join(network.stops.select("stop_id", F.col("place_id").alias("from_place")), "stop_id")
     # The least time at a place stands for all its stops.
-    here = frontier.join(network.stops.select("stop_id", F.col("place_id").alias("from_place")), "stop_id")
-    at = here.groupBy(*REQ, "from_place").agg(F.min(F.struct("t", "boardings", "stop_id", "round")).alias("a"))
+    at = _least_by_boardings(here, [*REQ, "from_place"], ["t", "boardings", "stop_id", "round"], most)
     walked = at.join(network.walks, "from_place").select(
         *REQ,
         F.col("to_place").alias("place_id"),
-        (F.col("a.t") + F.col("dist") / STRAIGHT_SPEED + TRANSFER_SECONDS).alias("ready"),
-        F.col("a.boardings").alias("boardings"),
+        (F.col("t") + F.col("dist") / STRAIGHT_SPEED + TRANSFER_SECONDS).alias("ready"),
+        "boardings",
         F.col("dist").alias("walk_m"),
-        F.col("a.stop_id").alias("parent_stop"),
-        F.col("a.round").alias("parent_round"),
+        F.col("stop_id").alias("parent_stop"),
+        F.col("round").alias("parent_round"),
     )
-    return _earliest_ready(walked)
+    return _earliest_ready(walked, most)
 
 
-def _earliest_ready(walked: DataFrame) -> DataFrame:
-    rest = ["boardings", "walk_m", "parent_stop", "parent_round"]
-    return (
-        walked.where(F.col("ready") <= F.col("until"))
-        .groupBy(*REQ, "place_id")
-        .agg(F.min(F.struct("ready", *rest)).alias("a"))
-        .select(*REQ, "place_id", "a.*")
-    )
+def _earliest_ready(walked: DataFrame, most: int) -> DataFrame:
+    fields = ["ready", "boardings", "walk_m", "parent_stop", "parent_round"]
+    return _least_by_boardings(walked.where(F.col("ready") <= F.col("until")), [*REQ, "place_id"], fields, most)
 
 
 def _allowed(boards: DataFrame, network: Network, requests: DataFrame) -> DataFrame:
@@ -126,8 +145,9 @@ def reach(
     ``agencies`` (empty means none), ``services`` (ids running on the request's day) and
     ``transfer_cost`` seconds per boarding used to compare labels. Every catchable trip is tried
     and each is boarded once, at its earliest catchable stop. Staying in the same block costs no
-    boarding. Returns every label that improved on the ones before it; :func:`best_labels` reduces
-    them to one per stop.
+    boarding. Returns every label that is better than all at its stop with as many or fewer boardings,
+    so none is lost for being slower but with boardings left; :func:`best_labels` reduces them to one
+    per stop.
     """
     cost = F.col("transfer_cost") if "transfer_cost" in requests.columns else F.lit(transfer_cost)
     asked = requests.withColumns(
@@ -146,18 +166,18 @@ def reach(
             F.lit(None).cast("long").alias("parent_stop"), F.lit(0).alias("parent_round"),
         )
     )
-    ready = _earliest_ready(first)
+    ready = _earliest_ready(first, max_boardings)
     deltas: list[DataFrame] = []
     boarded: list[DataFrame] = []
     frontier = None
     n = 1
     while n:
         boards, _ = _board(ready, frontier, network, asked, boarded, max_boardings)
-        frontier, n = _improved(_ride(boards, network, len(deltas) + 1), deltas)
+        frontier, n = _improved(_ride(boards, network, len(deltas) + 1), deltas, max_boardings)
         boarded.append(boards)
         if n or not deltas:
             deltas.append(frontier)
-        ready = _ready(frontier, network)
+        ready = _ready(frontier, network, max_boardings)
     return union_all(deltas)
 
 
@@ -166,7 +186,7 @@ def _board(ready, frontier, network, requests, boarded, max_boardings):
     slots = F.sequence(
         F.floor(F.col("ready") / SLOT_SECONDS).cast("long"), F.floor(F.col("until") / SLOT_SECONDS).cast("long")
     )
-    by_slot = ready.where(F.col("boardings") < max_boardings).withColumn("slot", F.explode(slots))
+    by_slot = ready.withColumn("slot", F.explode(slots))
     caught = by_slot.join(network.boardable(), ["place_id", "slot"]).where(
         (F.col("departure") >= F.col("ready")) & (F.col("departure") <= F.col("until"))
     )
@@ -176,15 +196,22 @@ def _board(ready, frontier, network, requests, boarded, max_boardings):
         caught = caught.unionByName(_same_block(frontier, network, requests).select(*cols))
     rest = ["seq", "boardings", "departure", "stop_id", "walk_m", "parent_stop", "parent_round"]
     keys = [*REQ, "trip_id"]
-    tagged = caught.select(*keys, F.struct(*rest).alias("new"), F.lit(None).cast("long").alias("old"))
+    levels = range(max_boardings + 1)
+    tagged = caught.select(*keys, "boardings", F.struct(*rest).alias("new"), F.lit(None).cast("long").alias("old"))
     new_type = tagged.schema["new"].dataType
     for b in boarded:
-        tagged = tagged.unionByName(b.select(*keys, F.lit(None).cast(new_type).alias("new"), F.col("seq").alias("old")))
-    merged = tagged.groupBy(*keys).agg(F.min("new").alias("new"), F.min("old").alias("old"))
-    fresh = merged.where(
-        F.col("new").isNotNull() & (F.col("old").isNull() | (F.col("new.seq") < F.col("old")))
-    )
-    return written_with_count(fresh.select(*keys, "new.*", F.col("old").alias("until_seq")), "boards")
+        tagged = tagged.unionByName(b.select(*keys, "boardings", F.lit(None).cast(new_type).alias("new"), F.col("seq").alias("old")))
+    wide = tagged.groupBy(*keys).agg(*[
+        c for b in levels for c in (F.min(F.when(F.col("boardings") == b, F.col("new"))).alias(f"_n{b}"),
+                                    F.min(F.when(F.col("boardings") == b, F.col("old"))).alias(f"_o{b}"))])
+    fresh = []
+    for b in levels:
+        # The earliest stop of the trip that is boarded with no more boardings, before or now with fewer.
+        known = F.array_min(F.array(*[F.col(f"_o{k}") for k in range(b + 1)], *[F.col(f"_n{k}")["seq"].cast("long") for k in range(b)]))
+        here = F.col(f"_n{b}")
+        fresh.append(F.when(known.isNull() | (here["seq"] < known), F.when(here.isNotNull(), F.struct(here.alias("new"), known.alias("old")))))
+    out = wide.select(*keys, F.explode(F.array_compact(F.array(*fresh))).alias("_f"))
+    return written_with_count(out.select(*keys, "_f.new.*", F.col("_f.old").alias("until_seq")), "boards")
 
 
 def _same_block(frontier, network, requests):
@@ -231,7 +258,7 @@ def _ride(boards, network, round_no):
         "walk_m",
         "parent_stop",
         "parent_round",
-        F.lit(round_no).alias("round"),
+        (F.lit(round_no * ROUND_STEP) + F.col("boardings")).alias("round"),
     )
 
 
@@ -239,18 +266,26 @@ def _score():
     return F.col("t") + F.col("boardings") * F.col("cost_s")
 
 
-def _improved(rides, deltas):
-    """Labels with a score strictly below every earlier one at the same stop."""
+def _improved(rides, deltas, most):
+    """Labels with a score strictly below every other one at the stop with as many or fewer boardings."""
     keys = [*REQ, "stop_id"]
     tagged = rides.select(
-        *keys, F.struct(_score().alias("score"), *LABEL, "round").alias("new"), F.lit(None).cast("double").alias("old")
+        *keys, "boardings", F.struct(_score().alias("score"), *LABEL, "round").alias("new"), F.lit(None).cast("double").alias("old")
     )
     new_type = tagged.schema["new"].dataType
     for d in deltas:
-        tagged = tagged.unionByName(d.select(*keys, F.lit(None).cast(new_type).alias("new"), _score().alias("old")))
-    merged = tagged.groupBy(*keys).agg(F.min("new").alias("new"), F.min("old").alias("old"))
-    better = merged.where(F.col("new").isNotNull() & (F.col("old").isNull() | (F.col("new.score") < F.col("old"))))
-    return written_with_count(better.select(*keys, *[f"new.{c}" for c in [*LABEL, "round"]]), "labels")
+        tagged = tagged.unionByName(d.select(*keys, "boardings", F.lit(None).cast(new_type).alias("new"), _score().alias("old")))
+    levels = range(most + 1)
+    wide = tagged.groupBy(*keys).agg(*[
+        c for b in levels for c in (F.min(F.when(F.col("boardings") == b, F.col("new"))).alias(f"_n{b}"),
+                                    F.min(F.when(F.col("boardings") == b, F.col("old"))).alias(f"_o{b}"))])
+    better = []
+    for b in levels:
+        known = F.array_min(F.array(*[F.col(f"_o{k}") for k in range(b + 1)], *[F.col(f"_n{k}")["score"] for k in range(b)]))
+        here = F.col(f"_n{b}")
+        better.append(F.when(known.isNull() | (here["score"] < known), here))
+    out = wide.select(*keys, F.explode(F.array_compact(F.array(*better))).alias("new"))
+    return written_with_count(out.select(*keys, *[f"new.{c}" for c in [*LABEL, "round"]]), "labels")
 
 
 def best_labels(labels: DataFrame) -> DataFrame:

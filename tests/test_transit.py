@@ -114,3 +114,18 @@ def test_tiles(spark):
     every = spark.createDataFrame([(3, x, y) for x in range(8) for y in range(8)], "zoom int, x long, y long")
     inside = rows(tiles_in_polygons(every, ring).select("x", "y"))
     assert inside == [(x, y) for x in range(1, 7) for y in range(2, 6)]
+
+
+def test_slower_label_with_boardings_left_goes_on(spark):
+    """Stop 3 is reached sooner with two boardings, later with one by staying in the block."""
+    stops = spark.createDataFrame([(1, "A", 0, 0), (2, "B", 5000, 0), (3, "C", 10000, 0), (4, "D", 15000, 0)],
+                                  "stop_id long, stop_name string, x long, y long")
+    times = spark.createDataFrame(
+        [(10, 0, 1, 1000), (10, 1, 2, 1200), (20, 0, 2, 1300), (20, 1, 3, 1500), (30, 0, 2, 1400), (30, 1, 3, 1700),
+         (40, 0, 3, 2000), (40, 1, 4, 2300)], "trip_id long, seq long, stop_id long, arrival long")
+    trips = spark.createDataFrame([(10, "b"), (20, None), (30, "b"), (40, None)], "trip_id long, block_id string")
+    net = T.Network(stops, times, trips)
+    found = {(most, r.stop_id): (r.t, r.boardings) for most in (2, 3)
+             for r in T.best_labels(T.reach(ask(spark), net, max_boardings=most)).collect()}
+    assert found[2, 3] == found[3, 3] == (1500.0, 2)
+    assert found[2, 4] == found[3, 4] == (2300.0, 2)
