@@ -40,7 +40,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents predicted toxic; learns from the labelled documents of the stage's own input."""
-    model = toxicity.train(toxicity.labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _judged(toxicity.score_texts, docs, model, F.col("predicted") == 0)
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Ids that may be sent to every task to thin out a scan; 16 bytes each, so at most about 32 MB.
 MAX_BROADCAST_IDS = 2_000_000
@@ -65,3 +66,16 @@ def sorted_groups(stream, keys: Sequence[str], most: int = 1 << 62):
     if held:
         table = pa.Table.from_batches(held).combine_chunks()
         yield table, cut(table)
+
+
+def sample_per_key(rows: DataFrame, key: str, ident: str, most: int) -> DataFrame:
+    """``key, ident, n``: up to ``most`` rows of each key in the order of their ids' hashes, numbered from 1.
+
+    Hashes above one and a half times a key's share are dropped where they are read, so that no key
+    brings more than about that many rows to a task. ``rows`` has few different keys and is read twice.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    share = F.least(F.lit(1.0), F.lit(1.5 * most) / F.col("_rows")) * (1 << 30)
+    some = rows.join(F.broadcast(counts), key).where(F.pmod(F.xxhash64(ident), F.lit(1 << 30)) <= share)
+    order = Window.partitionBy(key).orderBy(F.xxhash64(ident), ident)
+    return some.select(key, ident, F.row_number().over(order).alias("n")).where(F.col("n") <= most)
