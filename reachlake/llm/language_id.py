@@ -11,8 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
+from reachlake.llm.spread import sample_per_key
 from reachlake.llm.textvec import batches_of, held_out, kept_columns, utf8
 
 OUTSIDE = 256  # the symbol for positions before or after a text
@@ -188,9 +188,8 @@ def training_sample(rows: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> l
     if not names:
         return []
     # Ids are chosen first, so that no text is shuffled; they are bounded as the sample is.
-    order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = (rows.where(F.col("lang").isin(names)).select("lang", "id").withColumn("n", F.row_number().over(order))
-              .where(F.col("n") <= per_language).select("lang", "id").distinct())
+    chosen = sample_per_key(rows.where(F.col("lang").isin(names)).select("lang", "id"), "lang", "id", per_language)
+    chosen = chosen.select("lang", "id").distinct()
     start = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.length("text") - SNIPPET_CHARS)).cast("int") + 1
     texts = rows.join(F.broadcast(chosen), ["lang", "id"]).where(F.col("text").rlike(r"\p{L}"))
     found = texts.select("lang", F.substring(F.col("text"), start, F.lit(SNIPPET_CHARS)).alias("text"))
