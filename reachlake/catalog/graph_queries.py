@@ -348,7 +348,11 @@ def spanning_forest(spark, sf_dir):
     return C.spanning_forest(e.withColumn("edge_id", F.col("src") * 100 + F.col("dst")))
 
 
-@query("spanning_forest_of_streets", None)
+@query("spanning_forest_of_streets", D.with_views(["road_edges"], """with recursive e as materialized (select edge_id, src, dst, weight from road_edges where src<>dst),
+    w as materialized (select src a, dst b, weight, edge_id from e union all select dst, src, weight, edge_id from e),
+    r(edge_id, weight, goal, pos) as (select edge_id, weight, dst, src from e union
+      select r.edge_id, r.weight, r.goal, w.b from r join w on w.a=r.pos and (w.weight<r.weight or (w.weight=r.weight and w.edge_id<r.edge_id)))
+    select edge_id, src, dst, weight from e where edge_id not in (select edge_id from r where pos=goal)"""))
 def spanning_forest_of_streets(spark, sf_dir):
     return C.spanning_forest(D.road_edges(spark, sf_dir))
 

@@ -89,9 +89,16 @@ def strongly_connected(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     Each round colours a vertex with the least id that reaches it; within a colour, the vertices
     that reach back to the colour's own vertex form its component and leave the graph.
     """
-    left, n = written_with_count(vertices.select("id").distinct(), "open")
-    e = edges.select("src", "dst").where("src <> dst").distinct()
-    done = []
+    # Whatever can be peeled off from either end is alone; without this a long path, of which a round
+    # trims one vertex at each end, would be coloured anew for each of them.
+    all_, e = written(vertices.select("id").distinct(), "open"), written(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
+    _, rest = topological_levels(all_, e)
+    rest = written(rest, "rest")
+    inside = e.join(rest.withColumnRenamed("id", "src"), "src", "left_semi").join(rest.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    e = written(inside.select("src", "dst"), "edges")
+    _, rest = topological_levels(rest, reverse(e))
+    left, n = written_with_count(rest, "open")
+    done = [all_.join(left, "id", "left_anti").select("id", F.col("id").alias("component"))]
     while n:
         alive_src, alive_dst = left.withColumnRenamed("id", "src"), left.withColumnRenamed("id", "dst")
         e = written(e.join(alive_src, "src", "left_semi").join(alive_dst, "dst", "left_semi").select("src", "dst"), "edges")
@@ -144,18 +151,37 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     while n:
         rest = F.struct("weight", "edge_id", "src", "dst", "a", "b").alias("e")
         ends = live.select(F.col("a").alias("c"), rest).unionByName(live.select(F.col("b").alias("c"), rest))
-        picks = written(ends.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct(), "picks")
-        chosen.append(picks.select(*cols))
-        links = picks.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        comp = connected_components(vertices_of(links), links)
+        picks = written(ends.groupBy("c").agg(F.min("e").alias("e")), "picks")
+        chosen.append(picks.select("e.*").distinct().select(*cols))
+        to = F.when(F.col("c") == F.col("e.a"), F.col("e.b")).otherwise(F.col("e.a"))
+        comp = _roots(picks.select("c", to.alias("up")))
         moved = (
-            live.join(comp.withColumnsRenamed({"id": "a", "component": "na"}), "a")
-            .join(comp.withColumnsRenamed({"id": "b", "component": "nb"}), "b")
+            live.join(comp.withColumnsRenamed({"c": "a", "up": "na"}), "a")
+            .join(comp.withColumnsRenamed({"c": "b", "up": "nb"}), "b")
             .where("na <> nb").select(*cols, F.col("na").alias("a"), F.col("nb").alias("b")))
         live, n = written_with_count(moved, "live")
     return union_all(chosen) if chosen else live.select(*cols)
 
 
+def _roots(up: DataFrame) -> DataFrame:
+    """Root of each ``c, up`` where links lead into one pair that points at each other.
+
+    The smaller of the pair is the root. Each round a vertex takes over its parent's parent, so the
+    number of rounds is the logarithm of the longest chain.
+    """
+    def above(links):
+        return links.select(F.col("c").alias("up"), F.col("up").alias("top"))
+
+    top = (F.col("top") == F.col("c")) & (F.col("c") < F.col("up"))
+    up = written(up.join(above(up), "up").select("c", F.when(top, F.col("c")).otherwise(F.col("up")).alias("up")), "roots")
+    while True:
+        nxt = up.join(above(up), "up").select("c", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved"))
+        up, seen = written_observed(nxt, "roots", n=F.count_if("moved"))
+        up = up.drop("moved")
+        if not seen["n"]:
+            return up
+
+
 def bipartite(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, bipartite``: whether the vertex's component can be split into two sides.
 

@@ -164,9 +164,17 @@ def closure(edges: DataFrame) -> DataFrame:
 
 def reduction(edges: DataFrame, closed: DataFrame | None = None) -> DataFrame:
     """Edges of an acyclic graph that no longer path replaces."""
-    e = edges.select("src", "dst").distinct()
-    closed = written(closure(e), "closure") if closed is None else closed
-    longer = e.withColumnRenamed("dst", "mid").join(closed.withColumnRenamed("src", "mid"), "mid").select("src", "dst")
+    e = written(edges.select("src", "dst").distinct(), "edges")
+    if closed is None:
+        # Only what lies behind the other edges of a source matters.
+        several = e.groupBy("src").agg(F.count("*").alias("n")).where("n > 1").select("src")
+        mids = e.join(several, "src", "left_semi").select(F.col("dst").alias("source")).distinct()
+        seeds = mids.join(e.withColumnsRenamed({"src": "source", "dst": "id"}), "source").withColumn("cost", F.lit(1))
+        labels, _ = relax(seeds, e, ["source"], step=F.col("cost") + 1)
+        closed = written(labels.select(F.col("source").alias("src"), F.col("id").alias("dst")), "closure")
+    # Pairs of edges of one source, kept where the first leads on to the end of the second.
+    pairs = e.withColumnRenamed("dst", "mid").join(e, "src").where("mid <> dst")
+    longer = pairs.join(closed.withColumnRenamed("src", "mid"), ["mid", "dst"], "left_semi").select("src", "dst")
     return e.join(longer, ["src", "dst"], "left_anti")
 
 
