@@ -101,10 +101,13 @@ def nodes_with_edges(spark, sf_dir):
     return B.connected_nodes(D.road_nodes(spark, sf_dir).select("node_id"), e)
 
 
-@query("edge_polylines", D.with_views(["b_edges"], "select id edge_id, 0::bigint piece, 3 n, 3 points from b_edges"))
+@query("edge_polylines", D.with_views(["b_edges", "b_nodes"], """with e as (select id, unnest([[a.lat, a.lon, a.ele], [(a.lat+b.lat)/2, (a.lon+b.lon)/2, (a.ele+b.ele)/2], [b.lat, b.lon, b.ele]]) p, unnest([0, 1, 2]) i
+      from b_edges join b_nodes a on a.node_id=node_a join b_nodes b on b.node_id=node_b)
+    select id edge_id, 0::bigint piece, string_agg(round(p[1]*2e6)::bigint||' '||round(p[2]*2e6)::bigint||' '||round(p[3]*2)::bigint, ',' order by i) points from e group by id"""))
 def edge_polylines(spark, sf_dir):
     out = B.polylines(bike_edges(spark, sf_dir), bike_points(spark, sf_dir))
-    return out.select("edge_id", "piece", F.size("points").alias("n"), F.size(F.array_distinct(F.transform("points", lambda p: F.struct(p["lat"], p["lon"])))).alias("points"))
+    whole = lambda p: F.concat_ws(" ", *[F.round(p[c] * k).cast("long").cast("string") for c, k in (("lat", 2e6), ("lon", 2e6), ("ele", 2.0))])
+    return out.select("edge_id", "piece", F.array_join(F.transform("points", whole), ",").alias("points"))
 
 
 def _two_latitudes(df):

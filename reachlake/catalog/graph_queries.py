@@ -370,12 +370,15 @@ def bipartite_streets(spark, sf_dir):
     return C.bipartite(road_vertices(spark, sf_dir), D.road_edges(spark, sf_dir))
 
 
-@query("maximal_matching", "select unnest(['vertices_used_twice','edges_not_in_graph','edges_still_free']) fact, 0::bigint n")
+@query("maximal_matching", D.with_views(["road_nodes"], """select unnest(['vertices_used_twice','edges_not_in_graph','edges_still_free']) fact, 0::bigint n
+    union all select 'matched_and_unmatched_vertices', count(*) from road_nodes"""))
 def maximal_matching(spark, sf_dir):
     e = written(D.road_edges(spark, sf_dir), "edges")
     m = written(C.maximal_matching(e), "matching")
     report = C.matching_report(road_vertices(spark, sf_dir), e, m)
-    return report.where(F.col("fact").isin("vertices_used_twice", "edges_not_in_graph", "edges_still_free"))
+    both = report.agg(F.sum(F.when(F.col("fact") == "size", 2 * F.col("n")).when(F.col("fact") == "unmatched_vertices", F.col("n"))).alias("n"))
+    return report.where(F.col("fact").isin("vertices_used_twice", "edges_not_in_graph", "edges_still_free")).unionByName(
+        both.select(F.lit("matched_and_unmatched_vertices").alias("fact"), "n"))
 
 
 @query("matching_mates")
@@ -383,15 +386,17 @@ def matching_mates(spark, sf_dir):
     return C.mates(C.maximal_matching(D.road_edges(spark, sf_dir)))
 
 
-@query("feedback_arcs", "select true as acyclic, true as at_most_half")
+@query("feedback_arcs", D.with_views(["hop_edges"], """select true as acyclic, true as at_most_half, count(*) as arcs_and_rest,
+    (select count(*) from (select src from hop_edges union select dst from hop_edges)) as vertices from hop_edges"""))
 def feedback_arcs(spark, sf_dir):
     e = written(D.hop_edges(spark, sf_dir), "edges")
     arcs = written(C.feedback_arcs(G.vertices_of(e), e), "arcs")
     rest = written(e.join(arcs, ["src", "dst"], "left_anti").select("src", "dst"), "rest")
     loops = P.closure(rest).where("src = dst")
     acyclic = loops.agg((F.count("*") == 0).alias("acyclic"), F.lit(1).alias("k"))
-    half = arcs.agg(F.count("*").alias("a")).select((F.col("a") * 2 <= e.count()).alias("at_most_half"), F.lit(1).alias("k"))
-    return acyclic.join(half, "k").drop("k")
+    half = arcs.agg(F.count("*").alias("a")).select((F.col("a") * 2 <= e.count()).alias("at_most_half"), F.lit(1).alias("k"), "a")
+    left = rest.agg(F.count("*").alias("r")).withColumn("vertices", F.lit(G.vertices_of(e).count())).withColumn("k", F.lit(1))
+    return acyclic.join(half, "k").join(left, "k").withColumn("arcs_and_rest", F.col("a") + F.col("r")).drop("k", "a", "r")
 
 
 TRED = """with recursive c(src, dst) as (select src, dst from dag_edges union select c.src, d.dst from c join dag_edges d on c.dst=d.src)"""

@@ -88,16 +88,26 @@ def bellman_ford_or_raise(sources: DataFrame, edges: DataFrame, vertex_count: in
 
 
 def negative_cycle(source: DataFrame, edges: DataFrame, vertex_count: int) -> DataFrame:
-    """Vertices ``position, id`` of one negative cycle in edge order; empty when there is none."""
-    labels, negative = bellman_ford(source, edges, vertex_count)
-    to = written(labels.where("pred is not null").select("id", F.col("pred").alias("p")), "preds")
-    if not negative:
-        return to.select(F.lit(0).alias("position"), "id").limit(0)
-    jump, steps = to, 1
-    while steps < vertex_count:
-        # Twice as many steps back each time; who is still reached after V steps lies on a cycle.
-        jump = written(jump.join(jump.select(F.col("id").alias("p"), F.col("p").alias("q")), "p").select("id", F.col("q").alias("p")), "jump")
-        steps *= 2
+    """Vertices ``position, id`` of one negative cycle in edge order; empty when there is none.
+
+    Predecessor links form a cycle only where there is a negative one, mostly long before all rounds
+    are done. So they are looked at after 8 rounds and each time their number has doubled.
+    """
+    most = min(8, vertex_count)
+    while True:
+        labels, negative = bellman_ford(source, edges, most)
+        to = written(labels.where("pred is not null").select("id", F.col("pred").alias("p")), "preds")
+        if not negative:
+            return to.select(F.lit(0).alias("position"), "id").limit(0)
+        jump, steps, n = to, 1, 1
+        while steps < vertex_count and n:
+            # Twice as many steps back each time; who is still reached after V steps lies on a cycle.
+            back = jump.select(F.col("id").alias("p"), F.col("p").alias("q"))
+            jump, n = written_with_count(jump.join(back, "p").select("id", F.col("q").alias("p")), "jump")
+            steps *= 2
+        if n:
+            break
+        most = min(2 * most, vertex_count)
     start = jump.agg(F.min("p").alias("id"))
     around = to.select(F.col("id").alias("src"), F.col("p").alias("dst"))
     labels, _ = relax(start.select("id", F.lit(0).alias("cost")), around, step=F.col("cost") + 1)
