@@ -249,6 +249,27 @@ def strongly_connected(spark, sf_dir):
     return C.strongly_connected(G.vertices_of(e), e)
 
 
+@query("strongly_connected_hops", D.with_views(["hop_edges"], SCC_SQL.replace("next_edges", "hop_edges") + " select id, component from scc"))
+def strongly_connected_hops(spark, sf_dir):
+    """All hops, where most stops reach each other."""
+    e = written(D.hop_edges(spark, sf_dir).select("src", "dst"), "edges")
+    return C.strongly_connected(G.vertices_of(e), e)
+
+
+@query("strongly_connected_order_network", D.with_views(["order_network"], """
+    select src id, src component from order_network union select dst, dst from order_network"""))
+def strongly_connected_order_network(spark, sf_dir):
+    """A network without cycles, in which every vertex is alone."""
+    e = written(D.order_network(spark, sf_dir).select("src", "dst"), "edges")
+    return C.strongly_connected(G.vertices_of(e), e)
+
+
+@query("connected_components_of_streets", D.with_views(["road_edges", "road_nodes"],
+       CC_SQL.format(e="road_edges", v="node_id", t="road_nodes") + " select * from comp"))
+def connected_components_of_streets(spark, sf_dir):
+    return C.connected_components(road_vertices(spark, sf_dir), D.road_edges(spark, sf_dir))
+
+
 @query("condensation", D.with_views(["next_edges"], SCC_SQL + """
     select distinct a.component src, b.component dst from next_edges join scc a on a.id=src join scc b on b.id=dst where a.component<>b.component"""))
 def condensation(spark, sf_dir):
