@@ -151,7 +151,10 @@ def test_next_text_by_id(spark, ids):
     assert Counter(r["fingerprint"] for r in one) == Counter(r["fingerprint"] for r in got)
 
 
-def test_language_model_counts_and_normalisation(spark):
+@pytest.mark.parametrize("shard_tokens", [3_000_000, 40])
+def test_language_model_counts_and_normalisation(spark, monkeypatch, shard_tokens):
+    # With small shards, words like "the" are frequent and have parts.
+    monkeypatch.setattr(pitman_yor, "SHARD_TOKENS", shard_tokens)
     texts = [None, "", "a b a b a b", "A B c", "a b c d", "zzz a b", "a b a b a b"] + [f"the cat sat on mat {i % 7}" for i in range(60)]
     docs = table(spark, texts).withColumn("out", F.col("doc_id") % 5 == 4)
     got = {r["doc_id"]: r for r in pitman_yor.score(docs, held="out").collect()}
@@ -176,14 +179,17 @@ def test_seating_stays_consistent_and_sums_to_one():
     v[:k] = np.bincount(context, count, k)
     v[k : 2 * k] = np.bincount(context, count > 0, k)
     v[2 * k :] = [(count > 0).sum(), known, count.sum(), known, 10, 5, 10, 5]
-    totals = pitman_yor.Totals(v)
-    s = pitman_yor.Seating(np.full(words, 5), context, count, totals, 3)
+    totals = pitman_yor.Totals(v, 0)
+    s = pitman_yor.Seating(np.full(words, 5), np.zeros(words, int), context, count, totals, 3)
     for _ in range(5):
         s.sweep()
         at = np.add.reduceat(s.at_table, s.first)
         assert (at == s.count[s.active]).all() and (s.at_table >= 0).all()
         assert (np.add.reduceat((s.at_table > 0).astype(int), s.first) == s.tables[s.active]).all()
-    totals.with_tables(s.sums())
+    place, value = s.sums()
+    tables = np.zeros(pitman_yor.Totals.places(0))
+    tables[place] = value
+    totals.with_tables(tables)
     fresh = (pitman_yor.STRENGTH + totals.root_discount * totals.root_tables) * totals.base
     root = s.root_probability()
     unknown = fresh / (pitman_yor.STRENGTH + totals.root_customers)
