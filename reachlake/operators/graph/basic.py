@@ -111,7 +111,10 @@ def complement(vertices: DataFrame, edges: DataFrame, weight: float) -> DataFram
     """Edges absent from the graph, without loops. The result itself has about V squared rows."""
     dense = OrderedScan(vertices.select("id"), [], ["id"]).index("i").frame()
     n = dense.count()
-    others = dense.select("id", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)).cast("long"))).alias("j"))
+    # Places in two steps, so that no row holds more of them than the root of their number.
+    last, step = F.lit(max(n - 1, 0)).cast("long"), int(n**0.5) + 1
+    runs = dense.select("id", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(step).cast("long"))).alias("from"))
+    others = runs.select("id", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + step - 1, last))).alias("j"))
     pairs = others.join(dense.select(F.col("i").alias("j"), F.col("id").alias("dst")), "j").select(
         F.col("id").alias("src"), "dst").where("src <> dst")
     return pairs.join(edges.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("weight", F.lit(weight))

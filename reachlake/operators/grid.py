@@ -85,13 +85,14 @@ def _start_cell(items: DataFrame, by: Sequence[str], k: int) -> float:
         return 1.0
     extent = max(box["x9"] - box["x0"], box["y9"] - box["y0"], 1e-9)
     per_group = max(1.0, box["n"] / max(1, box["groups"]))
-    size = max(extent * (k / per_group) ** 0.5, box["len"], extent * 1e-6)
+    size = max(extent * (k / per_group) ** 0.5, box["len"], extent * 1e-12)
     limit = max(1000, hot_row_limit(items.sparkSession) // 100)
-    while size > extent * 1e-6:
+    # A far outlier stretches the extent, so cells may have to get very small beside it.
+    while size > extent * 1e-12:
         dense = items.groupBy(*by, cell("x1", size), cell("y1", size)).count().agg(F.max("count")).first()[0]
         if dense <= limit:
             break
-        size /= 4.0
+        size /= 16.0
     return float(size)
 
 

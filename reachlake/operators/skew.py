@@ -72,10 +72,15 @@ def salted_join(
     """Equi-join in which hot keys of ``big`` are split over tasks by a hash of ``spread``.
 
     ``how`` may be inner, left, left_semi or left_anti, all exact because every row of ``big``
-    meets the whole of ``other`` for its key.
+    meets the whole of ``other`` for its key. In an inner join hot keys of ``other`` are split where
+    ``big`` has none.
     """
     keys = list(keys)
     hot = hot_keys(big, keys)
+    if hot is None and how == "inner" and (hot := hot_keys(other, keys)) is not None:
+        rest = [c for c in other.columns if c not in keys]
+        right = with_salt(other, keys, hot, rest or keys)
+        return with_all_salts(big, keys, hot).join(right, [*keys, "_salt"]).drop("_salt")
     if hot is None:
         return big.join(other, keys, how)
     left = with_salt(big, keys, hot, spread)

@@ -53,6 +53,14 @@ def test_salted_join_equals_join(spark, hot):
         assert rows(got.select(want.columns).fillna("-")) == rows(want.fillna("-"))
 
 
+def test_hot_keys_of_the_other_side_are_split(spark, hot):
+    left = spark.createDataFrame([(0, "x"), (2, "z"), (9, "n")], "k int, name string")
+    right = sample(spark).drop("w")
+    assert skew.hot_keys(left, ["k"]) is None
+    got, want = skew.salted_join(left, right, ["k"], ["name"]), left.join(right, "k")
+    assert rows(got.select(want.columns)) == rows(want)
+
+
 def test_pieces_are_bounded_and_whole(spark, hot):
     df = sample(spark)
     out = skew.in_pieces(df, ["k"], ["i"], F.col("i"), size=7).collect()
