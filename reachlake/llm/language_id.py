@@ -141,8 +141,8 @@ class ByteGru:
         first = np.cumsum(count) - count
         start = offs[doc] + (np.arange(len(doc)) - first[doc]) * CORE
         symbols_of = np.append(data.astype(np.int16), np.int16(OUTSIDE))
-        for at in range(0, len(doc), 4096):
-            d, s = doc[at : at + 4096], start[at : at + 4096]
+        for at in range(0, len(doc), 2048):
+            d, s = doc[at : at + 2048], start[at : at + 2048]
             place = s[:, None] + np.arange(-MARGIN, CORE + MARGIN)
             inside = (place >= offs[d][:, None]) & (place < offs[d + 1][:, None])
             symbols = symbols_of[np.where(inside, place, len(data))]

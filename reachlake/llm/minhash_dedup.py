@@ -28,7 +28,7 @@ LEAST_AGREEING = 0.5
 COMMON_SHARE = 1 / 1000
 IDF_SHARE = 0.2
 # Members of a band's bucket that one group holds, and members of a larger bucket that all its groups hold.
-MAX_GROUP, LEADERS = 2048, 32
+MAX_GROUP, LEADERS = 256, 16
 
 
 class Weights:
@@ -100,7 +100,7 @@ def common_shingles(rows: DataFrame, n_docs: int) -> Weights:
             _, term, _, _ = bags(b.column("text").combine_chunks())
             held.append(term)
             size += len(term)
-            if size >= 4_000_000:
+            if size >= 1_000_000:
                 yield from blocks()
                 held, size = [], 0
         if size:

@@ -202,7 +202,7 @@ class WordIds:
     merged here from the vocabulary's own table; the library encodes all others. Caches are bounded.
     """
 
-    def __init__(self, spec: str, max_cached: int = 600_000):
+    def __init__(self, spec: str, max_cached: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)

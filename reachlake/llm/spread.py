@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from reachlake.llm.textvec import release_memory
+
 # Ids that may be sent to every task to thin out a scan; 16 bytes each, so at most about 32 MB.
 MAX_BROADCAST_IDS = 2_000_000
 
@@ -66,6 +68,8 @@ def sorted_groups(stream, keys: Sequence[str], most: int = 1 << 62):
     if held:
         table = pa.Table.from_batches(held).combine_chunks()
         yield table, cut(table)
+    held, table = [], None
+    release_memory()
 
 
 def sample_per_key(rows: DataFrame, key: str, ident: str, most: int) -> DataFrame:

@@ -6,6 +6,8 @@ Words are maximal runs of bytes other than space and 0x09-0x0D, so they never sp
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -155,5 +157,16 @@ def batches_of(stream, rows: int, size: int):
                 held, n, b = [], 0, 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    held = []
+    release_memory()
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system, as a worker is kept for other tasks of its executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not this C library
 
 
