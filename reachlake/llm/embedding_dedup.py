@@ -2,9 +2,10 @@
 
 Vectors with equal labels are dealt into shards around pivots, each into the shards of its nearest
 ones. Every shard's members get a robust-pruned adjacency list, the lists of a vector from all its
-shards are joined, and each vector is searched for in its shards from the shard's medoid: the best
-members found are expanded, and all that lie within the range always. Links are verified in double
-precision, and recall is audited against brute force.
+shards are joined, and each vector is searched for in its shards from itself and the medoids of the
+graph's parts: the best members found are expanded, and all that lie within the range always, with
+lists that hold every member within the range. So two members of one shard that link are always
+found. Links are verified in double precision, and recall is audited against brute force.
 """
 
 from __future__ import annotations
@@ -70,21 +71,68 @@ def robust_prune(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def lowest_reached(m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of ``m`` members that each hangs together with by the pairs ``a, b``."""
+    low = np.arange(m)
+    while True:
+        new = low.copy()
+        np.minimum.at(new, a, low[b])
+        np.minimum.at(new, b, low[a])
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+def cosines(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each pair, summed up by itself, so that it comes out alike in every shard that holds it."""
+    out = np.empty(len(a))
+    for at in range(0, len(a), 200_000):
+        i, j = a[at : at + 200_000], b[at : at + 200_000]
+        out[at : at + 200_000] = np.einsum("ij,ij->i", x[i], x[j])
+    return out
+
+
+def links_within(x: np.ndarray, least: float) -> np.ndarray:
+    """0/1 matrix of the pairs within the range; the product of all only picks candidates."""
+    a, b = np.nonzero(np.triu(x @ x.T >= least - 1e-9, 1))
+    out = np.zeros((len(x), len(x)), np.float32)
+    out[a, b] = cosines(x, a, b) >= least
+    return np.maximum(out, out.T)
+
+
+def entries(x: np.ndarray, graph: np.ndarray) -> np.ndarray:
+    """The medoid of each part of the graph; edges to the first one join the parts, in place."""
+    part = lowest_reached(len(x), *np.nonzero(graph))
+    out = []
+    for p in np.unique(part):
+        at = np.flatnonzero(part == p)
+        out.append(at[np.argmax(x[at] @ x[at].sum(axis=0))])
+    out = np.array(out)
+    graph[out[0], out[1:]] = graph[out[1:], out[0]] = 1
+    return out
+
+
 def range_search(x: np.ndarray, graph: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs ``(query, member)`` within the range, query before member, as found through the graph.
 
-    ``graph`` is the members' adjacency as a 0/1 matrix. All members are queries at once; each starts
-    at the medoid. A round expands the best member not yet expanded, if it is among the ``BEAM`` best
-    seen, and every member within the range.
+    ``graph`` is the members' adjacency as a 0/1 matrix. Its lists are cut at ``DEGREE``; members within
+    the range are added to them whole, so that no link depends on the cut, and the parts it falls into
+    are joined. All members are queries at once; each starts at itself and at the parts' medoids. A
+    round expands the best member not yet expanded, if it is among the ``BEAM`` best seen, and every
+    member within the range.
     """
     m = len(x)
-    medoid = int(np.argmax(x @ x.sum(axis=0)))
+    graph = np.maximum(graph, links_within(x, least))
+    start = entries(x, graph)
     seen = np.zeros((m, m), bool)
     done = np.zeros((m, m), bool)
     score = np.full((m, m), -np.inf)
-    seen[:, medoid] = True
-    score[:, medoid] = x @ x[medoid]
     rows = np.arange(m)
+    seen[:, start] = True
+    seen[rows, rows] = True
+    q, v = np.nonzero(seen)
+    score[q, v] = cosines(x, q, v)
     while True:
         open_ = np.where(done, -np.inf, score)
         best = open_.argmax(axis=1)
@@ -101,9 +149,7 @@ def range_search(x: np.ndarray, graph: np.ndarray, least: float) -> tuple[np.nda
         q, v = np.nonzero(new)
         q = active[q]
         seen[q, v] = True
-        for at in range(0, len(q), 200_000):
-            a, b = q[at : at + 200_000], v[at : at + 200_000]
-            score[a, b] = np.einsum("ij,ij->i", x[a], x[b])
+        score[q, v] = cosines(x, q, v)
     found = score >= least
     found |= found.T
     return np.nonzero(np.triu(found, 1))
@@ -229,16 +275,7 @@ def search(members: DataFrame, graph: DataFrame, least: float) -> DataFrame:
                 graph_[source[here], at[here]] = 1
                 graph_ = np.maximum(graph_, graph_.T)
                 a, b = range_search(unit(vectors.slice(i, m)), graph_, least)
-                # Components by the least member that links reach.
-                low = np.arange(m)
-                while True:
-                    new = low.copy()
-                    np.minimum.at(new, a, low[b])
-                    np.minimum.at(new, b, low[a])
-                    new = new[new]
-                    if (new == low).all():
-                        break
-                    low = new
+                low = lowest_reached(m, a, b)
                 sets = shards.slice(i, m).to_pylist()
                 if any(len(s) > 1 for s in sets):
                     home = shard[i]

@@ -178,6 +178,32 @@ def test_embedding_links(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def links_by_brute_force(x, least=0.98):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= least
+    np.fill_diagonal(near, False)
+    return near
+
+
+def test_clumps_in_one_shard_all_link(spark):
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(0, 1, (5, 32)), 60, axis=0) + rng.normal(0, 0.02, (300, 32))
+    x = x[rng.permutation(300)]
+    near = links_by_brute_force(x)
+    df = spark.createDataFrame([(i, v.tolist(), 3) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df).collect()}
+    assert near.sum(axis=1).min() == 59
+    assert [got[i]["n_links"] for i in range(300)] == near.sum(axis=1).tolist()
+    assert sum(r["kept"] for r in got.values()) == 5 and got[0]["audited_recall"] == 1.0
+
+
+def test_parts_of_a_graph_are_joined():
+    x = np.repeat(np.eye(4), 3, axis=0)
+    graph = np.kron(np.eye(4), np.ones((3, 3)) - np.eye(3)).astype(np.float32)
+    assert len(embedding_dedup.entries(x, graph)) == 4
+    assert not embedding_dedup.lowest_reached(12, *np.nonzero(graph)).any()
+
+
 LETTERS = {"en": "the and with", "fr": "les être où", "de": "der über groß"}
 
 
