@@ -161,7 +161,7 @@ def _band_keys(classes: DataFrame) -> DataFrame:
 
 
 def spanning_pairs(cls: np.ndarray, sig: np.ndarray) -> list[tuple[int, int]]:
-    """Of the pairs that agree in enough samples, at most two per member that keep what hangs together.
+    """First round: of the pairs that agree in enough samples, at most two per member that keep what hangs together.
 
     Members join one by one, each time the one most alike to any before it, with its links to the two
     members most alike. So each member has its strongest link and one to spare, and no group sends
@@ -190,16 +190,20 @@ def spanning_pairs(cls: np.ndarray, sig: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def candidate_pairs(classes: DataFrame, n_classes: int) -> DataFrame:
-    """``a, b``: classes that share a band and agree in enough samples.
+def bucket_members(classes: DataFrame, n_classes: int) -> DataFrame:
+    """``key, cls, n``: classes that share a band with others, and how many do."""
+    keys = written(_band_keys(classes), "bands")
+    sizes = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band-sizes")
+    return written(lookup(keys, sizes, ["key"], "n", BANDS * n_classes), "buckets")
+
+
+def candidate_pairs(hit: DataFrame, classes: DataFrame) -> DataFrame:
+    """``a, b``: classes that share a band and agree in enough samples, for the first round.
 
     Buckets beyond ``MAX_GROUP`` members are dealt into groups, all of which also hold the bucket's
-    leaders (about ``LEADERS`` members chosen by hash), so that alike members of different groups meet
-    through these, and most of them in some other band besides.
+    leaders (about ``LEADERS`` members chosen by hash), so that most alike members of different groups
+    meet through these. What is left apart meets in later rounds.
     """
-    keys = written(_band_keys(classes), "bands")
-    sizes = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band-sizes")
-    hit = lookup(keys, sizes, ["key"], "n", BANDS * n_classes)
     groups = F.ceil(F.col("n") / MAX_GROUP).cast("int")
     leads = (groups > 1) & (F.pmod(F.xxhash64("cls", F.lit(1)), F.col("n")) < LEADERS)
     own = F.pmod(F.xxhash64("cls"), groups).cast("int")
@@ -223,6 +227,60 @@ def candidate_pairs(classes: DataFrame, n_classes: int) -> DataFrame:
     return placed.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
+def best_untested(cls: np.ndarray, sig: np.ndarray, component: np.ndarray, failed: list, share: int) -> set[tuple[int, int]]:
+    """Of each member the ``share`` members of other components most alike, of those that agree enough and didn't fail with it."""
+    out = set()
+    for i in range(len(cls)):
+        at = np.flatnonzero(component != component[i])
+        if failed[i] is not None:
+            at = at[~np.isin(cls[at], failed[i])]
+        alike = (sig[at] == sig[i]).mean(axis=1)
+        best = np.argsort(-alike, kind="stable")[:share]
+        out.update((min(i, int(x)), max(i, int(x))) for x in at[best[alike[best] >= LEAST_AGREEING]])
+    return out
+
+
+def untested_pairs(hit: DataFrame, classes: DataFrame, groups: DataFrame, failed: DataFrame, n_classes: int, share: int) -> DataFrame:
+    """``a, b``: classes of one bucket and different components that agree in enough samples and were not verified yet.
+
+    There are none if and only if all such pairs were verified. Only buckets with several components
+    are looked at. One beyond ``MAX_GROUP`` members is dealt into blocks, those of its largest
+    component apart from the others, and every two blocks meet but those of the largest component.
+    """
+    named = written(hit.select("key", "cls").join(groups.withColumnRenamed("id", "cls"), "cls"), "bucket-components")
+    parts = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
+    mixed = parts.groupBy("key").agg(F.max(F.struct("m", "component")).alias("main"), F.sum("m").alias("n"), F.count(F.lit(1)).alias("k"))
+    mixed = written(mixed.where("k > 1").select("key", F.col("main.component").alias("main"), F.col("main.m").alias("m"), "n"), "mixed-buckets")
+    some = lookup(named, mixed, ["key"], "n", BANDS * n_classes)
+    half, large = max(1, MAX_GROUP // 2), F.col("n") > MAX_GROUP
+    mains, rest = F.ceil(F.col("m") / half).cast("int"), F.ceil((F.col("n") - F.col("m")) / half).cast("int")
+    place = F.xxhash64("cls")
+    own = F.when(~large, 0).when(F.col("component") == F.col("main"), F.pmod(place, mains)).otherwise(mains + F.pmod(place, rest)).cast("int")
+    others = F.when(~large, F.array(F.lit(0))).otherwise(
+        F.sequence(F.when(F.col("component") == F.col("main"), mains).otherwise(0), mains + rest - 1))
+    cells = some.select("key", "cls", "component", own.alias("own"), F.explode(others).alias("other")).select(
+        "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "cls", "component")
+    both = failed.select("a", "b").unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    lists = both.groupBy(F.col("a").alias("cls")).agg(F.collect_list("b").alias("failed"))
+    partitions = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = (cells.join(classes.select("cls", "sig"), "cls").join(lists, "cls", "left").repartition(partitions, "key", "lo", "hi")
+              .sortWithinPartitions("key", "lo", "hi", "cls"))
+
+    def run(stream):
+        for table, first in sorted_groups(stream, ["key", "lo", "hi"]):
+            cls, component = table.column("cls").to_numpy(), table.column("component").to_numpy()
+            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u4").reshape(len(cls), -1)
+            lists = table.column("failed")
+            a, b = [], []
+            for i, j in zip(first, first[1:]):
+                for x, y in best_untested(cls[i:j], sig[i:j], component[i:j], lists.slice(i, j - i).to_pylist(), share):
+                    a.append(min(cls[i + x], cls[i + y]))
+                    b.append(max(cls[i + x], cls[i + y]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return placed.mapInArrow(run, "a long, b long").distinct()
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two (sorted terms, weights)."""
     term = np.concatenate([a[0], b[0]])
@@ -277,14 +335,39 @@ def verified_pairs(pairs: DataFrame, rows: DataFrame, reps: DataFrame, weights:
     return placed.mapInArrow(check, "a long, b long, similarity double")
 
 
+def linked_groups(classes: DataFrame, n_classes: int, rows: DataFrame, weights: Weights, least: float) -> tuple[DataFrame, DataFrame]:
+    """Verified links, and ``id, component`` of the classes.
+
+    Rounds of verified pairs go on until all pairs of a bucket that agree enough are verified or
+    within one component. A member sends twice as many partners each round, the most alike first.
+    """
+    reps = classes.select("cls", F.col("rep").alias("id"))
+    hit = bucket_members(classes, n_classes)
+    pairs = written(candidate_pairs(hit, classes), "pairs")
+    links = failed = None
+    share = 2
+    while True:
+        passed = written(verified_pairs(pairs, rows, reps, weights, least), "links")
+        links = passed if links is None else links.unionByName(passed)
+        not_ = written(pairs.join(passed.select("a", "b"), ["a", "b"], "left_anti"), "failed")
+        failed = not_ if failed is None else failed.unionByName(not_)
+        edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        groups = written(connected_components(classes.select(F.col("cls").alias("id")), edges), "groups")
+        share *= 2
+        pairs, n = written_with_count(untested_pairs(hit, classes, groups, failed, n_classes, share), "pairs")
+        if not n:
+            return links, groups
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """``id_col, copy_of, group_id, n_links, kept`` for every row.
 
     ``copy_of`` is the smallest id among texts with the same lower-cased words, ``n_links`` the number
     of verified links of that text to different texts, ``group_id`` the smallest id that links lead to
     and ``kept`` whether it is the row's own. Links hold a weighted Jaccard similarity of at least
-    ``least`` over five-word shingles (of all words, for shorter texts). Each text has at most a few
-    links per band, enough to join its group. Null texts and texts without words are in a group by
+    ``least`` over five-word shingles (of all words, for shorter texts). Pairs are verified until no two
+    groups hold texts of a common bucket that agree enough and are not verified; within a group only
+    the links that made it count. Null texts and texts without words are in a group by
     themselves. A null id groups with the others and never names a group; rows that repeat an id and
     text stay together. Other columns are ignored, an empty table gives an empty result.
     """
@@ -294,11 +377,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     samples, n = written_with_count(sample_texts(rows, weights), "samples")
     classes, n_classes = written_with_count(
         samples.groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig")), "classes")
-    pairs = written(candidate_pairs(classes, n_classes), "pairs")
-    reps = classes.select("cls", F.col("rep").alias("id"))
-    links = written(verified_pairs(pairs, rows, reps, weights, least), "links")
+    links, groups = linked_groups(classes, n_classes, rows, weights, least)
     edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    groups = written(connected_components(classes.select(F.col("cls").alias("id")), edges), "groups")
     named = groups.withColumnsRenamed({"id": "cls"}).join(classes.select("cls", "rep", "n"), "cls")
     degree = edges.select(F.explode(F.array("src", "dst")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
     lowest = named.groupBy("component").agg(F.min("rep").alias("group"))

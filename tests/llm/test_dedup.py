@@ -133,6 +133,22 @@ def test_large_buckets_are_dealt_into_groups(spark, monkeypatch):
     assert {r["group_id"] for r in got} == {0} and max(r["n_links"] for r in got) >= 1
 
 
+def test_partners_that_fail_do_not_hide_others(spark, monkeypatch):
+    # Texts with few or many edits: most pairs lie just below the least similarity, and few above.
+    monkeypatch.setattr(minhash_dedup, "MAX_GROUP", 16)
+    rnd = random.Random(6)
+    texts = []
+    for i in range(90):
+        w = [f"w{k}" for k in range(300)]
+        for k in rnd.sample(range(5, 295), rnd.choice([3, 4, 4, 5])):
+            w[k] = f"x{i}y{k}"
+        texts.append(" ".join(w))
+    got = {r["doc_id"]: r for r in minhash_dedup.near_duplicates(docs_of(spark, texts)).collect()}
+    want = groups_by_brute_force(texts)
+    assert 5 < len(set(want)) < 80
+    assert [got[i]["group_id"] for i in range(90)] == want
+
+
 def test_spanning_pairs_keep_what_hangs_together():
     rng = np.random.default_rng(3)
     sig = rng.integers(0, 1 << 32, (40, 36), dtype=np.uint64).astype("<u4")
