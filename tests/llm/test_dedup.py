@@ -213,6 +213,23 @@ def test_clumps_in_one_shard_all_link(spark):
     assert sum(r["kept"] for r in got.values()) == 5 and got[0]["audited_recall"] == 1.0
 
 
+def test_links_of_vectors_in_several_shards_count_once(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SHARD_CAP", 300)
+    monkeypatch.setattr(embedding_dedup, "SHARD_TARGET", 100)
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(0, 1, (16, 16)), 60, axis=0) + rng.normal(0, 0.05, (960, 16))
+    x = x[rng.permutation(960)]
+    classes = spark.createDataFrame([(i, i, 1, 0, v.tolist()) for i, v in enumerate(x)], "cls long, rep long, n long, label int, vector array<double>")
+    members = embedding_dedup.shards_of(classes)
+    shards = {r["cls"]: set(r["shards"]) for r in members.collect()}
+    near = links_by_brute_force(x)
+    want = [sum(near[i, j] and bool(shards[i] & shards[j]) for j in range(960)) for i in range(960)]
+    found = embedding_dedup.search(members, embedding_dedup.graph_of(members), 0.98).groupBy("cls").sum("links").collect()
+    got = {r[0]: r[1] for r in found}
+    assert sum(want) > 10000 and any(len(shards[i] & shards[j]) > 1 for i in range(960) for j in range(i))
+    assert [got.get(i, 0) for i in range(960)] == want
+
+
 def test_parts_of_a_graph_are_joined():
     x = np.repeat(np.eye(4), 3, axis=0)
     graph = np.kron(np.eye(4), np.ones((3, 3)) - np.eye(3)).astype(np.float32)
