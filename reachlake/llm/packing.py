@@ -39,7 +39,7 @@ class ComplementIndex:
     def take(self, lengths: Sequence[int], times: int) -> None:
         for x in lengths:
             self.left[x] -= times
-            if self.left[x] == 0:
+            if self.left[x] < 2:
                 self._pairs = None
 
     def times(self, lengths: Sequence[int]) -> int:
@@ -64,12 +64,16 @@ class ComplementIndex:
         return None
 
     def pair_sums(self) -> np.ndarray:
-        """Whether a sum up to ``size`` is that of two available lengths (equal ones counted as two)."""
+        """Whether a sum up to ``size`` is that of two available pieces."""
         if self._pairs is None:
             have = (self.left > 0).astype(float)
             n = 4 * (len(have) + 1)
             f = np.fft.rfft(have, n)
-            self._pairs = np.fft.irfft(f * f, n)[: self.size + 1] > 0.5
+            ways = np.fft.irfft(f * f, n)[: self.size + 1]
+            once = np.flatnonzero(self.left == 1)
+            once = once[2 * once <= self.size]
+            ways[2 * once] -= 1  # a single piece doesn't make a pair with itself
+            self._pairs = ways > 0.5
         return self._pairs
 
     def triple(self, gap: int, base: tuple[int, ...]) -> tuple[int, ...] | None:
@@ -78,7 +82,7 @@ class ComplementIndex:
         if not len(top):
             return None
         ok = top[(self.left[top] > 0) & self.pair_sums()[gap - top]]
-        for a in ok[:8]:
+        for a in ok:
             if rest := self.pair(int(gap - a), (*base, int(a))):
                 return (int(a), *rest)
         return None

@@ -1,6 +1,7 @@
 """Word and token operators against the libraries and plain Python."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -96,6 +97,29 @@ def test_plan_finds_exact_singles_pairs_and_triples():
     assert sum(t for _, t in packing.plan_packing(counts)) == 3
 
 
+def test_every_triple_that_fills_a_gap_is_found():
+    # With one piece of each length many sums of two need the same piece twice, or the one held.
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        lengths = sorted(rng.choice(np.arange(1, 200), 24, replace=False).tolist())
+        counts = np.zeros(201, np.int64)
+        counts[lengths] = 1
+        index, held = packing.ComplementIndex(counts), (lengths[12],)
+        sums = {sum(c) for c in itertools.combinations(set(lengths) - set(held), 3)}
+        for gap in range(1, 200):
+            got = index.triple(gap, held)
+            assert (got is not None) == (gap in sums)
+            assert got is None or sum(got) == gap and index.times((*held, *got)) == 1
+
+
+def test_triple_after_many_sums_of_one_piece_twice():
+    # 1000 is twice a power of 2 and its complement, of which there is one each, or 400 + 350 + 250.
+    twos = [2**k for k in range(9)]
+    counts = np.zeros(2049, np.int64)
+    counts[[1048, 400, 350, 250, *twos, *(1000 - 2 * x for x in twos)]] = 1
+    assert packing.ComplementIndex(counts).triple(1000, (1048,)) == (400, 350, 250)
+
+
 def test_packing_places_every_piece(spark):
     docs = table(spark, [*ODD, "same text here", "same text here"])
     docs = docs.unionByName(docs.limit(1))
