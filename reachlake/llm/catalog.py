@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from reachlake.llm import bpe, embedding_dedup, fingerprints, language_id, line_dedup, minhash_dedup, packing, pitman_yor, toxicity, url_filter
+from reachlake.llm import bpe, embedding_dedup, fingerprints, language_id, line_dedup, minhash_dedup, packing, pitman_yor, quality_rules, toxicity, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -16,7 +16,8 @@ QUERIES = {
     "op8_url_filters": url_filter.query,
     "op9_toxicity": toxicity.query,
     "op10_minhash_near_dedup": minhash_dedup.query,
+    "op13_quality_rules": quality_rules.query,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES = {"op8_url_filters": url_filter.SQL}
+ORACLES = {"op8_url_filters": url_filter.SQL, "op13_quality_rules": quality_rules.SQL}
