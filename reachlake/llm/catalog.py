@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from reachlake.llm import bpe, embedding_dedup, fingerprints, hard_negatives, language_id, line_dedup, minhash_dedup, packing, pitman_yor, quality_rules, toxicity, url_filter
+from reachlake.llm import bpe, embedding_dedup, fingerprints, hard_negatives, language_id, line_dedup, minhash_dedup, packing, pitman_yor, quality_rules, spelling_variants, toxicity, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -16,9 +16,15 @@ QUERIES = {
     "op8_url_filters": url_filter.query,
     "op9_toxicity": toxicity.query,
     "op10_minhash_near_dedup": minhash_dedup.query,
+    "op11_spelling_variants": spelling_variants.query,
     "op12_hard_negatives": hard_negatives.query,
     "op13_quality_rules": quality_rules.query,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES = {"op8_url_filters": url_filter.SQL, "op12_hard_negatives": hard_negatives.SQL, "op13_quality_rules": quality_rules.SQL}
+ORACLES = {
+    "op8_url_filters": url_filter.SQL,
+    "op11_spelling_variants": spelling_variants.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
+    "op13_quality_rules": quality_rules.SQL,
+}
