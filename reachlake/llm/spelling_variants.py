@@ -5,8 +5,10 @@ holds the letters that follow the child, with ``END`` where a word ends there. A
 position, node)`` has spent no edit as long as its node is the word's own prefix. From there, one join
 with the edge table replaces the next letter or inserts another before it; the states so made then take
 one edge per round, all of them level by level, until they end at a word, which is a neighbour. A state
-is only made if the child has the letter that the state needs next. Deletions are insertions seen from
-the other side, and a letter is only inserted before a different one, so no pair comes up twice.
+is only made if the child has the letter that the state needs next. Near the root nearly every letter
+goes on, so edits are only made in a word's second half; those in its first half are made in a trie of
+the words read backwards, where they are in the second. Deletions are insertions seen from the other
+side, and a letter is only inserted before a different one, so no pair comes up twice.
 
 Nodes near the root are few and hold most states: their edges are broadcast as long as they are at most
 ``MAX_BROADCAST_EDGES``; deeper nodes are joined by shuffles in which hot nodes are salted. A node has at
@@ -103,21 +105,24 @@ class EdgeTable:
         return near.unionByName(far)
 
 
-def short_neighbours(words: DataFrame, n_letters: int) -> DataFrame:
-    """``word, other, longer``: pairs of words of at most ``MAX_DEPTH`` letters one edit apart.
+def half_neighbours(words: DataFrame, n_letters: int, backward: bool) -> DataFrame:
+    """``word, other, longer``: pairs with the edit in the second half of the words, or, for words given backwards, in the first.
 
     Replacements come in both directions, insertions as (word, longer word).
     """
     table = EdgeTable(written(trie_edges(words), "trie-edges"))
-    word, at = F.col("word"), F.col("at")
-    fresh = words.select("word", F.explode(F.sequence(F.lit(0), F.length("word"))).alias("at"))
+    word, at, size = F.col("word"), F.col("at"), F.length("word")
+    first = size - F.floor(size / 2).cast("int") if backward else F.floor(size / 2).cast("int")
+    fresh = words.select("word", F.explode(F.sequence(first, size)).alias("at"))
     fresh = fresh.select("word", "at", F.substring(word, F.lit(1), at).alias("node"))
-    met = table.join(fresh, ["node"], n_letters).where(F.col("letter") != letter(word, at))
+    met = table.join(fresh, ["node"], n_letters)
+    # Read forwards, the letter after the inserted one must differ from it.
+    apart = (at > first) & (F.col("letter") != letter(word, at - 1)) if backward else F.col("letter") != letter(word, at)
     ways = F.array(
-        F.struct((at + 1).alias("at"), F.lit(False).alias("longer")),  # replaced; there is none after the last letter
-        F.struct(at.alias("at"), F.lit(True).alias("longer")))
-    made = met.select("word", F.concat("node", "letter").alias("node"), "next", F.explode(ways).alias("w"))
-    made = made.select("word", "node", "next", "w.at", "w.longer").where(at <= F.length("word"))
+        F.struct((at + 1).alias("at"), F.lit(False).alias("longer"), ((at < size) & (F.col("letter") != letter(word, at))).alias("right")),
+        F.struct(at.alias("at"), F.lit(True).alias("longer"), apart.alias("right")))
+    made = met.select("word", F.concat("node", "letter").alias("node"), "next", F.explode(ways).alias("w")).where("w.right")
+    made = made.select("word", "node", "next", "w.at", "w.longer")
 
     def alive(states: DataFrame) -> tuple[DataFrame, int]:
         needed = states.withColumn("letter", letter(word, at))
@@ -135,6 +140,13 @@ def short_neighbours(words: DataFrame, n_letters: int) -> DataFrame:
     return out
 
 
+def short_neighbours(words: DataFrame, n_letters: int) -> DataFrame:
+    """``word, other, longer`` for words of at most ``MAX_DEPTH`` letters."""
+    turned = words.select(F.reverse("word").alias("word"))
+    early = half_neighbours(turned, n_letters, True).select(F.reverse("word").alias("word"), F.reverse("other").alias("other"), "longer")
+    return half_neighbours(words, n_letters, False).unionByName(early)
+
+
 _PRIME = (1 << 61) - 1
 _BASE = 1_000_003
 
