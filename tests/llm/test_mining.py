@@ -224,7 +224,7 @@ def test_line_rules(spark, line, rule):
 
 def test_cleaned_text_and_verdict(spark):
     body = [f"alpha{i} beta{i} went{i} and gamma{i} came home{i} late{i}." for i in range(12)]
-    bars = ["Home | News | Sport | Video | Contact and all of our sections today"] * 9
+    bars = [f"Home{i} | News{i} | Sport{i} | Video{i} | Contact{i} with{i} all{i} our{i} pages{i}" for i in range(9)]
     texts = [(1, "\n".join(["Home | News | Sport", *body, "", "click here"])), (2, "\n".join([*body, *bars])), (2, "\n".join(body)), (None, "\n".join(body))]
     got = {(r.doc_id, r.n_words): r for r in judged(spark, texts)}
     first = next(r for k, r in got.items() if k[0] == 1)
