@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reachlake.operators.fixpoint import relax, union_all
+from reachlake.operators.fixpoint import Deltas, relax, union_all
 from reachlake.operators.grid import places_within
-from reachlake.session import written, written_with_count
+from reachlake.operators.skew import OrderedScan
+from reachlake.session import written, written_in_buckets, written_with_count
 
 # Speeds in m/s, penalties in seconds, radii in metres.
 STREET_SPEED = 1.42
@@ -19,6 +20,8 @@ STOP_RADIUS = 800.0
 STREET_RADIUS = 100.0
 STREET_SECONDS = 1440.0
 SLOT_SECONDS = 3600
+# A departure that follows its pattern's last one within so many slots is filed under all slots between.
+NEAR_SLOTS = 2
 
 # What a label says about how its stop was reached. Its parent is the label of the same request at
 # (parent_round, parent_stop); the label of round 0 is the request point and has no stop. A label's
@@ -73,27 +76,72 @@ class Network:
             st = st.join(trips.select(*info), "trip_id")
         self.has_block = "block_id" in info
         self.filters = [c for c in ("mode", "agency", "service_id") if c in info]
-        self.visits = written(
-            st.join(self.stops.select("stop_id", "place_id"), "stop_id").withColumn(
-                "slot", F.expr(f"departure div {SLOT_SECONDS}")
-            ),
-            "visits",
-        )
+        spark = st.sparkSession
+        buckets = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.visits = written_in_buckets(st.join(self.stops.select("stop_id", "place_id"), "stop_id"), "visits-by-trip", ["trip_id"], buckets)
+        classes = [c for c in (*self.filters, "block_id") if c in info]
+        self.departures = written_in_buckets(
+            filed_departures(following(self.visits, classes)), "departures-by-place", ["place_id", "near", "slot"], buckets)
+        self._catchments: list[tuple] = []
 
     def boardable(self) -> DataFrame:
-        """Departures per place and hour slot."""
-        cols = ["place_id", "slot", "trip_id", "seq", "stop_id", "departure", *self.filters]
-        if self.has_block:
-            cols.append("block_id")
-        return self.visits.select(*cols)
+        """Departures per place and hour slot, see :func:`filed_departures`."""
+        cols = ["place_id", "near", "slot", "trip_id", "seq", "departure", "after", *self.filters]
+        return self.departures.select(*cols)
+
+    def catchment(self, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+        """Street catchment of all places, worked out once for these streets."""
+        for n, e, known in self._catchments:
+            if n is nodes and e is edges or (n.sameSemantics(nodes) and e.sameSemantics(edges)):
+                return known
+        found = written(street_catchment(self.places, nodes, edges), "catchment")
+        self._catchments.append((nodes, edges, found))
+        return found
+
+
+def following(visits: DataFrame, classes: list[str]) -> DataFrame:
+    """``visits`` with ``after``: the departure before, at the same stop, of the same pattern.
+
+    A pattern is a list of stops with sequence numbers and the columns that allow-lists and blocks
+    refer to. Where each trip of a pattern departs and arrives later than the one before it at every
+    stop, nobody who can board a trip gains by waiting for the next one: a departure is worth boarding
+    only for those who are ready after the one before it. Patterns in which a trip is overtaken or
+    caught up with have no ``after``, and all their trips are tried.
+    """
+    stops = F.sort_array(F.collect_list(F.struct("seq", "stop_id")))
+    trips = visits.groupBy("trip_id", *classes).agg(stops.alias("stops"), F.min_by("departure", "seq").alias("start"))
+    pattern = F.sha2(F.to_json(F.struct("stops", *classes)), 256).alias("pattern")
+    trips = written(trips.select("trip_id", pattern, "start"), "patterns")
+    shared = trips.groupBy("pattern").count().where("count > 1").select("pattern")
+    times = visits.select("trip_id", "seq", "arrival", "departure")
+    rows = written(times.join(trips.join(shared, "pattern"), "trip_id"), "shared-patterns")
+    scan = OrderedScan(rows, ["pattern", "seq"], ["start", "trip_id"]).lag("last", F.struct("arrival", "departure"))
+    rows = written(scan.frame(), "followed")
+    late = (F.col("last.arrival") >= F.col("arrival")) | (F.col("last.departure") >= F.col("departure"))
+    mixed = rows.where(late).select("pattern").distinct()
+    after = rows.join(mixed, "pattern", "left_anti").select("trip_id", "seq", F.col("last.departure").alias("after"))
+    return visits.join(after, ["trip_id", "seq"], "left")
+
+
+def filed_departures(departures: DataFrame) -> DataFrame:
+    """Departures by the slots in which they are looked up.
+
+    Those with the departure before them at most ``NEAR_SLOTS`` slots away (``near``) are filed under
+    each slot between the two and looked up in the slot of the ready time alone. All others are filed
+    under their own slot and looked up in all slots up to the horizon.
+    """
+    slot, last = F.expr(f"departure div {SLOT_SECONDS}"), F.expr(f"after div {SLOT_SECONDS}")
+    near = F.coalesce(slot - last <= NEAR_SLOTS, F.lit(False))
+    return departures.withColumn("near", near).withColumn(
+        "slot", F.explode(F.when(F.col("near"), F.sequence(last, slot)).otherwise(F.array(slot))))
 
 
 # Constants of a request that travel with its rows, so that no round joins the requests again.
 REQ = ["request_id", "until", "cost_s"]
 
 
-def _ready(frontier: DataFrame, network: Network, most: int) -> DataFrame:
-    """Earliest time each request can board at each place after walking from improved labels.
+def _walked(frontier: DataFrame, network: Network, most: int) -> DataFrame:
+    """Times each request can board at each place after walking from improved labels.
 
     Labels without a boarding left don't count, and one with fewer boardings stays beside an earlier
     one with more.
@@ -101,7 +149,7 @@ def _ready(frontier: DataFrame, network: Network, most: int) -> DataFrame:
     here = frontier.where(F.col("boardings") < most).join(network.stops.select("stop_id", F.col("place_id").alias("from_place")), "stop_id")
     # The least time at a place stands for all its stops.
     at = _least_by_boardings(here, [*REQ, "from_place"], ["t", "boardings", "stop_id", "round"], most)
-    walked = at.join(network.walks, "from_place").select(
+    return at.join(network.walks, "from_place").select(
         *REQ,
         F.col("to_place").alias("place_id"),
         (F.col("t") + F.col("dist") / STRAIGHT_SPEED + TRANSFER_SECONDS).alias("ready"),
@@ -110,12 +158,33 @@ def _ready(frontier: DataFrame, network: Network, most: int) -> DataFrame:
         F.col("stop_id").alias("parent_stop"),
         F.col("round").alias("parent_round"),
     )
-    return _earliest_ready(walked, most)
 
 
-def _earliest_ready(walked: DataFrame, most: int) -> DataFrame:
-    fields = ["ready", "boardings", "walk_m", "parent_stop", "parent_round"]
-    return _least_by_boardings(walked.where(F.col("ready") <= F.col("until")), [*REQ, "place_id"], fields, most)
+def _of_requests(history: DataFrame, rows: DataFrame) -> DataFrame:
+    """What is known of the requests that still have ``rows``."""
+    return history.join(rows.select("request_id").distinct(), "request_id", "left_semi")
+
+
+READY = ["ready", "boardings", "walk_m", "parent_stop", "parent_round"]
+
+
+def _earlier_ready(walked: DataFrame, past: DataFrame | None, most: int) -> tuple[DataFrame, int]:
+    """The earliest ready times per request, place and boardings that are earlier than in all rounds before.
+
+    ``before`` is the earliest time of those rounds with no more boardings: whatever departs from then
+    on has been boarded already, so only departures between the two are new.
+    """
+    keys = [*REQ, "place_id"]
+    walked = walked.where(F.col("ready") <= F.col("until"))
+    if past is None:
+        fresh = _least_by_boardings(walked, keys, READY, most).withColumn("before", F.lit(None).cast("double"))
+        return written_with_count(fresh, "ready")
+    known = past.groupBy(*keys).agg(*[
+        F.min(F.when(F.col("boardings") <= b, F.col("ready"))).alias(f"_k{b}") for b in range(most)])
+    before = F.coalesce(*[F.when(F.col("boardings") == b, F.col(f"_k{b}")) for b in range(most)])
+    met = walked.join(known, keys, "left").withColumn("before", before)
+    better = met.where(F.col("before").isNull() | (F.col("ready") < F.col("before")))
+    return written_with_count(_least_by_boardings(better, keys, [*READY, "before"], most), "ready")
 
 
 def _allowed(boards: DataFrame, network: Network, requests: DataFrame) -> DataFrame:
@@ -166,52 +235,83 @@ def reach(
             F.lit(None).cast("long").alias("parent_stop"), F.lit(0).alias("parent_round"),
         )
     )
-    ready = _earliest_ready(first, max_boardings)
+    ready, n_ready = _earlier_ready(first, None, max_boardings)
     deltas: list[DataFrame] = []
     boarded: list[DataFrame] = []
+    times = Deltas()
     frontier = None
     n = 1
     while n:
+        times.add(ready, n_ready)
         boards, _ = _board(ready, frontier, network, asked, boarded, max_boardings)
-        frontier, n = _improved(_ride(boards, network, len(deltas) + 1), deltas, max_boardings)
+        frontier, n = _improved(boards, network, deltas, max_boardings)
         boarded.append(boards)
         if n or not deltas:
             deltas.append(frontier)
-        ready = _ready(frontier, network, max_boardings)
+        if n:
+            walked = _walked(frontier, network, max_boardings)
+            ready, n_ready = _earlier_ready(walked, _of_requests(times.union(), frontier), max_boardings)
+            if not n_ready and not network.has_block:
+                break
     return union_all(deltas)
 
 
+BOARD = ["departure", "stop_id", "walk_m", "parent_stop", "parent_round"]
+
+
+def _catchable() -> Column:
+    """Conditions between a ready time and a departure."""
+    worth = F.col("after").isNull() | (F.col("after") < F.col("ready"))
+    new = F.col("before").isNull() | (F.col("departure") < F.col("before"))
+    return (F.col("departure") >= F.col("ready")) & (F.col("departure") <= F.col("until")) & worth & new
+
+
 def _board(ready, frontier, network, requests, boarded, max_boardings):
-    """Trips boarded by each request this round, where that beats an earlier boarding."""
-    slots = F.sequence(
-        F.floor(F.col("ready") / SLOT_SECONDS).cast("long"), F.floor(F.col("until") / SLOT_SECONDS).cast("long")
-    )
-    by_slot = ready.withColumn("slot", F.explode(slots))
-    caught = by_slot.join(network.boardable(), ["place_id", "slot"]).where(
-        (F.col("departure") >= F.col("ready")) & (F.col("departure") <= F.col("until"))
-    )
-    cols = [*REQ, "trip_id", "seq", "boardings", "departure", "stop_id", "walk_m", "parent_stop", "parent_round"]
-    caught = _allowed(caught, network, requests).withColumn("boardings", F.col("boardings") + 1).select(*cols)
+    """Trips boarded by each request this round, where that beats an earlier boarding.
+
+    The first aggregation knows numbers alone; how a trip was reached is looked up for the boardings
+    that are left.
+    """
+    own = F.floor(F.col("ready") / SLOT_SECONDS).cast("long")
+    end = F.least(F.col("until").cast("double"), F.coalesce("before", F.col("until").cast("double")))
+    far = F.transform(F.sequence(own, F.floor(end / SLOT_SECONDS).cast("long")), lambda s: F.struct(F.lit(False).alias("near"), s.alias("slot")))
+    lookups = F.concat(F.array(F.struct(F.lit(True).alias("near"), own.alias("slot"))), far)
+    by_slot = ready.select("*", F.explode(lookups).alias("_l")).select("*", "_l.near", "_l.slot")
+    caught = _allowed(by_slot.join(network.boardable(), ["place_id", "near", "slot"]).where(_catchable()), network, requests)
+    cols = [*REQ, "trip_id", "seq", (F.col("boardings") + 1).alias("boardings")]
+    tagged = caught.select(*cols)
+    blocks = None
     if frontier is not None and network.has_block:
-        caught = caught.unionByName(_same_block(frontier, network, requests).select(*cols))
-    rest = ["seq", "boardings", "departure", "stop_id", "walk_m", "parent_stop", "parent_round"]
+        same = _same_block(frontier, network, requests)  # costs no boarding
+        blocks = written(same.select(*REQ, "trip_id", "seq", "boardings", *BOARD), "same-block")
+        tagged = tagged.unionByName(blocks.select(tagged.columns))
     keys = [*REQ, "trip_id"]
     levels = range(max_boardings + 1)
-    tagged = caught.select(*keys, "boardings", F.struct(*rest).alias("new"), F.lit(None).cast("long").alias("old"))
-    new_type = tagged.schema["new"].dataType
-    for b in boarded:
-        tagged = tagged.unionByName(b.select(*keys, "boardings", F.lit(None).cast(new_type).alias("new"), F.col("seq").alias("old")))
-    wide = tagged.groupBy(*keys).agg(*[
-        c for b in levels for c in (F.min(F.when(F.col("boardings") == b, F.col("new"))).alias(f"_n{b}"),
-                                    F.min(F.when(F.col("boardings") == b, F.col("old"))).alias(f"_o{b}"))])
+    caught = written(tagged.groupBy(*keys).agg(*[
+        F.min(F.when(F.col("boardings") == b, F.col("seq"))).alias(f"_n{b}") for b in levels]), "caught")
+    if boarded:
+        known = union_all(boarded).select(*keys, "boardings", "seq").join(caught.select(*keys), keys, "left_semi")
+        wide = caught.join(known.groupBy(*keys).agg(*[
+            F.min(F.when(F.col("boardings") == b, F.col("seq"))).alias(f"_o{b}") for b in levels]), keys, "left")
+    else:
+        wide = caught.select("*", *[F.lit(None).cast("long").alias(f"_o{b}") for b in levels])
     fresh = []
     for b in levels:
         # The earliest stop of the trip that is boarded with no more boardings, before or now with fewer.
-        known = F.array_min(F.array(*[F.col(f"_o{k}") for k in range(b + 1)], *[F.col(f"_n{k}")["seq"].cast("long") for k in range(b)]))
+        known = F.array_min(F.array(*[F.col(f"_o{k}") for k in range(b + 1)], *[F.col(f"_n{k}") for k in range(b)]))
         here = F.col(f"_n{b}")
-        fresh.append(F.when(known.isNull() | (here["seq"] < known), F.when(here.isNotNull(), F.struct(here.alias("new"), known.alias("old")))))
-    out = wide.select(*keys, F.explode(F.array_compact(F.array(*fresh))).alias("_f"))
-    return written_with_count(out.select(*keys, "_f.new.*", F.col("_f.old").alias("until_seq")), "boards")
+        new = F.struct(here.alias("seq"), F.lit(b).alias("boardings"), known.alias("until_seq"))
+        fresh.append(F.when(here.isNotNull() & (known.isNull() | (here < known)), new))
+    won = wide.select(*keys, F.explode(F.array_compact(F.array(*fresh))).alias("_f")).select(*keys, "_f.*")
+    at = network.visits.select("trip_id", "seq", "place_id", "stop_id", "departure")
+    how = ready.withColumn("boardings", F.col("boardings") + 1)
+    told = won.join(at, ["trip_id", "seq"]).join(how, [*REQ, "place_id", "boardings"]).where(F.col("departure") >= F.col("ready"))
+    told = told.select(*keys, "seq", "boardings", "until_seq", *BOARD)
+    if blocks is not None:
+        stayed = won.join(blocks, [*keys, "seq", "boardings"]).select(told.columns)
+        told = told.unionByName(stayed).groupBy(*keys, "seq", "boardings", "until_seq").agg(F.min(F.struct(*BOARD)).alias("_b"))
+        told = told.select(*keys, "seq", "boardings", "until_seq", "_b.*")
+    return written_with_count(told, "boards")
 
 
 def _same_block(frontier, network, requests):
@@ -227,7 +327,8 @@ def _same_block(frontier, network, requests):
                 F.col("to_place").alias("place_id"), F.col("dist").alias("walk_m"),
                 F.col("stop_id").alias("parent_stop"), F.col("round").alias("parent_round"))
     )
-    same = walked.join(network.boardable(), ["place_id", "block_id"]).where(
+    stops = ["place_id", "block_id", "trip_id", "seq", "stop_id", "departure", *network.filters]
+    same = walked.join(network.visits.select(*stops), ["place_id", "block_id"]).where(
         (F.col("departure") >= F.col("ready"))
         & (F.col("departure") <= F.col("until"))
         & (F.col("trip_id") != F.col("from_trip"))
@@ -266,9 +367,16 @@ def _score():
     return F.col("t") + F.col("boardings") * F.col("cost_s")
 
 
-def _improved(rides, deltas, most):
+def _improved(boards, network, deltas, most):
     """Labels with a score strictly below every other one at the stop with as many or fewer boardings."""
+    rides = _ride(boards, network, len(deltas) + 1)
     keys = [*REQ, "stop_id"]
+    if deltas:
+        # Rides that are no better than a label known already go before anything is sorted.
+        least = _of_requests(union_all(deltas), boards).groupBy(*keys).agg(*[
+            F.min(F.when(F.col("boardings") <= b, _score())).alias(f"_k{b}") for b in range(most + 1)])
+        known = F.coalesce(*[F.when(F.col("boardings") == b, F.col(f"_k{b}")) for b in range(most + 1)])
+        rides = rides.join(least, keys, "left").where(known.isNull() | (_score() < known))
     tagged = rides.select(
         *keys, "boardings", F.struct(_score().alias("score"), *LABEL, "round").alias("new"), F.lit(None).cast("double").alias("old")
     )
@@ -359,8 +467,10 @@ def isochrone(requests: DataFrame, network: Network, nodes: DataFrame, edges: Da
 
 def search_times(labels: DataFrame, requests: DataFrame, network: Network, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Node times of a finished search, one catchment for stops and request points together."""
-    points = network.places.select("x", "y").unionByName(requests.select("x", "y"))
-    return node_times(labels, network.stops, street_catchment(points, nodes, edges), requests)
+    places = network.catchment(nodes, edges)
+    others = requests.select("x", "y").distinct().join(network.places.select("x", "y"), ["x", "y"], "left_anti")
+    catchment = places.unionByName(street_catchment(others, nodes, edges))
+    return node_times(labels, network.stops, catchment, requests)
 
 
 def with_start_times(requests: DataFrame, first: int, last: int, every: int) -> DataFrame:

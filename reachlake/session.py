@@ -68,3 +68,12 @@ def written_with_count(df: DataFrame, label: str = "step") -> tuple[DataFrame, i
     """Like :func:`written`; the row count comes from the same job."""
     out, seen = written_observed(df, label, n=F.count(F.lit(1)))
     return out, int(seen["n"])
+
+
+def written_in_buckets(df: DataFrame, label: str, keys: list[str], buckets: int) -> DataFrame:
+    """Like :func:`written`, hashed and sorted by ``keys``, so that joins on them don't shuffle the table again."""
+    spark = df.sparkSession
+    name = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    ready = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+    ready.option("path", new_table_path(spark, label)).saveAsTable(name)
+    return spark.table(name)

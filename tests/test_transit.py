@@ -129,3 +129,70 @@ def test_slower_label_with_boardings_left_goes_on(spark):
              for r in T.best_labels(T.reach(ask(spark), net, max_boardings=most)).collect()}
     assert found[2, 3] == found[3, 3] == (1500.0, 2)
     assert found[2, 4] == found[3, 4] == (2300.0, 2)
+
+
+def lines_of_service():
+    """Stops, visits and trips of lines that run often; on the last line a trip overtakes the one before it."""
+    at = {s: (s % 4 * 1500, s // 4 * 1500) for s in range(12)}
+    at[12] = (1700, 100)  # a short walk from stop 1
+    lines = [[0, 1, 2, 3], [3, 7, 11], [8, 9, 10, 11], [4, 12, 6, 7], [11, 10, 6, 2], [2, 5, 8, 0]]
+    times, trip = [], 0
+    for n, line in enumerate(lines):
+        for k in range(14):
+            trip += 1
+            start = 1000 + 130 * n + (420 + 90 * n) * k
+            for i, s in enumerate(line):
+                pace = 100 if n == len(lines) - 1 and k % 3 == 2 else 400
+                times.append((trip, i, s, start + i * pace, start + i * pace + 20))
+    return at, times
+
+
+def plain_reach(at, times, x, y, start, until, most):
+    walk = lambda a, b: ((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2) ** 0.5
+    trips = {}
+    for trip, seq, stop, arrival, departure in times:
+        trips.setdefault(trip, []).append((seq, stop, arrival, departure))
+    ready = {s: start + walk(p, (x, y)) / 1.25 + 35 for s, p in at.items() if walk(p, (x, y)) <= 800}
+    best = {}
+    for _ in range(most):
+        new = dict(best)
+        for rows_ in trips.values():
+            on = next((q for q, s, _, d in sorted(rows_) if s in ready and ready[s] <= d <= until), None)
+            for q, s, a, _ in rows_:
+                if on is not None and q > on and a <= until:
+                    new[s] = min(a, new.get(s, a))
+        best = new
+        ready = {s: min([t + walk(at[f], p) / 1.25 + 35 for f, t in best.items() if walk(at[f], p) <= 800] + ([ready[s]] if s in ready else []), default=None)
+                 for s, p in at.items()}
+        ready = {s: t for s, t in ready.items() if t is not None}
+    return best
+
+
+@pytest.mark.parametrize("slots", [2, -1])
+def test_search_by_pattern_equals_brute_force(spark, monkeypatch, slots):
+    monkeypatch.setattr(T, "NEAR_SLOTS", slots)
+    at, times = lines_of_service()
+    stops = spark.createDataFrame([(s, *p) for s, p in at.items()], "stop_id long, x long, y long")
+    visits = spark.createDataFrame(times, "trip_id long, seq long, stop_id long, arrival long, departure long")
+    net = T.Network(stops, visits)
+    assert (net.departures.where("near").count() > 0) == (slots == 2)
+    asked = [(1, 0, 0, 900, 4000), (2, 1600, 100, 2500, 6000), (3, 3000, 3000, 1500, 7200), (4, 90_000, 0, 0, 9000)]
+    requests = spark.createDataFrame(asked, "request_id long, x long, y long, start long, duration long")
+    for most in (1, 4):
+        got = {}
+        for r in T.best_labels(T.reach(requests, net, max_boardings=most)).collect():
+            got.setdefault(r.request_id, {})[r.stop_id] = r.t
+        for i, x, y, start, duration in asked:
+            assert got.get(i, {}) == plain_reach(at, times, x, y, start, start + duration, most)
+
+
+def test_departures_follow_within_patterns_that_no_trip_overtakes(spark):
+    at, times = lines_of_service()
+    visits = spark.createDataFrame([(*t, t[0] % 2) for t in times], "trip_id long, seq long, stop_id long, arrival long, departure long, mode int")
+    got = {(r.trip_id, r.seq): r.after for r in T.following(visits, []).collect()}
+    by_trip = {(t, q): d for t, q, _, _, d in times}
+    for (trip, seq), after in got.items():
+        line, k = divmod(trip - 1, 14)
+        assert after == (None if line == 5 or k == 0 else by_trip[trip - 1, seq])
+    classes = {(r.trip_id, r.seq): r.after for r in T.following(visits, ["mode"]).collect()}
+    assert classes[3, 0] == by_trip[1, 0] and classes[2, 0] is None
