@@ -49,17 +49,21 @@ def aligned(here: list[int], there: list[int]) -> list[int]:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """``id, pos, h, g``: two hashes of each line of at least ``min_words`` words, without outer white space."""
+    """``id, t, pos, h, g``: two hashes of each line of at least ``min_words`` words, without outer white space.
+
+    ``t`` is the hash of the whole text, which tells rows with one id apart.
+    """
     line = F.regexp_replace("line", r"^\s+|\s+$", "")
     rows = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    rows = rows.select("id", "pos", line.alias("line"))
+        F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("t"),
+        F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
+    rows = rows.select("id", "t", "pos", line.alias("line"))
     return rows.where(F.size(F.split("line", r"\s+")) >= min_words).select(
-        "id", "pos", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
+        "id", "t", "pos", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
 
 
 def shared_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``id, removed, sources``: the line numbers each document loses, and the documents that have them."""
+    """``id, t, removed, sources``: the line numbers each document loses, and the documents that have them."""
     lines, n = written_with_count(lines_of(docs, id_col, text_col, min_words), "lines")
     owners = (lines.groupBy("h", "g").agg(F.min(F.struct("id", "pos")).alias("o"), F.max("id").alias("last"),
                                           F.count(F.lit(1)).alias("n"))
@@ -68,7 +72,7 @@ def shared_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     owners = written(owners, "line-owners")
     found = lookup(lines, owners, ["h", "g"], "n", n).where(F.col("id") > F.col("owner"))
     # As many entries as the document has lines.
-    by_doc = found.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("owner", "pos", "there"))).alias("m"))
+    by_doc = found.groupBy("id", "t").agg(F.sort_array(F.collect_set(F.struct("owner", "pos", "there"))).alias("m"))
 
     def run(stream):
         for b in stream:
@@ -88,10 +92,10 @@ def shared_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 removed.append(sorted(gone))
                 sources.append(docs_)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(removed, pa.list_(pa.int32())), pa.array(sources, pa.list_(pa.int64()))],
-                ["id", "removed", "sources"])
+                [b.column("id"), b.column("t"), pa.array(removed, pa.list_(pa.int32())), pa.array(sources, pa.list_(pa.int64()))],
+                ["id", "t", "removed", "sources"])
 
-    return by_doc.mapInArrow(run, "id long, removed array<int>, sources array<long>")
+    return by_doc.mapInArrow(run, "id long, t long, removed array<int>, sources array<long>")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -100,14 +104,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Only lines of at least ``min_words`` words are compared, exactly but for outer white space; the
     document with the smallest whole-number id keeps them. Lines shared in another order than the
     longest aligned one stay. Lines repeated within a document stay unless an earlier document has
-    them. A null text stays null and has no lines, a null id takes no part; rows with one id are one
-    document. An empty table gives an empty result.
+    them. A null text stays null and has no lines, a null id takes no part. Rows
+    with one id and different texts lose each their own lines, and none to one another; equal rows lose
+    the same. An empty table gives an empty result.
     """
     blocks, n = written_with_count(shared_blocks(docs, id_col, text_col, min_words), "line-blocks")
     size = blocks.agg(F.sum(F.size("removed") + F.size("sources")).alias("s")).first()["s"] or 0
-    blocks = blocks.withColumnsRenamed({"id": "_ld_id", "removed": "_removed", "sources": "_sources"})
+    blocks = blocks.withColumnsRenamed({"id": "_ld_id", "t": "_ld_t", "removed": "_removed", "sources": "_sources"})
     other = F.broadcast(blocks) if n + size <= MAX_BROADCAST_LINES else blocks
-    joined = docs.join(other, docs[id_col].cast("long") == F.col("_ld_id"), "left").drop("_ld_id")
+    own = (docs[id_col].cast("long") == F.col("_ld_id")) & (F.xxhash64(docs[text_col]) == F.col("_ld_t"))
+    joined = docs.join(other, own, "left").drop("_ld_id", "_ld_t")
     names = joined.columns
     schema = StructType([*docs.schema.fields, StructField("_n_lines", LongType()),
                          StructField("_removed", ArrayType(IntegerType())), StructField("_sources", ArrayType(LongType()))])

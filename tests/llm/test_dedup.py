@@ -359,3 +359,12 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     docs_of(spark, ["a"]).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_with_one_id_lose_their_own_lines_only(spark):
+    """A line shared with an earlier document goes from the row that has it, not from all rows of its id."""
+    shared, own = "the quick brown fox jumps over", "some unique words that nobody else has"
+    texts = [(0, shared), (1, shared), (1, own), (1, own), (2, own + "\n" + shared), (2, "no shared line stands in this text")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(docs).collect())
+    assert got == [(0, shared), (1, ""), (1, own), (1, own), (2, ""), (2, "no shared line stands in this text")]
