@@ -102,16 +102,19 @@ def reach_with_transfer_cost(spark, sf_dir):
 
 @query("reach_with_allow_lists", D.with_views(["stops", "stop_times", "requests", "walk", "trips"],
        "with " + reach_ctes(allowed="""exists (select 1 from trips tr where tr.trip_id=st.trip_id and service_id<>'3-MEDIUM'
+          and l.request_id%7<>3 and route_id%3 in (l.request_id%3, (l.request_id+1)%3)
           and (l.request_id%5=0 or mode in (l.request_id%4, (l.request_id+1)%4)))""") +
        " select request_id, stop_id, t, b boardings from r4"))
 def reach_with_allow_lists(spark, sf_dir):
-    """Modes per request (none listed means all) and the services of the day."""
+    """Modes per request (none listed means all), agencies (none listed means none) and the services of the day."""
     n = F.col("request_id")
     modes = F.when(n % 5 == 0, F.array().cast("array<int>")).otherwise(F.array((n % 4).cast("int"), ((n + 1) % 4).cast("int")))
-    day = D.trips(spark, sf_dir).select("service_id").distinct().where("service_id <> '3-MEDIUM'")
-    services = F.lit([r[0] for r in day.collect()])  # the services of a feed's calendar
-    asked = D.requests(spark, sf_dir).withColumns({"modes": modes, "services": services})
-    net = T.Network(D.stops(spark, sf_dir), D.stop_times(spark, sf_dir), D.trips(spark, sf_dir).drop("block_id"))
+    agencies = F.when(n % 7 == 3, F.array().cast("array<long>")).otherwise(F.array(n % 3, (n + 1) % 3))
+    trips = D.trips(spark, sf_dir).withColumn("agency", F.col("route_id") % 3)
+    running = trips.where("service_id <> '3-MEDIUM'").select(F.lit("2024-01-01").alias("day"), "service_id")
+    services = running.groupBy("day").agg(F.collect_set("service_id").alias("services"))  # the services of a feed's calendar
+    asked = D.requests(spark, sf_dir).withColumns({"modes": modes, "agencies": agencies, "day": F.lit("2024-01-01")}).join(services, "day")
+    net = T.Network(D.stops(spark, sf_dir), D.stop_times(spark, sf_dir), trips.drop("block_id"))
     labels = T.reach(asked, net)
     return T.best_labels(labels).select("request_id", "stop_id", "t", "boardings")
 
