@@ -85,13 +85,15 @@ def relax(
     via: str | None = None,
     goals: DataFrame | None = None,
     bound: Column | None = None,
+    every_goal: bool = False,
 ) -> tuple[DataFrame, int]:
     """Least cost per ``(group, id)`` from ``seeds(group..., id, cost)`` along ``edges(src, dst, ...)``.
 
     ``step`` is the new cost in terms of ``cost`` and the edge columns (default ``cost + weight``).
     ``keep`` drops candidate labels, ``expand`` says which labels travel on; both see ``cost``,
     ``id`` and the group columns. ``via`` names an edge column to keep with the label. With
-    ``goals(group..., id)`` labels that cannot beat the cost already found at the goal are dropped;
+    ``goals(group..., id)`` labels that cannot beat the cost already found at the nearest goal of the group
+    are dropped, or, with ``every_goal``, once all its goals are found, those that cannot beat the dearest one;
     ``bound`` is a lower bound of the cost still ahead, in terms of edge and group columns. Returns
     the labels ``(group..., id, cost, hop, pred[, via])`` and the number of rounds; with ``max_rounds`` reached while
     labels still improve, that number is ``max_rounds + 1``.
@@ -128,8 +130,15 @@ def relax(
         rounds += 1
         grow = frontier if expand is None else frontier.where(expand)
         if goals is not None:
-            at_goal = deltas.union().join(goals.select(*keys), keys, "left_semi").groupBy(*group)
-            grow = grow.join(at_goal.agg(F.min("cost").alias("_found")), group, "left")
+            at_goal = deltas.union().join(goals.select(*keys), keys, "left_semi")
+            if every_goal:
+                each = at_goal.groupBy(*keys).agg(F.min("cost").alias("cost"))
+                each = each.groupBy(*group).agg(F.max("cost").alias("_found"), F.count(F.lit(1)).alias("_n"))
+                asked = goals.select(*keys).distinct().groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+                found = each.join(asked, [*group, "_n"]).select(*group, "_found")
+            else:
+                found = at_goal.groupBy(*group).agg(F.min("cost").alias("_found"))
+            grow = grow.join(found, group, "left")
         cands = adjacency.join(grow.withColumnRenamed("id", "src").drop(*([via] if via else [])))
         cands = cands.select(
             *group,

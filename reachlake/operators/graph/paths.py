@@ -21,9 +21,11 @@ def hop_levels(sources: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def has_path(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """``a, b, connected`` for each asked pair."""
-    starts = pairs.select(F.col("a").alias("source"), F.col("a").alias("id")).distinct()
-    reached = hop_levels(starts, edges).select(F.col("source").alias("a"), F.col("id").alias("b"), F.lit(True).alias("r"))
+    """``a, b, connected`` for each asked pair. The search from a vertex ends once all vertices asked for are found."""
+    starts = pairs.select(F.col("a").alias("source"), F.col("a").alias("id")).distinct().withColumn("cost", F.lit(0))
+    goals = pairs.select(F.col("a").alias("source"), F.col("b").alias("id")).distinct()
+    labels, _ = relax(starts, edges, ["source"], step=F.col("cost") + 1, goals=goals, every_goal=True)
+    reached = labels.select(F.col("source").alias("a"), F.col("id").alias("b"), F.lit(True).alias("r"))
     return pairs.join(reached, ["a", "b"], "left").select("a", "b", F.coalesce("r", F.lit(False)).alias("connected"))
 
 
@@ -32,12 +34,12 @@ def shortest_paths(sources: DataFrame, edges: DataFrame, weight: Column | None =
     """Least cost ``source, id, cost, pred`` for non-negative weights.
 
     ``weight`` is any expression over the edge columns. With ``goals(source, id)`` only goal rows
-    are returned.
+    are returned, and a source's search drops labels dearer than its goals once all are found.
     """
     step = F.col("cost") + (F.col("weight") if weight is None else weight)
     keep = None if max_cost is None else F.col("cost") <= max_cost
     seeds = sources.select("source", "id", F.lit(0.0).alias("cost"))
-    labels, _ = relax(seeds, edges, ["source"], step=step, keep=keep)
+    labels, _ = relax(seeds, edges, ["source"], step=step, keep=keep, goals=goals, every_goal=True)
     out = labels.select("source", "id", "cost", "pred")
     return out if goals is None else out.join(goals, ["source", "id"], "left_semi")
 

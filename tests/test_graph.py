@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from reachlake.operators.fixpoint import relax
 from reachlake.operators.graph import basic as G
 from reachlake.operators.graph import components as C
 from reachlake.operators.graph import paths as P
@@ -186,3 +187,17 @@ def test_pattern(spark):
     got = P.find_pattern(spark.range(4), e, [(0, 1), (1, 2), (2, 0)])
     assert rows(got) == [(0, 1, 2), (1, 2, 0), (2, 0, 1)]
     assert rows(P.find_pattern(spark.range(4), e, [(0, 1), (1, 2)])) == [(1, 2, 3)]
+
+
+def test_searches_end_at_their_goals(spark):
+    """Sources with near, several, missing and no goals; the search of a long street stops behind its goals."""
+    street = [(i, i + 1, 1.0) for i in range(40)] + [(3, 100, 50.0), (100, 101, 1.0)]
+    g = graph(spark, street)
+    goals = spark.createDataFrame([(0, 2), (0, 4), (30, 33), (30, 7), (38, 38)], "source long, id long")
+    got = {(r.source, r.id): r.cost for r in P.shortest_paths(at(spark, 0, 30, 38, 5), g, goals=goals).collect()}
+    assert got == {(0, 2): 2, (0, 4): 4, (30, 33): 3, (38, 38): 0}
+    seeds = spark.createDataFrame([(0, 0, 0.0)], "source long, id long, cost double")
+    labels, rounds = relax(seeds, g, ["source"], goals=goals, every_goal=True)
+    assert rounds <= 7 and labels.count() <= 8
+    pairs = spark.createDataFrame([(0, 2), (0, 101), (5, 3), (7, 7), (2, 40)], "a long, b long")
+    assert rows(P.has_path(pairs, g)) == [(0, 2, True), (0, 101, True), (2, 40, True), (5, 3, False), (7, 7, True)]
