@@ -1,5 +1,6 @@
 """Duplicate operators, classifiers and the pipeline against plain Python on small tables."""
 
+import itertools
 import random
 from collections import Counter, defaultdict
 
@@ -40,34 +41,66 @@ def docs_of(spark, texts):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string, kept boolean")
 
 
-def longest(v):
-    best = [1] * len(v)
-    for i in range(len(v)):
-        best[i] = 1 + max((best[j] for j in range(i) if v[j] <= v[i]), default=0)
-    return max(best, default=0)
+def patience_by_recursion(a, b, strong, x=0, y=0):
+    """Matched places of two lists of plain lines, ends first, then anchors, then the gaps."""
+    if not a:
+        return set()
+    if b and a[0] == b[0]:
+        return {(x, y)} | patience_by_recursion(a[1:], b[1:], strong[1:], x + 1, y + 1)
+    if b and a[-1] == b[-1]:
+        return {(x + len(a) - 1, y + len(b) - 1)} | patience_by_recursion(a[:-1], b[:-1], strong[:-1], x, y)
+    both = [i for i, v in enumerate(a) if strong[i] and a.count(v) == 1 and b.count(v) == 1]
+    if not both:
+        return set()
+    place = [b.index(a[i]) for i in both]
+    best = max((c for c in itertools.chain.from_iterable(itertools.combinations(range(len(both)), n) for n in range(len(both) + 1))
+                if all(place[p] < place[q] for p, q in zip(c, c[1:]))), key=lambda c: (len(c), [-place[q] for q in reversed(c)]))
+    out, i, j = set(), 0, 0
+    for q in best:
+        out |= {(x + both[q], y + place[q])} | patience_by_recursion(a[i : both[q]], b[j : place[q]], strong[i : both[q]], x + i, y + j)
+        i, j = both[q] + 1, place[q] + 1
+    return out | patience_by_recursion(a[i:], b[j:], strong[i:], x + i, y + j)
+
+
+def lost_lines(texts):
+    """Line numbers each text loses, over all pairs of texts that the lines' holders make."""
+    lines = {i: [x.strip() for x in t.split("\n")] for i, t in enumerate(texts) if t is not None}
+    enough = lambda x: len(x.split()) >= line_dedup.MIN_WORDS
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(t, i)
+    holders = defaultdict(set)
+    for i in lines:
+        if first[texts[i]] == i:
+            for x in filter(enough, lines[i]):
+                holders[x].add(i)
+    pairs = {(i, j) for v in holders.values() for i in v for j in (v if len(v) <= line_dedup.RARE else [min(v)]) if j < i}
+    out = {i: set() for i in lines}
+    for i, j in pairs:
+        strong = [enough(x) for x in lines[i]]
+        found = patience_by_recursion(lines[i], lines[j], strong)
+        for x, y in found:
+            block = [(x, y)]
+            while (block[-1][0] + 1, block[-1][1] + 1) in found:
+                block.append((block[-1][0] + 1, block[-1][1] + 1))
+            while (block[0][0] - 1, block[0][1] - 1) in found:
+                block.insert(0, (block[0][0] - 1, block[0][1] - 1))
+            if any(strong[p] for p, _ in block):
+                out[i].add(x)
+    for i in lines:
+        if first[texts[i]] < i and enough(texts[i]):
+            out[i] = set(range(len(lines[i])))
+    return out
 
 
 def check_lines(texts, rows):
-    owner = {}
-    lines = {i: [x.strip() for x in (t or "").split("\n")] for i, t in enumerate(texts)}
-    for i, v in lines.items():
-        for k, x in enumerate(v):
-            if len(x.split()) >= line_dedup.MIN_WORDS:
-                owner.setdefault(x, (i, k))
-    for i, v in lines.items():
-        pairs = defaultdict(list)
-        for k, x in enumerate(v):
-            if len(x.split()) >= line_dedup.MIN_WORDS and owner[x][0] != i:
-                pairs[owner[x][0]].append((k, owner[x][1]))
-        r = rows[i]
-        gone = set(r["_removed"] or [])
-        assert sorted(r["_sources"] or []) == sorted(pairs)
-        assert len(gone) == sum(longest([b for _, b in p]) for p in pairs.values())
-        for p in pairs.values():
-            kept = [b for k, b in p if k in gone]
-            assert kept == sorted(kept)
-        want = None if texts[i] is None else "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in gone)
-        assert r["text"] == want
+    want = lost_lines(texts)
+    for i, t in enumerate(texts):
+        if t is None:
+            assert rows[i]["text"] is None and rows[i]["_removed"] is None
+            continue
+        assert set(rows[i]["_removed"] or []) == want[i], i
+        assert rows[i]["text"] == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i])
 
 
 def test_line_dedup(spark):
@@ -368,3 +401,39 @@ def test_rows_with_one_id_lose_their_own_lines_only(spark):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     got = sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(docs).collect())
     assert got == [(0, shared), (1, ""), (1, own), (1, own), (2, ""), (2, "no shared line stands in this text")]
+
+
+def test_copies_go_whole_whatever_their_lines(spark):
+    """Refrains, short lines and a third text with the same lines in another order don't save parts of a copy."""
+    refrain, verses = "the refrain of this song is sung again", [f"verse {i} has its own words here" for i in range(15)]
+    song = "\n".join(x for i, v in enumerate(verses) for x in ([v, refrain] if i % 3 == 0 else [v]))
+    short = "\n".join(f"ab {i}" for i in range(30))
+    texts = ["\n".join(verses[::-1]), song, song, short, short, "hi", "hi"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert (got[2], got[4], got[6]) == ("", "", "hi") and got[3] == short
+
+
+def test_short_and_repeated_lines_go_with_their_block(spark):
+    block = "a first line of the shared passage\nshort\na second line of the shared passage\nshort\na third line of the shared passage"
+    texts = ["own opening\n" + block + "\nown end", "short\nquite another opening\n" + block + "\nthe end", "a first line of the shared passage\n" * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {0: texts[0], 1: "short\nquite another opening\nthe end", 2: ""}
+
+
+def test_passages_of_long_documents_meet_in_windows(spark):
+    own = lambda k: [f"document {k} says this in line {i} alone" for i in range(700)]
+    passage = [x for i in range(100) for x in (f"a passage that two documents share {i}", "short")]
+    here, there = own(1), own(2)
+    here[90:90], there[555:555] = passage, passage
+    docs = spark.createDataFrame([(1, "\n".join(here)), (2, "\n".join(there))], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {1: "\n".join(here), 2: "\n".join(own(2))}
+
+
+def test_equal_rows_and_null_ids(spark):
+    text = "six words stand in this line"
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text), (2, text)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text) for r in line_dedup.dedup_lines(docs).collect())
+    assert got == [(0, text), (1, text), (1, text), (2, ""), (2, "")]
