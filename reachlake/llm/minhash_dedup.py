@@ -22,9 +22,19 @@ U64 = np.uint64
 SIZE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
-# A pair is verified if at least this share of its samples agree: for a similarity of 0.8 and 36
-# samples, one pair in 30,000 falls below.
-LEAST_AGREEING = 0.5
+# Texts that share a band are sampled again, this many times; a byte is kept of each sample.
+SKETCH = 512
+
+
+def least_agreeing(least: float) -> float:
+    """The share of a sketch's samples in which pairs to be verified agree.
+
+    It lies four standard errors below ``least``, so one pair of just that similarity in 30,000 falls below.
+    """
+    return least - 4 * (least * (1 - least) / SKETCH) ** 0.5
+
+
+LEAST_AGREEING = least_agreeing(SIMILARITY)
 COMMON_SHARE = 1 / 1000
 IDF_SHARE = 0.2
 # Members of a band's bucket that one group holds, and members of a larger bucket that all its groups hold.
@@ -160,7 +170,28 @@ def _band_keys(classes: DataFrame) -> DataFrame:
     return classes.select("cls", "sig").mapInArrow(run, "key long, cls long")
 
 
-def spanning_pairs(cls: np.ndarray, sig: np.ndarray) -> list[tuple[int, int]]:
+def sketches_of(hit: DataFrame, classes: DataFrame, rows: DataFrame, weights: Weights) -> DataFrame:
+    """``cls, sig``: a byte of each of ``SKETCH`` samples of the classes that share a band with others."""
+    some, _ = written_with_count(hit.select("cls").distinct(), "sharing")
+    ids, n = written_with_count(classes.join(some, "cls").select(F.col("rep").alias("id")).distinct(), "sharing-texts")
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
+
+    def run(stream):
+        weights = shared.value
+        for b in batches_of(stream, 512, 1 << 20):
+            words, term, doc, count = bags(b.column("text").combine_chunks())
+            first = np.searchsorted(doc, np.arange(b.num_rows + 1))
+            sig = signatures(term * U64(0x9E3779B97F4A7C15), np.log(weights.of(term, count)), first, SKETCH)
+            sig = (sig * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
+            full = np.flatnonzero(np.diff(words.first))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(text_keys(words)[full]), pa.array([sig[i].tobytes() for i in full], pa.binary())], ["cls", "sig"])
+
+    found = only_ids(rows, ids, "id", n).mapInArrow(run, "cls long, sig binary")
+    return written(found.groupBy("cls").agg(F.first("sig").alias("sig")), "sketches")
+
+
+def spanning_pairs(cls: np.ndarray, sig: np.ndarray, agreeing: float = LEAST_AGREEING) -> list[tuple[int, int]]:
     """First round: of the pairs that agree in enough samples, at most two per member that keep what hangs together.
 
     Members join one by one, each time the one most alike to any before it, with its links to the two
@@ -169,7 +200,7 @@ def spanning_pairs(cls: np.ndarray, sig: np.ndarray) -> list[tuple[int, int]]:
     """
     n = len(cls)
     if n == 2:
-        return [(0, 1)] if (sig[0] == sig[1]).mean() >= LEAST_AGREEING else []
+        return [(0, 1)] if (sig[0] == sig[1]).mean() >= agreeing else []
     best = np.full((2, n), -1.0)
     who = np.zeros((2, n), np.int64)
     open_ = np.ones(n, bool)
@@ -177,7 +208,7 @@ def spanning_pairs(cls: np.ndarray, sig: np.ndarray) -> list[tuple[int, int]]:
     for _ in range(n):
         open_[at] = False
         for k in (0, 1):
-            if best[k, at] >= LEAST_AGREEING:
+            if best[k, at] >= agreeing:
                 out.append((int(who[k, at]), int(at)))
         alike = (sig == sig[at]).mean(axis=1)
         more = alike > best[0]
@@ -197,7 +228,7 @@ def bucket_members(classes: DataFrame, n_classes: int) -> DataFrame:
     return written(lookup(keys, sizes, ["key"], "n", BANDS * n_classes), "buckets")
 
 
-def candidate_pairs(hit: DataFrame, classes: DataFrame) -> DataFrame:
+def candidate_pairs(hit: DataFrame, sketches: DataFrame, agreeing: float = LEAST_AGREEING) -> DataFrame:
     """``a, b``: classes that share a band and agree in enough samples, for the first round.
 
     Buckets beyond ``MAX_GROUP`` members are dealt into groups, all of which also hold the bucket's
@@ -208,18 +239,18 @@ def candidate_pairs(hit: DataFrame, classes: DataFrame) -> DataFrame:
     leads = (groups > 1) & (F.pmod(F.xxhash64("cls", F.lit(1)), F.col("n")) < LEADERS)
     own = F.pmod(F.xxhash64("cls"), groups).cast("int")
     hit = hit.select("key", "cls", F.explode(F.when(leads, F.sequence(F.lit(0), groups - 1)).otherwise(F.array(own))).alias("part"))
-    partitions = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = (hit.join(classes.select("cls", "sig"), "cls").repartition(partitions, "key", "part")
+    partitions = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = (hit.join(sketches, "cls").repartition(partitions, "key", "part")
               .sortWithinPartitions("key", "part", "cls"))
 
     def run(stream):
         for table, first in sorted_groups(stream, ["key", "part"]):
             cls = table.column("cls").to_numpy()
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u4").reshape(len(cls), -1)
+            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(cls), -1)
             a, b = [], []
             for i, j in zip(first, first[1:]):
                 if j - i > 1:
-                    for x, y in spanning_pairs(cls[i:j], sig[i:j]):
+                    for x, y in spanning_pairs(cls[i:j], sig[i:j], agreeing):
                         a.append(min(cls[i + x], cls[i + y]))
                         b.append(max(cls[i + x], cls[i + y]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -227,7 +258,8 @@ def candidate_pairs(hit: DataFrame, classes: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def best_untested(cls: np.ndarray, sig: np.ndarray, component: np.ndarray, failed: list, share: int) -> set[tuple[int, int]]:
+def best_untested(cls: np.ndarray, sig: np.ndarray, component: np.ndarray, failed: list, share: int,
+                  agreeing: float = LEAST_AGREEING) -> set[tuple[int, int]]:
     """Of each member the ``share`` members of other components most alike, of those that agree enough and didn't fail with it."""
     out = set()
     for i in range(len(cls)):
@@ -236,11 +268,12 @@ def best_untested(cls: np.ndarray, sig: np.ndarray, component: np.ndarray, faile
             at = at[~np.isin(cls[at], failed[i])]
         alike = (sig[at] == sig[i]).mean(axis=1)
         best = np.argsort(-alike, kind="stable")[:share]
-        out.update((min(i, int(x)), max(i, int(x))) for x in at[best[alike[best] >= LEAST_AGREEING]])
+        out.update((min(i, int(x)), max(i, int(x))) for x in at[best[alike[best] >= agreeing]])
     return out
 
 
-def untested_pairs(hit: DataFrame, classes: DataFrame, groups: DataFrame, failed: DataFrame, n_classes: int, share: int) -> DataFrame:
+def untested_pairs(hit: DataFrame, sketches: DataFrame, groups: DataFrame, failed: DataFrame, n_classes: int, share: int,
+                   agreeing: float = LEAST_AGREEING) -> DataFrame:
     """``a, b``: classes of one bucket and different components that agree in enough samples and were not verified yet.
 
     There are none if and only if all such pairs were verified. Only buckets with several components
@@ -262,18 +295,18 @@ def untested_pairs(hit: DataFrame, classes: DataFrame, groups: DataFrame, failed
         "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "cls", "component")
     both = failed.select("a", "b").unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b")))
     lists = both.groupBy(F.col("a").alias("cls")).agg(F.collect_list("b").alias("failed"))
-    partitions = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = (cells.join(classes.select("cls", "sig"), "cls").join(lists, "cls", "left").repartition(partitions, "key", "lo", "hi")
+    partitions = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = (cells.join(sketches, "cls").join(lists, "cls", "left").repartition(partitions, "key", "lo", "hi")
               .sortWithinPartitions("key", "lo", "hi", "cls"))
 
     def run(stream):
         for table, first in sorted_groups(stream, ["key", "lo", "hi"]):
             cls, component = table.column("cls").to_numpy(), table.column("component").to_numpy()
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u4").reshape(len(cls), -1)
+            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(cls), -1)
             lists = table.column("failed")
             a, b = [], []
             for i, j in zip(first, first[1:]):
-                for x, y in best_untested(cls[i:j], sig[i:j], component[i:j], lists.slice(i, j - i).to_pylist(), share):
+                for x, y in best_untested(cls[i:j], sig[i:j], component[i:j], lists.slice(i, j - i).to_pylist(), share, agreeing):
                     a.append(min(cls[i + x], cls[i + y]))
                     b.append(max(cls[i + x], cls[i + y]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -343,7 +376,8 @@ def linked_groups(classes: DataFrame, n_classes: int, rows: DataFrame, weights:
     """
     reps = classes.select("cls", F.col("rep").alias("id"))
     hit = bucket_members(classes, n_classes)
-    pairs = written(candidate_pairs(hit, classes), "pairs")
+    sketches, agreeing = sketches_of(hit, classes, rows, weights), least_agreeing(least)
+    pairs = written(candidate_pairs(hit, sketches, agreeing), "pairs")
     links = failed = None
     share = 2
     while True:
@@ -354,7 +388,7 @@ def linked_groups(classes: DataFrame, n_classes: int, rows: DataFrame, weights:
         edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
         groups = written(connected_components(classes.select(F.col("cls").alias("id")), edges), "groups")
         share *= 2
-        pairs, n = written_with_count(untested_pairs(hit, classes, groups, failed, n_classes, share), "pairs")
+        pairs, n = written_with_count(untested_pairs(hit, sketches, groups, failed, n_classes, share, agreeing), "pairs")
         if not n:
             return links, groups
 

@@ -437,3 +437,19 @@ def test_equal_rows_and_null_ids(spark):
     docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text), (2, text)], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.text) for r in line_dedup.dedup_lines(docs).collect())
     assert got == [(0, text), (1, text), (1, text), (2, ""), (2, "")]
+
+
+def test_sketches_tell_similarities_apart(spark):
+    """Sketches agree about as often as the weighted sets are alike, so pairs well below the bound are not sent."""
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(base), " ".join(base[:390] + [f"x{i}" for i in range(10)]), " ".join(base[:300] + [f"y{i}" for i in range(100)])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    weights = minhash_dedup.common_shingles(rows, 10_000)
+    classes = minhash_dedup.sample_texts(rows, weights).withColumnRenamed("id", "rep")
+    got = {r.cls: np.frombuffer(r.sig, np.uint8) for r in minhash_dedup.sketches_of(classes, classes, rows, weights).collect()}
+    sig = [got[r.cls] for r in sorted(classes.collect(), key=lambda r: r.rep)]
+    assert len(sig[0]) == minhash_dedup.SKETCH
+    for other, want in ((1, 386 / 406), (2, 296 / 496)):
+        assert abs((sig[0] == sig[other]).mean() - want) < 0.09
+    assert (sig[0] == sig[1]).mean() >= minhash_dedup.LEAST_AGREEING > (sig[0] == sig[2]).mean()
