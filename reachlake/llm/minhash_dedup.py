@@ -39,6 +39,8 @@ COMMON_SHARE = 1 / 1000
 IDF_SHARE = 0.2
 # Members of a band's bucket that one group holds, and members of a larger bucket that all its groups hold.
 MAX_GROUP, LEADERS = 256, 16
+# Texts, and their words, that are verified against each other in one go (on average; blocks are dealt by hash).
+MAX_BLOCK, MAX_WORDS = 512, 1 << 20
 
 
 class Weights:
@@ -171,7 +173,7 @@ def _band_keys(classes: DataFrame) -> DataFrame:
 
 
 def sketches_of(hit: DataFrame, classes: DataFrame, rows: DataFrame, weights: Weights) -> DataFrame:
-    """``cls, sig``: a byte of each of ``SKETCH`` samples of the classes that share a band with others."""
+    """``cls, sig, words``: a byte of each of ``SKETCH`` samples of the classes that share a band with others."""
     some, _ = written_with_count(hit.select("cls").distinct(), "sharing")
     ids, n = written_with_count(classes.join(some, "cls").select(F.col("rep").alias("id")).distinct(), "sharing-texts")
     shared = rows.sparkSession.sparkContext.broadcast(weights)
@@ -185,10 +187,11 @@ def sketches_of(hit: DataFrame, classes: DataFrame, rows: DataFrame, weights: We
             sig = (sig * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
             full = np.flatnonzero(np.diff(words.first))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(text_keys(words)[full]), pa.array([sig[i].tobytes() for i in full], pa.binary())], ["cls", "sig"])
+                [pa.array(text_keys(words)[full]), pa.array([sig[i].tobytes() for i in full], pa.binary()),
+                 pa.array(np.diff(words.first)[full], pa.int64())], ["cls", "sig", "words"])
 
-    found = only_ids(rows, ids, "id", n).mapInArrow(run, "cls long, sig binary")
-    return written(found.groupBy("cls").agg(F.first("sig").alias("sig")), "sketches")
+    found = only_ids(rows, ids, "id", n).mapInArrow(run, "cls long, sig binary, words long")
+    return written(found.groupBy("cls").agg(F.first("sig").alias("sig"), F.first("words").alias("words")), "sketches")
 
 
 def spanning_pairs(cls: np.ndarray, sig: np.ndarray, agreeing: float = LEAST_AGREEING) -> list[tuple[int, int]]:
@@ -240,7 +243,7 @@ def candidate_pairs(hit: DataFrame, sketches: DataFrame, agreeing: float = LEAST
     own = F.pmod(F.xxhash64("cls"), groups).cast("int")
     hit = hit.select("key", "cls", F.explode(F.when(leads, F.sequence(F.lit(0), groups - 1)).otherwise(F.array(own))).alias("part"))
     partitions = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = (hit.join(sketches, "cls").repartition(partitions, "key", "part")
+    placed = (hit.join(sketches.select("cls", "sig"), "cls").repartition(partitions, "key", "part")
               .sortWithinPartitions("key", "part", "cls"))
 
     def run(stream):
@@ -258,55 +261,68 @@ def candidate_pairs(hit: DataFrame, sketches: DataFrame, agreeing: float = LEAST
     return placed.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def best_untested(cls: np.ndarray, sig: np.ndarray, component: np.ndarray, failed: list, share: int,
-                  agreeing: float = LEAST_AGREEING) -> set[tuple[int, int]]:
-    """Of each member the ``share`` members of other components most alike, of those that agree enough and didn't fail with it."""
-    out = set()
-    for i in range(len(cls)):
+def best_untested(sig: np.ndarray, component: np.ndarray, agreeing: float = LEAST_AGREEING) -> list[tuple[int, int]]:
+    """Each member with the member of another component most alike, if the two agree enough."""
+    out = []
+    for i in range(len(sig)):
         at = np.flatnonzero(component != component[i])
-        if failed[i] is not None:
-            at = at[~np.isin(cls[at], failed[i])]
-        alike = (sig[at] == sig[i]).mean(axis=1)
-        best = np.argsort(-alike, kind="stable")[:share]
-        out.update((min(i, int(x)), max(i, int(x))) for x in at[best[alike[best] >= agreeing]])
+        if len(at):
+            alike = (sig[at] == sig[i]).mean(axis=1)
+            best = int(np.argmax(alike))
+            if alike[best] >= agreeing:
+                out.append((i, int(at[best])))
     return out
 
 
-def untested_pairs(hit: DataFrame, sketches: DataFrame, groups: DataFrame, failed: DataFrame, n_classes: int, share: int,
+def dealt(members: DataFrame, sizes: DataFrame, key: str, rows: int) -> DataFrame:
+    """``members`` with the cells ``lo, hi`` in which every two of a key meet but those of its main component.
+
+    ``members`` hold ``key, cls, component``; ``sizes`` the keys to deal, each with its rows in ``n``, its
+    main component, and the number of blocks of that one (``mains``) and of all others (``rest``); a
+    key with ``mains`` 0 is one block. The row count is that of the key times the blocks of the others.
+    """
+    some, place = lookup(members, sizes, [key], "n", rows), F.xxhash64("cls", F.lit(2))
+    main, whole = F.col("component") == F.col("main"), F.col("mains") == 0
+    own = F.when(whole, 0).when(main, F.pmod(place, "mains")).otherwise(F.col("mains") + F.pmod(place, "rest")).cast("int")
+    others = F.when(whole, F.array(F.lit(0))).otherwise(
+        F.sequence(F.when(main, F.col("mains")).otherwise(0), F.col("mains") + F.col("rest") - 1))
+    return some.select(key, "cls", "component", own.alias("own"), F.explode(others).alias("other")).select(
+        key, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "cls", "component")
+
+
+def main_components(members: DataFrame, key: str, *sums) -> DataFrame:
+    """``key, n, main, m`` of keys with several components: rows, the largest component and its rows, and ``sums``."""
+    parts = members.groupBy(key, "component").agg(F.count(F.lit(1)).alias("m"), *[F.sum(c).alias(c) for c in sums])
+    found = parts.groupBy(key).agg(F.max(F.struct("m", "component", *sums)).alias("largest"), F.sum("m").alias("n"),
+                                   F.count(F.lit(1)).alias("k"), *[F.sum(c).alias(c) for c in sums])
+    return found.where("k > 1").select(key, "n", F.col("largest.component").alias("main"), F.col("largest.m").alias("m"),
+                                       *sums, *[F.col(f"largest.{c}").alias(f"main_{c}") for c in sums])
+
+
+def untested_pairs(hit: DataFrame, sketches: DataFrame, groups: DataFrame, n_classes: int,
                    agreeing: float = LEAST_AGREEING) -> DataFrame:
-    """``a, b``: classes of one bucket and different components that agree in enough samples and were not verified yet.
+    """``a, b``: classes of one bucket and different components that agree in enough samples, one pair a member at most.
 
-    There are none if and only if all such pairs were verified. Only buckets with several components
-    are looked at. One beyond ``MAX_GROUP`` members is dealt into blocks, those of its largest
-    component apart from the others, and every two blocks meet but those of the largest component.
+    There are none if and only if no such classes are left. Only buckets with several components are
+    looked at. One beyond ``MAX_GROUP`` members is dealt into blocks, those of its largest component
+    apart from the others, and every two blocks meet but those of the largest component.
     """
     named = written(hit.select("key", "cls").join(groups.withColumnRenamed("id", "cls"), "cls"), "bucket-components")
-    parts = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
-    mixed = parts.groupBy("key").agg(F.max(F.struct("m", "component")).alias("main"), F.sum("m").alias("n"), F.count(F.lit(1)).alias("k"))
-    mixed = written(mixed.where("k > 1").select("key", F.col("main.component").alias("main"), F.col("main.m").alias("m"), "n"), "mixed-buckets")
-    some = lookup(named, mixed, ["key"], "n", BANDS * n_classes)
     half, large = max(1, MAX_GROUP // 2), F.col("n") > MAX_GROUP
-    mains, rest = F.ceil(F.col("m") / half).cast("int"), F.ceil((F.col("n") - F.col("m")) / half).cast("int")
-    place = F.xxhash64("cls")
-    own = F.when(~large, 0).when(F.col("component") == F.col("main"), F.pmod(place, mains)).otherwise(mains + F.pmod(place, rest)).cast("int")
-    others = F.when(~large, F.array(F.lit(0))).otherwise(
-        F.sequence(F.when(F.col("component") == F.col("main"), mains).otherwise(0), mains + rest - 1))
-    cells = some.select("key", "cls", "component", own.alias("own"), F.explode(others).alias("other")).select(
-        "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "cls", "component")
-    both = failed.select("a", "b").unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    lists = both.groupBy(F.col("a").alias("cls")).agg(F.collect_list("b").alias("failed"))
+    mixed = written(main_components(named, "key").select(
+        "key", "n", "main", F.when(large, F.ceil(F.col("m") / half)).otherwise(0).cast("int").alias("mains"),
+        F.ceil((F.col("n") - F.col("m")) / half).cast("int").alias("rest")), "mixed-buckets")
     partitions = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = (cells.join(sketches, "cls").join(lists, "cls", "left").repartition(partitions, "key", "lo", "hi")
-              .sortWithinPartitions("key", "lo", "hi", "cls"))
+    placed = (dealt(named, mixed, "key", BANDS * n_classes).join(sketches.select("cls", "sig"), "cls")
+              .repartition(partitions, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "cls"))
 
     def run(stream):
         for table, first in sorted_groups(stream, ["key", "lo", "hi"]):
             cls, component = table.column("cls").to_numpy(), table.column("component").to_numpy()
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(cls), -1)
-            lists = table.column("failed")
             a, b = [], []
             for i, j in zip(first, first[1:]):
-                for x, y in best_untested(cls[i:j], sig[i:j], component[i:j], lists.slice(i, j - i).to_pylist(), share, agreeing):
+                for x, y in best_untested(sig[i:j], component[i:j], agreeing):
                     a.append(min(cls[i + x], cls[i + y]))
                     b.append(max(cls[i + x], cls[i + y]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -314,83 +330,160 @@ def untested_pairs(hit: DataFrame, sketches: DataFrame, groups: DataFrame, faile
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two (sorted terms, weights)."""
-    term = np.concatenate([a[0], b[0]])
-    order = np.argsort(term, kind="stable")
-    term, weight = term[order], np.concatenate([a[1], b[1]])[order]
-    same = np.flatnonzero(term[1:] == term[:-1])
-    both = np.minimum(weight[same], weight[same + 1]).sum()
-    total = weight.sum() - both
-    return float(both / total) if total > 0 else 0.0
+def similarities(term: np.ndarray, text: np.ndarray, count: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Weighted Jaccard similarity of every two of ``n`` texts, given as (term, text) with count and weight.
 
+    A term's weights are its counts times one factor, so the smaller of two weights is a sum over the
+    steps between different counts, and each step's sum over terms is a matrix product.
+    """
+    factor, both, below = weight / count, np.zeros((n, n)), 0
+    for step in np.unique(count):
+        at = np.flatnonzero(count >= step)
+        _, col, held = np.unique(term[at], return_inverse=True, return_counts=True)
+        shared = held > 1
+        at, col = at[shared[col]], (np.cumsum(shared) - 1)[col[shared[col]]]
+        if not len(at):
+            break
+        order = np.argsort(col, kind="stable")
+        at, col, wide = at[order], col[order], max(1, (1 << 21) // n)
+        for low in range(0, int(col[-1]) + 1, wide):
+            i, j = np.searchsorted(col, (low, low + wide))
+            part = np.zeros((n, min(wide, int(col[-1]) + 1 - low)))
+            part[text[at[i:j]], col[i:j] - low] = factor[at[i:j]]
+            both += (step - below) * (part @ (part != 0).T.astype(np.float64))
+        below = step
+    total = np.bincount(text, weight, n)
+    every = total[:, None] + total[None, :] - both
+    return np.divide(both, every, out=np.zeros((n, n)), where=every > 0)
+
+
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """As few of the links of a symmetric matrix as keep together what hangs together."""
+    seen, out = np.zeros(len(linked), bool), []
+    for start in range(len(linked)):
+        if seen[start]:
+            continue
+        seen[start], open_ = True, [start]
+        while open_:
+            i = open_.pop()
+            new = np.flatnonzero(linked[i] & ~seen)
+            seen[new] = True
+            out.extend((i, int(j)) for j in new)
+            open_.extend(new.tolist())
+    return out
 
-def verified_pairs(pairs: DataFrame, rows: DataFrame, reps: DataFrame, weights: Weights, least: float) -> DataFrame:
-    """``a, b, similarity`` of the pairs whose whole texts have at least that weighted similarity."""
-    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("cls"), "a", "b"), "pair-ends")
-    ids, n = written_with_count(reps.join(ends.select("cls").distinct(), "cls").select("id").distinct(), "pair-texts")
+
+def verified_links(cells: DataFrame, rows: DataFrame, reps: DataFrame, weights: Weights, least: float) -> DataFrame:
+    """``a, b``: links between classes that meet in a cell, of different components where they have one.
+
+    ``cells`` hold ``part, lo, hi, cls, component``. Each text is sent to its cells, where all pairs
+    are compared by their whole texts; of the links found a cell hands on fewer than it has members.
+    """
+    ids, n = written_with_count(reps.join(cells.select("cls").distinct(), "cls").select("id").distinct(), "cell-texts")
     shared = rows.sparkSession.sparkContext.broadcast(weights)
 
     def keyed(stream):
+        seen = set()
         for b in batches_of(stream, 512, 1 << 20):
             texts = b.column("text").combine_chunks()
-            words = Words(*utf8(texts))
-            yield pa.RecordBatch.from_arrays([pa.array(text_keys(words)), texts], ["cls", "text"])
+            keys = text_keys(Words(*utf8(texts)))
+            # A text that several rows with its id hold goes once per task.
+            new = []
+            for i, k in enumerate(keys.tolist()):
+                if k not in seen:
+                    seen.add(k)
+                    new.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[new]), texts.take(pa.array(new, pa.int64()))], ["cls", "text"])
 
     texts = only_ids(rows, ids, "id", n).mapInArrow(keyed, "cls long, text string")
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = (texts.join(ends, "cls").select("a", "b", "cls", "text").repartition(partitions, "a", "b")
-              .sortWithinPartitions("a", "b", "cls"))
+    placed = (texts.join(cells, "cls").select("part", "lo", "hi", "cls", "component", "text")
+              .repartition(partitions, "part", "lo", "hi").sortWithinPartitions("part", "lo", "hi", "cls"))
 
     def check(stream):
         weights = shared.value
-        for table, first in sorted_groups(stream, ["a", "b"]):
-            cls = table.column("cls").to_numpy()
-            # The same text may come several times; its first row and that of the other are compared.
-            mate = [next((j for j in range(i + 1, k) if cls[j] != cls[i]), -1) for i, k in zip(first, first[1:])]
-            out_a, out_b, out_s = [], [], []
-            for at in range(0, len(mate), 128):
-                part = [(i, j) for i, j in zip(first[at : at + 128], mate[at : at + 128]) if j >= 0]
-                texts = table.column("text").take(pa.array([i for p in part for i in p], pa.int64())).combine_chunks()
-                _, term, doc, count = bags(texts)
-                weight = weights.of(term, count)
-                cut = np.searchsorted(doc, np.arange(2 * len(part) + 1))
-                for m, (i, _) in enumerate(part):
-                    x, y, z = cut[2 * m], cut[2 * m + 1], cut[2 * m + 2]
-                    s = similarity((term[x:y], weight[x:y]), (term[y:z], weight[y:z]))
-                    if s >= least:
-                        out_a.append(table.column("a")[int(i)].as_py())
-                        out_b.append(table.column("b")[int(i)].as_py())
-                        out_s.append(s)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_s, pa.float64())], ["a", "b", "similarity"])
+        for table, first in sorted_groups(stream, ["part", "lo", "hi"]):
+            cls, component = table.column("cls").to_numpy(), table.column("component").to_numpy(zero_copy_only=False)
+            new = np.append(True, cls[1:] != cls[:-1])
+            new[first[:-1]] = True
+            a, b, at = [], [], 0
+            while at < len(first) - 1:
+                end = max(at + 1, int(np.searchsorted(first, first[at] + MAX_BLOCK, "right")) - 1)
+                members = first[at] + np.flatnonzero(new[first[at] : first[end]])
+                _, term, doc, count = bags(table.column("text").take(pa.array(members)).combine_chunks())
+                weight, cut = weights.of(term, count), np.searchsorted(members, first[at : end + 1])
+                entry = np.searchsorted(doc, cut)
+                for (i, j), (x, y) in zip(zip(cut, cut[1:]), zip(entry, entry[1:])):
+                    who = members[i:j]
+                    linked = similarities(term[x:y], doc[x:y] - i, count[x:y], weight[x:y], int(j - i)) >= least
+                    linked &= component[who][:, None] != component[who][None, :]
+                    for s, t in forest(linked):
+                        a.append(min(cls[who[s]], cls[who[t]]))
+                        b.append(max(cls[who[s]], cls[who[t]]))
+                at = end
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return placed.mapInArrow(check, "a long, b long, similarity double")
+    return placed.mapInArrow(check, "a long, b long").distinct()
+
+
+def alike_parts(hit: DataFrame, sketches: DataFrame, n_classes: int, agreeing: float) -> DataFrame:
+    """``cls, part``: what hangs together by pairs that share a band and agree in enough samples.
+
+    Every such pair ends up in one part, so no two parts have to be compared by their texts.
+    """
+    vertices = sketches.select(F.col("cls").alias("id"))
+    edges = None
+    pairs, n = written_with_count(candidate_pairs(hit, sketches, agreeing), "pairs")
+    while True:
+        more = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        edges = more if edges is None else edges.unionByName(more)
+        groups = written(connected_components(vertices, edges), "parts")
+        pairs, n = written_with_count(untested_pairs(hit, sketches, groups, n_classes, agreeing), "pairs")
+        if not n:
+            return groups.select(F.col("id").alias("cls"), F.col("component").alias("part"))
 
 
 def linked_groups(classes: DataFrame, n_classes: int, rows: DataFrame, weights: Weights, least: float) -> tuple[DataFrame, DataFrame]:
     """Verified links, and ``id, component`` of the classes.
 
-    Rounds of verified pairs go on until all pairs of a bucket that agree enough are verified or
-    within one component. A member sends twice as many partners each round, the most alike first.
+    The texts of a part meet in one cell. A larger part is dealt into blocks that also hold its
+    leaders; then the members that are not in its largest component meet all others. After that every
+    pair of a part is compared or in one component.
     """
-    reps = classes.select("cls", F.col("rep").alias("id"))
+    reps, vertices = classes.select("cls", F.col("rep").alias("id")), classes.select(F.col("cls").alias("id"))
     hit = bucket_members(classes, n_classes)
     sketches, agreeing = sketches_of(hit, classes, rows, weights), least_agreeing(least)
-    pairs = written(candidate_pairs(hit, sketches, agreeing), "pairs")
-    links = failed = None
-    share = 2
-    while True:
-        passed = written(verified_pairs(pairs, rows, reps, weights, least), "links")
-        links = passed if links is None else links.unionByName(passed)
-        not_ = written(pairs.join(passed.select("a", "b"), ["a", "b"], "left_anti"), "failed")
-        failed = not_ if failed is None else failed.unionByName(not_)
-        edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        groups = written(connected_components(classes.select(F.col("cls").alias("id")), edges), "groups")
-        share *= 2
-        pairs, n = written_with_count(untested_pairs(hit, sketches, groups, failed, n_classes, share, agreeing), "pairs")
-        if not n:
-            return links, groups
+    parts = written(alike_parts(hit, sketches, n_classes, agreeing).join(sketches.select("cls", "words"), "cls"), "alike")
+
+    def blocks(members, words):
+        return F.greatest(F.ceil(members / MAX_BLOCK), F.ceil(words / MAX_WORDS)).cast("int")
+
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words")).where("n > 1")
+    sizes = written(sizes.select("part", "n", blocks(F.col("n"), F.col("words")).alias("blocks")), "alike-sizes")
+    large, place = F.col("blocks") > 1, F.xxhash64("cls", F.lit(2))
+    leads = large & (F.pmod(F.xxhash64("cls", F.lit(1)), F.col("n")) < LEADERS)
+    cells = lookup(parts, sizes, ["part"], "n", n_classes).select(
+        "part", "cls", F.col("cls").alias("component"),
+        F.explode(F.when(leads, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(place, "blocks").cast("int")))).alias("lo"))
+    cells = written(cells.withColumn("hi", F.col("lo")), "cells")
+    links = written(verified_links(cells, rows, reps, weights, least), "links")
+
+    def joined(found):
+        return written(connected_components(vertices, found.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "groups")
+
+    groups = joined(links)
+    split = parts.join(sizes.where(large).select("part"), "part", "left_semi")
+    named, n = written_with_count(split.join(groups.withColumnRenamed("id", "cls"), "cls"), "large-parts")
+    if not n:
+        return links, groups
+    rest = blocks(F.col("n") - F.col("m"), F.col("words") - F.col("main_words"))
+    mixed = written(main_components(named, "part", "words").select(
+        "part", "n", "main", blocks(F.col("m"), F.col("main_words")).alias("mains"), rest.alias("rest")), "mixed-parts")
+    cells, n = written_with_count(dealt(named.drop("words"), mixed, "part", n), "cells")
+    if not n:
+        return links, groups
+    links = written(links.unionByName(verified_links(cells, rows, reps, weights, least)).distinct(), "links")
+    return links, joined(links)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -399,9 +492,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``copy_of`` is the smallest id among texts with the same lower-cased words, ``n_links`` the number
     of verified links of that text to different texts, ``group_id`` the smallest id that links lead to
     and ``kept`` whether it is the row's own. Links hold a weighted Jaccard similarity of at least
-    ``least`` over five-word shingles (of all words, for shorter texts). Pairs are verified until no two
-    groups hold texts of a common bucket that agree enough and are not verified; within a group only
-    the links that made it count. Null texts and texts without words are in a group by
+    ``least`` over five-word shingles (of all words, for shorter texts). No two groups hold texts of a
+    common bucket that agree enough and are not verified; within a group only the links that made it
+    count. Null texts and texts without words are in a group by
     themselves. A null id groups with the others and never names a group; rows that repeat an id and
     text stay together. Other columns are ignored, an empty table gives an empty result.
     """

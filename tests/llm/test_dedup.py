@@ -166,9 +166,12 @@ def test_large_buckets_are_dealt_into_groups(spark, monkeypatch):
     assert {r["group_id"] for r in got} == {0} and max(r["n_links"] for r in got) >= 1
 
 
-def test_partners_that_fail_do_not_hide_others(spark, monkeypatch):
+@pytest.mark.parametrize("block", [512, 16])
+def test_partners_that_fail_do_not_hide_others(spark, monkeypatch, block):
     # Texts with few or many edits: most pairs lie just below the least similarity, and few above.
     monkeypatch.setattr(minhash_dedup, "MAX_GROUP", 16)
+    monkeypatch.setattr(minhash_dedup, "MAX_BLOCK", block)
+    monkeypatch.setattr(minhash_dedup, "LEADERS", 4)
     rnd = random.Random(6)
     texts = []
     for i in range(90):
@@ -182,6 +185,29 @@ def test_partners_that_fail_do_not_hide_others(spark, monkeypatch):
     assert [got[i]["group_id"] for i in range(90)] == want
 
 
+def test_similarities_are_those_of_pairs():
+    rng = np.random.default_rng(5)
+    terms, n = 60, 9
+    count = rng.integers(0, 4, (n, terms)) * (rng.random((n, terms)) < 0.6)
+    count[3], factor = 0, rng.uniform(0.8, 1, terms)
+    count[4] = count[5]
+    text, term = np.nonzero(count)
+    got = minhash_dedup.similarities(term.astype(np.uint64), text, count[text, term], count[text, term] * factor[term], n)
+    for i, j in itertools.combinations(range(n), 2):
+        every = (np.maximum(count[i], count[j]) * factor).sum()
+        assert abs(got[i, j] - (np.minimum(count[i], count[j]) * factor).sum() / every) < 1e-12
+    assert abs(got[4, 5] - 1) < 1e-12 and minhash_dedup.similarities(np.zeros(0, np.uint64), *[np.zeros(0, int)] * 2, np.zeros(0), 2).max() == 0
+
+
+def test_forest_keeps_what_hangs_together():
+    linked = np.zeros((7, 7), bool)
+    for a, b in [(0, 3), (3, 5), (0, 5), (1, 6), (3, 4), (4, 5)]:
+        linked[a, b] = linked[b, a] = True
+    links = minhash_dedup.forest(linked)
+    assert len(links) == 4 and all(linked[a, b] for a, b in links)
+    assert {x for a, b in links if 1 not in (a, b) for x in (a, b)} == {0, 3, 4, 5}
+
+
 def test_spanning_pairs_keep_what_hangs_together():
     rng = np.random.default_rng(3)
     sig = rng.integers(0, 1 << 32, (40, 36), dtype=np.uint64).astype("<u4")
