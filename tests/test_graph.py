@@ -176,6 +176,45 @@ def test_complement_twice(spark):
     assert rows(G.complement(spark.range(3), c, 1.0).select("src", "dst")) == [(0, 1), (1, 2)]
 
 
+def test_closure_sends_sources_in_words(spark):
+    """Over 64 sources, in a graph without and one with cycles, against a search from each vertex."""
+    rnd = random.Random(7)
+    pairs = {(a, b) for a, b in ((rnd.randrange(150), rnd.randrange(150)) for _ in range(900)) if a < b}
+    for links in (pairs, {(0, i) for i in range(1, 80)} | {(i, i + 20) for i in range(80, 120)} | {(i, 149 - i) for i in range(70, 80)} | {(3, 3), (139, 79)}):
+        after = {a: {b for x, b in links if x == a} for a in range(150)}
+        reached = {}
+        for a in after:
+            seen, todo = set(), list(after[a])
+            while todo:
+                b = todo.pop()
+                if b not in seen:
+                    seen.add(b)
+                    todo += after[b]
+            reached[a] = seen
+        e = graph(spark, sorted(links))
+        assert rows(P.closure(e)) == sorted((a, b) for a, bs in reached.items() for b in bs)
+        words, _, adjacency = P._source_words(e.select("src", "dst").distinct())
+        adjacency.release()
+        assert words.count() <= 150 * 3
+        if links is pairs:
+            kept = sorted((a, b) for a, b in links if not any(b in reached[m] for m in after[a]))
+            assert rows(P.reduction(e)) == kept
+
+
+def test_complement_meets_neighbours_by_block(spark, capsys):
+    """Repeated and null vertices, edges to unknown ones; the edges are sent to no task whole."""
+    v = spark.createDataFrame([(i,) for i in (0, 1, 2, 3, 4, 5, 6, 2, 5, 5, None)], "id long")
+    e = graph(spark, [(0, 1), (0, 2), (0, 0), (2, 5), (6, 9), (9, 1), (4, 6)])
+    ids = [r.id for r in v.collect() if r.id is not None]
+    have = {(r.src, r.dst) for r in e.collect()}
+    want = sorted((a, b, 2.0) for a in ids for b in ids if a != b and (a, b) not in have)
+    got = G.complement(v, e, 2.0)
+    assert rows(got) == want
+    got.explain()
+    assert "LeftAnti" not in capsys.readouterr().out
+    assert rows(G.complement(spark.range(0), e, 1.0)) == []
+
+
 def test_simple_paths_with_parallel_edges(spark):
     e = graph(spark, [(0, 1), (0, 1), (1, 2), (1, 2)])
     pair = spark.createDataFrame([(0, 2)], "a long, b long")
