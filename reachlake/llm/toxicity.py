@@ -13,16 +13,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachlake.llm.spread import sample_per_key
 from reachlake.llm.textvec import MARKS, Words, batches_of, held_out, kept_columns, utf8
 from reachlake.session import written
 
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 DIMENSIONS = 8
-# Bounds of the training sample, all that the driver ever holds of the corpus.
-DOCS_PER_CLASS = 2500
-WORDS_PER_DOC = 4000
+# Every labelled text is counted and fitted; the driver holds what is known of words, never texts.
+TEXTS_PER_TASK, WORDS_PER_TASK = 8000, 4_000_000
+LEAST_TEXTS, LEAST_SHARE = 3, 50_000  # a word with an embedding is in so many texts, and in one of so many
+SEEN = 40_000  # texts that the epochs show in all, between two and six times each
+BATCH, RATE = 48, 0.02
+CHUNK = 1 << 14  # numbers of a model that are added up together
+STEPS_PER_LOGIT = 1000  # resolution of thresholds
 MAX_LANGUAGES = 64
 
 
@@ -92,30 +95,17 @@ class WordCnn:
         z = self.logits(index, first) - self.threshold[self.language(index, first)]
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
-    def fit(self, texts: list[np.ndarray], toxic: np.ndarray, langs: list[str], epochs: int = 6, batch: int = 48,
-            rate: float = 0.02) -> "WordCnn":
-        """Texts are arrays of word hashes. One text in five sets the thresholds and is not fitted."""
-        if not len(texts) or len(set(toxic.tolist())) < 2:
-            return self
+    def start(self, keys: np.ndarray, in_class: np.ndarray, texts_of: np.ndarray) -> "WordCnn":
+        """Weights before training, from the fitted texts of each class that hold a word and all of each class.
+
+        The first dimension of an embedding starts at the log odds of the word in toxic and other texts.
+        """
         rng = np.random.default_rng(self.seed)
-        seen = np.concatenate([np.unique(t) for t in texts])
-        keys, df = np.unique(seen, return_counts=True)
-        self.keys = keys[df >= 3]
-        index = [self.lookup(t) for t in texts]
-        v = len(self.keys) + 1
-        check = np.zeros(len(texts), bool)
-        for c in (0, 1):
-            check[rng.permutation(np.flatnonzero(toxic == c))[::5]] = True
-        fit = np.flatnonzero(~check)
-        # The first dimension starts at the log odds of the word in toxic and other texts.
-        in_class = np.zeros((2, v))
-        for i in fit:
-            in_class[toxic[i], np.unique(index[i])] += 1
-        n1, n0 = max(1, int((toxic[fit] == 1).sum())), max(1, int((toxic[fit] == 0).sum()))
+        self.keys, v = keys, len(keys) + 1
+        n0, n1 = np.maximum(1, texts_of)
         odds = np.log((in_class[1] + 0.3) / (n1 + 0.6)) - np.log((in_class[0] + 0.3) / (n0 + 0.6))
-        odds[0] = 0
         self.embedding = rng.normal(0, 0.05, (v, DIMENSIONS)).astype(np.float32)
-        self.embedding[:, 0] = odds / 3
+        self.embedding[1:, 0] = odds / 3
         self.embedding[0] = 0
         self.filters = {w: rng.normal(0, 0.1, (w, DIMENSIONS, FILTERS)).astype(np.float32) for w in WIDTHS}
         for w in WIDTHS:
@@ -124,7 +114,34 @@ class WordCnn:
         self.bias = np.full(k, -0.5, np.float32)
         self.out = rng.normal(1.0 / k, 0.1 / k, k).astype(np.float32)
         self.shift = np.float32(0)
-        pos, neg = fit[toxic[fit] == 1], fit[toxic[fit] == 0]
+        self.trained = True
+        return self
+
+    def vector(self) -> np.ndarray:
+        """All trained numbers, one after the other."""
+        return np.concatenate([x.ravel() for x in (self.bias, self.out, np.array([self.shift]), *self.filters.values(), self.embedding)])
+
+    def set_vector(self, v: np.ndarray) -> None:
+        at = 0
+
+        def take(shape):
+            nonlocal at
+            n = int(np.prod(shape))
+            at += n
+            return v[at - n : at].reshape(shape).astype(np.float32)
+
+        self.bias, self.out = take(self.bias.shape), take(self.out.shape)
+        self.shift = take((1,))[0]
+        self.filters = {w: take(f.shape) for w, f in self.filters.items()}
+        self.embedding = take(self.embedding.shape)
+
+    def epoch(self, index: list[np.ndarray], toxic: np.ndarray, rate: float, seed: int) -> None:
+        """One pass over all texts (arrays of rows of the table); the smaller class is shown several times."""
+        rng = np.random.default_rng([self.seed, seed])
+        classes = [c for c in (np.flatnonzero(toxic == 1), np.flatnonzero(toxic == 0)) if len(c)]
+        each = BATCH // len(classes)
+        steps = max(10, -(-max(map(len, classes)) // each))
+        shown = [np.concatenate([rng.permutation(c) for _ in range(-(-steps * each // len(c)))]) for c in classes]
         slow = {}
 
         def adam(name, value, g, lr):
@@ -132,9 +149,8 @@ class WordCnn:
             slow[name] = m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
             return (value - lr * m / (np.sqrt(s) + 1e-4)).astype(np.float32)
 
-        steps = max(60, epochs * len(fit) // batch)
         for step in range(steps):
-            pick = np.concatenate([rng.choice(pos, batch // 2), rng.choice(neg, batch // 2)])
+            pick = np.concatenate([x[step * each : (step + 1) * each] for x in shown])
             part = [index[i] for i in pick]
             first = np.append(0, np.cumsum([len(x) for x in part]))
             flat = np.concatenate(part)
@@ -142,7 +158,6 @@ class WordCnn:
             act = np.maximum(value + self.bias, 0)
             z = act @ self.out + self.shift
             dz = ((1 / (1 + np.exp(-np.clip(z, -30, 30)))) - toxic[pick]) / len(pick)
-            lr = rate * (1 - step / steps)
             dact = np.outer(dz, self.out) * (value + self.bias > 0)
             dact[np.diff(first) == 0] = 0
             new_filters, g_embed = {}, []
@@ -153,84 +168,181 @@ class WordCnn:
                 for c in range(w):
                     spot = at + c
                     ok = spot < first[1:, None]
-                    word = np.where(ok, flat[np.minimum(spot, len(flat) - 1)], 0)
+                    word = np.where(ok, flat[np.minimum(spot, len(flat) - 1)], 0) if len(flat) else np.zeros_like(spot)
                     gg = g * ok
                     gf[c] = np.einsum("btd,bt->dt", self.embedding[word], gg)
                     g_embed.append((word.ravel(), (gg[:, :, None] * self.filters[w][c].T[None]).reshape(-1, DIMENSIONS)))
-                new_filters[w] = adam(f"f{w}", self.filters[w], gf + 1e-4 * self.filters[w], lr)
-            self.out = adam("out", self.out, act.T @ dz + 1e-3 * self.out, lr)
-            self.bias = adam("bias", self.bias, dact.sum(axis=0), lr)
-            self.shift = np.float32(adam("shift", np.array([self.shift]), np.array([dz.sum()]), lr)[0])
+                new_filters[w] = adam(f"f{w}", self.filters[w], gf + 1e-4 * self.filters[w], rate)
+            self.out = adam("out", self.out, act.T @ dz + 1e-3 * self.out, rate)
+            self.bias = adam("bias", self.bias, dact.sum(axis=0), rate)
+            self.shift = np.float32(adam("shift", np.array([self.shift]), np.array([dz.sum()]), rate)[0])
             self.filters = new_filters
             for word, g in g_embed:
                 keep = word > 0
-                np.add.at(self.embedding, word[keep], (-2 * lr * g[keep]).astype(np.float32))
-        self.trained = True
-        self._fit_languages(index, langs, v)
-        self._fit_thresholds(index, toxic, check)
-        return self
+                np.add.at(self.embedding, word[keep], (-2 * rate * g[keep]).astype(np.float32))
 
-    def _fit_languages(self, index, langs, v):
-        self.languages = sorted(set(langs))[:MAX_LANGUAGES] or [""]
-        seen = np.full((v, len(self.languages)), 0.1)
-        for i, lang in zip(index, langs):
-            if lang in self.languages:
-                seen[:, self.languages.index(lang)] += np.bincount(i, minlength=v)
+    def set_languages(self, names: list[str], seen: np.ndarray) -> None:
+        """Odds of the languages of each row of the table, from the words counted in each."""
+        self.languages = names or [""]
+        seen = seen + 0.1
         odds = np.log(seen / seen.sum(axis=0))
         self.language_odds = (odds - odds.mean(axis=1, keepdims=True)).astype(np.float32)
         self.language_odds[0] = 0
         self.threshold = np.zeros(len(self.languages))
 
-    def _fit_thresholds(self, index, toxic, check):
+    def set_thresholds(self, lang: np.ndarray, z: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> None:
         """For each language the logit with the fewest errors, both classes weighted as they occur.
 
-        All languages' check texts count a little, so that one with few of them stays near the rest.
-        The threshold lies in the middle of the best gap.
+        ``n`` check texts have the language, logit and class. All languages' texts count a little, so that
+        one with few of them stays near the rest. The threshold lies in the middle of the best gap.
         """
-        at = np.flatnonzero(check)
-        first = np.append(0, np.cumsum([len(index[i]) for i in at]))
-        flat = np.concatenate([index[i] for i in at])
-        z, lang, y = self.logits(flat, first), self.language(flat, first), toxic[at]
-        cuts = np.unique(z)
-        cuts = np.concatenate([[cuts[0] - 1], (cuts[1:] + cuts[:-1]) / 2, [cuts[-1] + 1]])
-        gap = np.diff(np.concatenate([[cuts[0] - 1], np.unique(z), [cuts[-1] + 1]]))
+        values, at = np.unique(z, return_inverse=True)
+        cuts = np.concatenate([[values[0] - 1], (values[1:] + values[:-1]) / 2, [values[-1] + 1]])
+        gap = np.diff(np.concatenate([[cuts[0] - 1], values, [cuts[-1] + 1]]))
         for j in range(len(self.languages)):
-            weight = np.where(lang == j, 1.0, 0.1)
-            wrong = np.array([(weight * ((z > c) != (y == 1))).sum() for c in cuts])
-            best = np.flatnonzero(wrong <= wrong.min() + 1e-9)
+            weight = np.where(lang == j, 1.0, 0.1) * n
+            bad, good = (np.append(0, np.cumsum(np.bincount(at, weight * (toxic == c), len(values)))) for c in (1, 0))
+            wrong = bad + good[-1] - good
+            best = np.flatnonzero(wrong <= wrong.min() + 1e-6)
             self.threshold[j] = cuts[best[np.argmax(gap[best])]]
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = DOCS_PER_CLASS) -> list:
-    """At most ``per_class`` labelled texts of either class with at most ``WORDS_PER_DOC`` words, as word hashes.
+def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``id, text, toxic, lang, check`` of all texts ``id, text, lang`` with a label ``id, toxic``.
 
-    Texts ``id, text, lang`` and labels ``id, toxic``. Ids are chosen first, by their hash, so that no
-    text is shuffled; they are bounded as the sample is. Longer texts are only left out of the sample,
-    never of the scoring.
+    One id in five sets the thresholds (``check``) and is not fitted.
     """
-    short = docs.where(F.length("text") <= 8 * WORDS_PER_DOC)
     marks = labels.where(F.col("toxic").isin(0, 1)).groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = sample_per_key(written(short.select("id").distinct().join(marks, "id"), "labelled"), "toxic", "id", per_class)
-    top = short.join(F.broadcast(chosen), "id").select("text", "toxic", F.coalesce("lang", F.lit("")).alias("lang"), "n")
-
-    def run(stream):
+    return docs.join(marks, "id").select(
+        "id", "text", "toxic", F.coalesce("lang", F.lit("")).alias("lang"), (F.pmod(F.xxhash64("id"), F.lit(5)) == 0).alias("check"))
+
+
+def _count_words(stream):
+    """Texts and occurrences of each word per language, class and use, one batch after the other."""
+    kinds = ["lang", "toxic", "check"]
+    for b in batches_of(stream, 512, 2 << 20):
+        words = Words(*utf8(b.column("text")), breaks=MARKS)
+        if not len(words.hash):
+            continue
+        kind = b.select(kinds).to_pandas()
+        group = kind.groupby(kinds, sort=True).ngroup().to_numpy()
+        order = np.lexsort((words.doc, words.hash))
+        word, doc = words.hash[order], words.doc[order]
+        at = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])))
+        times, word, of = np.diff(np.append(at, len(word))), word[at], group[doc[at]]
+        order = np.lexsort((of, word))
+        word, of, times = word[order], of[order], times[order]
+        at = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (of[1:] != of[:-1])))
+        row = np.unique(group, return_index=True)[1][of[at]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(word[at].view(np.int64)), *[b.column(c).combine_chunks().take(pa.array(row)) for c in kinds],
+             pa.array(np.diff(np.append(at, len(word)))), pa.array(np.add.reduceat(times, at))], ["word", *kinds, "texts", "times"])
+
+
+def _add_chunks(pdf):
+    import pandas as pd
+
+    total = np.sum([np.frombuffer(x, "<f4").astype(float) for x in pdf["moved"]], axis=0)
+    return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "moved": [total.astype("<f4").tobytes()]})
+
+
+def fit_texts(texts: DataFrame) -> WordCnn:
+    """A network fitted on all ``texts`` of :func:`labelled_texts`.
+
+    Words are counted by Spark. In each epoch every task passes over all its texts from the same weights;
+    the mean of what the tasks have learnt, weighted by their texts, starts the next epoch.
+    """
+    texts = written(texts, "labelled")
+    model = WordCnn()
+    share = texts.sparkSession.sparkContext.broadcast
+    sizes = texts.groupBy("toxic", "check").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars")).collect()
+    n_of = {(r["toxic"], r["check"]): r["n"] for r in sizes}
+    rows = sum(n_of.values())
+    if len({c for c, _ in n_of}) < 2:
+        return model
+    names = [r["lang"] for r in texts.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES).collect()]
+    # A class without check texts, or without others, is used for both.
+    both = any((c, k) not in n_of for c in (0, 1) for k in (True, False))
+    fitted = F.lit(True) if both else ~F.col("check")
+    counts = texts.select("text", "lang", "toxic", "check").mapInArrow(
+        _count_words, "word long, lang string, toxic int, check boolean, texts long, times long")
+    in_lang = [F.sum(F.when(F.col("lang") == x, F.col("times")).otherwise(0)).alias(f"l{j}") for j, x in enumerate(names)]
+    in_class = [F.sum(F.when((F.col("toxic") == c) & fitted, F.col("texts")).otherwise(0)).alias(f"c{c}") for c in (0, 1)]
+    words = written(counts.groupBy("word").agg(F.sum("texts").alias("texts"), *in_class, *in_lang), "word-counts")
+    known = words.where(F.col("texts") >= max(LEAST_TEXTS, rows // LEAST_SHARE)).toArrow()
+    rest = words.where(F.col("texts") < max(LEAST_TEXTS, rows // LEAST_SHARE)).agg(*[F.sum(f"l{j}") for j in range(len(names))]).first()
+    keys = known.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    of = {c: known.column(c).to_numpy()[order] for c in known.column_names if c not in ("word", "texts")}
+    n_fit = np.array([sum(n for (t, check), n in n_of.items() if t == c and (both or not check)) for c in (0, 1)])
+    model.start(keys[order], np.stack([of["c0"], of["c1"]]), n_fit)
+    model.set_languages(names, np.stack([np.append(rest[j] or 0, of[f"l{j}"]) for j in range(len(names))], axis=1).astype(float))
+    tasks = int(max(1, rows // TEXTS_PER_TASK, sum(r["chars"] for r in sizes) // 6 // WORDS_PER_TASK))
+    shared = share(model)
+
+    def indexed(stream):
         for b in batches_of(stream, 512, 2 << 20):
             words = Words(*utf8(b.column("text")), breaks=MARKS)
-            parts = [words.hash[a:z][:WORDS_PER_DOC].tobytes() for a, z in zip(words.first, words.first[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(parts, pa.binary()), *[b.column(c).combine_chunks() for c in ("toxic", "lang", "n")]],
-                ["words", "toxic", "lang", "n"])
+            index = shared.value.lookup(words.hash).astype("<i4")
+            parts = [index[a:z].tobytes() for a, z in zip(words.first, words.first[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), *[b.column(c).combine_chunks() for c in ("toxic", "check")]],
+                                             ["words", "toxic", "check"])
+
+    table = written(texts.select("text", "toxic", "check").mapInArrow(indexed, "words binary, toxic int, check boolean")
+                    .repartition(tasks, "words"), "indexed")
+    fit = table.where(fitted).repartition(tasks, "words")
+    epochs = int(np.clip(-(-SEEN // rows), 2, 6))
+    for e in range(epochs):
+        shared = share(model)
+
+        def learn(stream, shared=shared, rate=RATE * (1 - e / epochs), seed=e):
+            index, toxic = [], []
+            for b in stream:
+                index += [np.frombuffer(x, "<i4") for x in b.column("words").to_pylist()]
+                toxic += b.column("toxic").to_pylist()
+            if not index:
+                return
+            order = sorted(range(len(index)), key=lambda i: (index[i].tobytes(), toxic[i]))
+            own = WordCnn()
+            own.__dict__.update(shared.value.__dict__)
+            own.embedding = own.embedding.copy()
+            before = own.vector()
+            own.epoch([index[i] for i in order], np.array(toxic)[order], rate, seed)
+            moved = ((own.vector() - before) * len(index)).astype("<f4")
+            for c in range(0, len(moved), CHUNK):
+                if moved[c : c + CHUNK].any():
+                    yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([moved[c : c + CHUNK].tobytes()], pa.binary())], ["chunk", "moved"])
+
+        sums = fit.mapInArrow(learn, "chunk long, moved binary").groupBy("chunk").applyInPandas(_add_chunks, "chunk long, moved binary")
+        v = model.vector().astype(float)
+        for r in sums.collect():
+            part = np.frombuffer(bytes(r["moved"]), "<f4")
+            v[r["chunk"] : r["chunk"] + len(part)] += part / n_fit.sum()
+        model.set_vector(v)
+    shared = share(model)
+
+    def logits(stream, shared=shared):
+        m = shared.value
+        for b in stream:
+            if not b.num_rows:
+                continue
+            part = [np.frombuffer(x, "<i4") for x in b.column("words").to_pylist()]
+            first = np.append(0, np.cumsum([len(x) for x in part]))
+            flat = np.concatenate(part)
+            z = np.round(m.logits(flat, first) * STEPS_PER_LOGIT).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(m.language(flat, first)), pa.array(z), b.column("toxic")], ["lang", "z", "toxic"])
 
-    found = top.mapInArrow(run, "words binary, toxic int, lang string, n int").limit(4 * per_class).collect()
-    return sorted(found, key=lambda r: (r["toxic"], r["n"], r["words"]))
+    checked = (table if both else table.where("check")).mapInArrow(logits, "lang long, z long, toxic int")
+    found = checked.groupBy("lang", "z", "toxic").agg(F.count("*").alias("n")).toArrow()
+    lang, z, toxic, n = (found.column(c).to_numpy() for c in ("lang", "z", "toxic", "n"))
+    model.set_thresholds(lang, z / STEPS_PER_LOGIT, toxic, n)
+    return model
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = DOCS_PER_CLASS) -> WordCnn:
-    """A network fitted on labelled documents, without those whose crc32 of the id mod 5 is 0."""
+def train(docs: DataFrame, labels: DataFrame) -> WordCnn:
+    """A network fitted on all labelled documents, without those whose crc32 of the id mod 5 is 0."""
     own = docs.select(F.col("doc_id").alias("id"), "text", "lang").where(~held_out(F.col("doc_id"), 5, 0))
-    sample = training_sample(own, labels.select(F.col("doc_id").alias("id"), "toxic"), per_class)
-    return WordCnn().fit([np.frombuffer(bytes(r["words"]), np.uint64) for r in sample],
-                         np.array([r["toxic"] for r in sample], np.int64), [r["lang"] for r in sample])
+    return fit_texts(labelled_texts(own, labels.select(F.col("doc_id").alias("id"), "toxic")))
 
 
 def score_texts(docs: DataFrame, model: WordCnn, id_col: str = "doc_id", text_col: str = "text",

@@ -371,6 +371,24 @@ def test_toxicity_network(spark):
     assert {r["predicted"] for r in empty.collect()} == {0}
 
 
+def test_toxicity_counts_every_labelled_text(spark, monkeypatch):
+    """Words of the last of many texts and of the end of a long one are known, and tasks share what they learn."""
+    monkeypatch.setattr(toxicity, "TEXTS_PER_TASK", 1500)
+    texts = [(i, f"plain words here {i % 7} " + ("vile" if i % 10 == 0 else "kind")) for i in range(7000)]
+    texts += [(7000 + i, "quiet " * 40000 + "farewell") for i in range(8)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in texts], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0 and i < 7000)) for i, _ in texts], "doc_id long, toxic int")
+    own = toxicity.labelled_texts(docs.withColumnRenamed("doc_id", "id"), labels.withColumnRenamed("doc_id", "id"))
+    assert own.count() == len(texts)
+    model = toxicity.fit_texts(own)
+    from reachlake.llm.textvec import utf8
+
+    words = toxicity.Words(*utf8(pa.array(["vile kind farewell quiet never"])), breaks=toxicity.MARKS)
+    assert (model.lookup(words.hash) > 0).tolist() == [True, True, True, True, False]
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_texts(docs, model).collect()}
+    assert all(got[i] == int(i % 10 == 0 and i < 7000) for i in got)
+
+
 def test_pipeline(spark, tmp_path):
     texts = corpus(40, 7)
     texts[3] += " vile vile scum"
