@@ -39,6 +39,7 @@ class WordCnn:
         self.language_odds = np.zeros((1, 1), np.float32)
         self.threshold = np.zeros(1)
         self.trained = False
+        self.tables = None  # products for scoring, made where they are used
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -46,6 +47,10 @@ class WordCnn:
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
         return np.where(self.keys[at] == hashes, at + 1, 0)
 
+    def _products(self, embedding: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+        """The product of embeddings and each filter's part, a row per word."""
+        return {(w, k): embedding @ self.filters[w][k] for w in WIDTHS for k in range(w)}
+
     def features(self, index: np.ndarray, first: np.ndarray, where: bool = False):
         """Largest filter value per text ``[texts, filters]``; with ``where`` also its word's place.
 
@@ -59,14 +64,18 @@ class WordCnn:
         if not n:
             return out, place
         last = np.repeat(first[1:][full], count[full])
+        if where:
+            # Few words of the table are in a batch of training.
+            used, index = np.unique(index, return_inverse=True)
+            tables = self._products(self.embedding[used])
+        else:
+            tables = self.tables = self._products(self.embedding) if self.tables is None else self.tables
         for i, w in enumerate(WIDTHS):
             cols = slice(i * FILTERS, (i + 1) * FILTERS)
             value = np.zeros((n, FILTERS), np.float32)
             for k in range(w):
-                # The product of embedding and filter is a table row per word.
-                table = self.embedding @ self.filters[w][k]
                 inside = np.arange(n - k) + k < last[: n - k]
-                value[: n - k] += table.take(index[k:], axis=0) * inside[:, None]
+                value[: n - k] += tables[w, k].take(index[k:], axis=0) * inside[:, None]
             out[full, cols] = np.maximum.reduceat(value, first[:-1][full], axis=0)
             if where:
                 for j in range(FILTERS):
@@ -122,7 +131,7 @@ class WordCnn:
         return np.concatenate([x.ravel() for x in (self.bias, self.out, np.array([self.shift]), *self.filters.values(), self.embedding)])
 
     def set_vector(self, v: np.ndarray) -> None:
-        at = 0
+        at, self.tables = 0, None
 
         def take(shape):
             nonlocal at
