@@ -1,18 +1,22 @@
-"""Language model scores by a hierarchical Pitman-Yor process over words and their contexts.
-
-A context restaurant serves the words that follow words of one context class (a hash of the word
-before); all of them share the root restaurant of single words as parent, whose base is uniform over
-the known words and one unknown. Everything a word needs, in all contexts, is in one shard, so the
-seating of its customers is sampled by Gibbs within a task; across shards only the totals of the
-restaurants are shared, whose number is fixed. Scores of a text are sums over shards.
-
-A word that would fill a good part of a shard is frequent. Each block of texts has a part of it of its
-own, dealt to shards like a word; the parts' customers sit at tables of their own, and the word's
-probability comes from the sums over its parts.
+"""Language model scores by a hierarchical Pitman-Yor process over words and the words before them.
+
+The restaurant of a context serves the words that follow one word; all of them share the root
+restaurant of single words as parent, whose base is uniform over the known words and one unknown.
+Everything a word needs, in all contexts, is in one shard, so the seating of its customers is sampled
+by Gibbs within a task. A restaurant's customers and tables are spread over the shards of its words:
+each shard sends its share of every context it has to the context's range, where shares are added up,
+and gets back the sums. That is a shuffle; no list of contexts is collected or broadcast.
+
+A word that would fill a good part of a shard is frequent: each of its (word, context) pairs goes to a
+shard of its own choice, whole, and only the word's sums for the root are shared. A pair that is
+frequent itself has a part in each block of texts; the parts' customers sit at tables of their own,
+and the pair's probability comes from the sums over its parts.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -20,21 +24,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reachlake.llm.textvec import U64, Words, batches_of, held_out, kept_columns, mix, utf8
-from reachlake.session import written
+from reachlake.session import hashed_table, written
 
-CONTEXTS = 256
+CONTEXTS = 256  # contexts that totals have room for where nothing else is said
 ROUNDS = 8  # a sweep seats every customer anew, in so many rounds
 TOTAL_SWEEPS, BURN_IN, SAMPLES = 2, 2, 2
 STRENGTH = 1.0
 SHARD_TOKENS = 3_000_000
 BLOCK_DOCS, BLOCK_TOKENS = 60_000, 1_500_000
 SEATED_AT_ONCE = 500_000  # customers of a shard, by whole words, that a task holds seats for
+SHARDS_PER_RANGE = 4  # shards for each range of contexts
+CONTEXT_BITS = 48  # of the hash of the word before
 END = mix(np.array([0xE0D], np.uint64))[0]
 START = mix(np.array([0x57A], np.uint64))[0]
 
 
 def token_stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, context class and text number of every token; each text ends with an end token."""
+    """Hash, context (the word before, or the start) and text number of every token; each text ends with an end token."""
     words = Words(*utf8(texts))
     n, d = len(words.hash), len(texts)
     token, doc = np.empty(n + d, np.uint64), np.empty(n + d, np.int64)
@@ -45,32 +51,67 @@ def token_stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     before = np.empty(n + d, np.uint64)
     before[1:] = token[:-1]
     before[words.first[:-1] + np.arange(d)] = START
-    return token, ((before >> U64(20)) % U64(CONTEXTS)).astype(np.uint16), doc
+    return token, before >> U64(64 - CONTEXT_BITS), doc
+
+
+def planes(values: np.ndarray, width: int = 4) -> bytes:
+    """Numbers of ``width`` bytes byte plane by byte plane, compressed, as most planes are nearly empty."""
+    raw = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def unplaned(raw: bytes, width: int = 4) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    flat = pa.Codec("zstd").decompress(raw[8:], n, asbytes=True) if n else b""
+    out = np.zeros((n // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(flat, np.uint8).reshape(width, -1).T
+    return out.view("<i8").ravel()
+
+
+def sixes(values: np.ndarray) -> bytes:
+    """The six low bytes of each number."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unsixed(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
 
+class Frequent(NamedTuple):
+    """Hashes of frequent words, and of their frequent pairs with a context, in order."""
 
-def planes(values: np.ndarray) -> bytes:
-    """32-bit numbers byte plane by byte plane, which makes small ones cheap to compress."""
-    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    words: np.ndarray
+    pairs: np.ndarray
 
 
-def unplaned(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+def pair_hash(token: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return mix(token + mix(context))
 
 
-def frequent_words(rows: DataFrame, tokens: float, limit: float) -> np.ndarray:
-    """Hashes of words with ``limit`` or more tokens, in order; at most ``2 * tokens / limit`` of them.
+def number_in(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Place of each hash in ``known``, from 1; 0 if it isn't there."""
+    if not len(known):
+        return np.zeros(len(hashes), np.int32)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[at] == hashes, at + 1, 0).astype(np.int32)
 
-    Such a word has its share of the tokens in some block at least, so only words that do are counted.
+
+def frequent_words(rows: DataFrame, tokens: float, limit: float) -> Frequent:
+    """Words, and pairs of a word and its context, with ``limit`` or more tokens; at most ``2 * tokens / limit`` of each.
+
+    They have their share of the tokens in some block at least, so only those that do are counted.
     """
     share = limit / max(1.0, tokens)
     if share >= 1:
-        return np.zeros(0, np.uint64)
+        return Frequent(np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
     def run(stream):
         held, n = [], 0
         for b in batches_of(stream, 512, 1 << 20):
-            held.append(token_stream(b.column("text").combine_chunks())[0])
-            n += len(held[-1])
+            held.append(token_stream(b.column("text").combine_chunks())[:2])
+            n += len(held[-1][0])
             if n >= BLOCK_TOKENS:
                 yield often(held, n)
                 held, n = [], 0
@@ -78,16 +119,23 @@ def frequent_words(rows: DataFrame, tokens: float, limit: float) -> np.ndarray:
             yield often(held, n)
 
     def often(held, n):
-        word, count = np.unique(np.concatenate(held), return_counts=True)
+        token, context = (np.concatenate(x) for x in zip(*held))
+        word, count = np.unique(token, return_counts=True)
         ok = count >= max(2, n * share)
-        return pa.RecordBatch.from_arrays([pa.array(word[ok].view(np.int64)), pa.array(count[ok])], ["word", "n"])
+        word, count = word[ok], count[ok]
+        of = number_in(word, token) > 0
+        pair, times = np.unique(pair_hash(token[of], context[of]), return_counts=True)
+        ok = times >= max(2, n * share)
+        key = np.concatenate([word, pair[ok]]).view(np.int64)
+        kind = np.arange(len(key)) >= len(word)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind), pa.array(np.concatenate([count, times[ok]]))], ["key", "pair", "n"])
 
-    found = rows.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = [r["word"] for r in found.where(F.col("n") >= limit / 2).select("word").collect()]
-    return np.sort(np.array(words, np.int64).view(np.uint64))
+    found = rows.select("text").mapInArrow(run, "key long, pair boolean, n long").groupBy("pair", "key").agg(F.sum("n").alias("n"))
+    found = found.where(F.col("n") >= limit / 2).collect()
+    return Frequent(*[np.sort(np.array([r["key"] for r in found if r["pair"] == p], np.int64).view(np.uint64)) for p in (False, True)])
 
 
-def shard_rows(rows: DataFrame, shards: int, frequent: np.ndarray) -> DataFrame:
+def shard_rows(rows: DataFrame, shards: int, frequent: Frequent) -> DataFrame:
     """Per task and block of texts, one row per shard of words, and one with the block's texts.
 
     Of a shard: its different words, the contexts of each, and the texts of each (word, context).
@@ -97,8 +145,8 @@ def shard_rows(rows: DataFrame, shards: int, frequent: np.ndarray) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_arrow = to_arrow_type(rows.schema["id"].dataType)
-    names = ["shard", "block", "words", "contexts_of", "context", "texts_of", "trained", "text", "frequent", "ids", "held", "n_tokens"]
-    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 7, pa.list_(id_arrow), pa.list_(pa.bool_()), pa.list_(pa.int64())]
+    names = ["shard", "block", "words", "contexts_of", "context", "texts_of", "trained", "text", "frequent", "pair", "ids", "held", "n_tokens"]
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 8, pa.list_(id_arrow), pa.list_(pa.bool_()), pa.list_(pa.int64())]
 
     def run(stream):
         part, number = TaskContext.get().partitionId(), 0
@@ -109,13 +157,15 @@ def shard_rows(rows: DataFrame, shards: int, frequent: np.ndarray) -> DataFrame:
             token, context, doc = (np.concatenate(x) for x in list(zip(*held))[:3])
             flags = np.concatenate([h[4] for h in held])
             at = part << 24 | number
-            often = np.zeros(len(token), np.int32)
-            if len(frequent):
-                near = np.minimum(np.searchsorted(frequent, token), len(frequent) - 1)
-                often = np.where(frequent[near] == token, near + 1, 0).astype(np.int32)
-                token = np.where(often > 0, mix(token + mix(np.array([at], np.uint64))), token)
+            often = number_in(frequent.words, token)
+            of = np.flatnonzero(often)
+            pairs = np.zeros(len(token), np.int32)
+            token[of] = pair_hash(token[of], context[of])
+            pairs[of] = number_in(frequent.pairs, token[of])
+            of = np.flatnonzero(pairs)
+            token[of] = mix(token[of] + mix(np.array([at], np.uint64)))
             order = np.lexsort((context, token))
-            often = often[order]
+            often, pairs = often[order], pairs[order]
             token, context, doc = token[order], context[order], doc[order].astype("<u2")
             new_word = np.append(True, token[1:] != token[:-1])
             new_pair = new_word.copy()
@@ -134,10 +184,10 @@ def shard_rows(rows: DataFrame, shards: int, frequent: np.ndarray) -> DataFrame:
                 p = slice(word_pair[w.start], word_pair[w.stop])
                 t = slice(pair_text[p.start], pair_text[p.stop])
                 out.append((int(s), at, token[word[w]].astype("<u8").tobytes(), planes(contexts_of[w]),
-                            context[pair[p]].astype("<u2").tobytes(), planes(texts_of[p]), planes(trained[p]), doc[t].tobytes(),
-                            planes(often[word[w]]), None, None, None))
+                            sixes(context[pair[p]]), planes(texts_of[p]), planes(trained[p]), planes(doc[t], 2),
+                            planes(often[word[w]]), planes(pairs[word[w]]), None, None, None))
             ids = [i for h in held for i in h[3]]
-            out.append((-1 - at, at, *[b""] * 7, ids, flags.tolist(), np.concatenate([h[5] for h in held]).tolist()))
+            out.append((-1 - at, at, *[b""] * 8, ids, flags.tolist(), np.concatenate([h[5] for h in held]).tolist()))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
         for b in batches_of(stream, 512, 1 << 20):
@@ -153,7 +203,7 @@ def shard_rows(rows: DataFrame, shards: int, frequent: np.ndarray) -> DataFrame:
             yield block()
 
     return rows.mapInArrow(run, "shard long, block long, words binary, contexts_of binary, context binary, texts_of binary, "
-                           f"trained binary, text binary, frequent binary, ids array<{id_type}>, held array<boolean>, n_tokens array<long>")
+                           f"trained binary, text binary, frequent binary, pair binary, ids array<{id_type}>, held array<boolean>, n_tokens array<long>")
 
 
 def merge_shard(pdf):
@@ -165,15 +215,17 @@ def merge_shard(pdf):
 
     if pdf["shard"].iloc[0] < 0:
         one = pdf.iloc[0]
-        return pd.DataFrame([(one["shard"], one["block"], *[b""] * 8, one["ids"], one["held"], one["n_tokens"])], columns=_MERGED)
+        return pd.DataFrame([(one["shard"], one["block"], *[b""] * 10, one["ids"], one["held"], one["n_tokens"])], columns=_MERGED)
     pdf = pdf.sort_values("block")
-    word, context, often, sizes = [], [], [], []
+    word, context, often, pairs, sizes, texts = [], [], [], [], [], []
     for r in pdf.itertuples():
-        w = np.frombuffer(r.words, "<u8")
-        word.append(np.repeat(w, unplaned(r.contexts_of)))
-        often.append(np.repeat(unplaned(r.frequent), unplaned(r.contexts_of)))
-        context.append(np.frombuffer(r.context, "<u2"))
+        contexts_of = unplaned(r.contexts_of)
+        word.append(np.repeat(np.frombuffer(r.words, "<u8"), contexts_of))
+        often.append(np.repeat(unplaned(r.frequent).astype(np.int32), contexts_of))
+        pairs.append(np.repeat(unplaned(r.pair).astype(np.int32), contexts_of))
+        context.append(unsixed(r.context))
         sizes.append(len(context[-1]))
+        texts.append(unplaned(r.text, 2).astype("<u2"))
     word, context = np.concatenate(word), np.concatenate(context)
     trained = np.concatenate([unplaned(x) for x in pdf["trained"]])
     order = np.lexsort((context, word))
@@ -185,77 +237,117 @@ def merge_shard(pdf):
     count = np.add.reduceat(trained[order], at)
     new_word = np.append(True, w[at][1:] != w[at][:-1])
     contexts_of = np.diff(np.append(np.flatnonzero(new_word), len(at)))
-    often = np.concatenate(often)[order][at][new_word]
+    often, pairs = (np.concatenate(x)[order][at][new_word] for x in (often, pairs))
+    contexts, context = np.unique(c[at], return_inverse=True)
     # Places ascend within a block, so their steps are small.
     steps, k = [], 0
     for n in sizes:
         steps.append(np.diff(number[k : k + n], prepend=0))
         k += n
     return pd.DataFrame([(
-        pdf["shard"].iloc[0], 0, planes(contexts_of), planes(often), c[at].astype("<u2").tobytes(), planes(count), planes(np.concatenate(steps)),
-        b"".join(pdf["texts_of"].map(lambda x: planes(unplaned(x)))), b"".join(pdf["text"]),
-        np.array([pdf["block"].to_numpy(), sizes, pdf["text"].map(len) // 2], dtype="<i8").tobytes(), None, None, None)], columns=_MERGED)
+        pdf["shard"].iloc[0], 0, planes(contexts_of), planes(often), planes(pairs), steps_of(contexts), planes(context), planes(count),
+        planes(np.concatenate(steps)), planes(np.concatenate([unplaned(x) for x in pdf["texts_of"]])), planes(np.concatenate(texts), 2),
+        np.array([pdf["block"].to_numpy(), sizes, [len(x) for x in texts]], dtype="<i8").tobytes(), None, None, None)], columns=_MERGED)
+
+
+_STATE = ["contexts_of", "frequent", "pair", "contexts", "context", "count"]
+_MERGED = ["shard", "block", *_STATE, "places", "texts_of", "text", "blocks", "ids", "held", "n_tokens"]
+
+
+def steps_of(ascending: np.ndarray) -> bytes:
+    """Ascending contexts by the steps between them."""
+    return planes(np.diff(ascending, prepend=np.uint64(0)), 6)
 
 
-_MERGED = ["shard", "block", "contexts_of", "frequent", "context", "count", "places", "texts_of", "text", "blocks", "ids", "held", "n_tokens"]
+def unstepped(raw: bytes) -> np.ndarray:
+    return np.cumsum(unplaned(raw, 6).astype(np.uint64), dtype=np.uint64)
 
 
 class Totals:
-    """What all shards share: customers and tables of each restaurant and of frequent words, and the discounts.
+    """What shards share: customers and tables of each restaurant, of frequent words and pairs, and the discounts.
 
-    Numbers come at the places of one long vector: those of restaurants, eight more, and then for
-    ``frequent`` words their customers and tables by context, and their customers and tables at the root.
+    Numbers come at the places of one long vector: customers and tables of ``contexts`` restaurants (of
+    a shard, in its order), eight for the root, and then for each of ``frequent`` words its tokens and its
+    customers at the root, for each of ``pairs`` its customers and tables.
     """
 
-    def __init__(self, v: np.ndarray, frequent: int):
-        self.frequent = frequent
-        self.customers, self.tables = v[:CONTEXTS], v[CONTEXTS : 2 * CONTEXTS]
-        (self.root_customers, self.root_tables, self.train_tokens, self.words, n1, n2, m1, m2) = v[2 * CONTEXTS : FIXED]
-        k = FIXED + frequent * CONTEXTS
-        self.often_customers = v[FIXED:k].reshape(frequent, CONTEXTS)
-        known = self.often_customers.sum(axis=1) > 0
-        # Words with parts are counted here, their parts were not.
-        self.words += known.sum()
-        self.root_tables += known.sum()
+    def __init__(self, v: np.ndarray, frequent: int, pairs: int = 0, contexts: int = CONTEXTS):
+        self.frequent, self.pairs, self.contexts = frequent, pairs, contexts
+        self.customers, self.tables = v[:contexts], v[contexts : 2 * contexts]
+        (self.root_customers, self.root_tables, self.train_tokens, self.words, n1, n2, m1, m2) = v[2 * contexts : 2 * contexts + FIXED]
         self._frequent(v)
         # Of things seen once and twice, as for absolute discounting.
         self.discount = float(np.clip(n1 / max(1.0, n1 + 2 * n2), 0.1, 0.95))
         self.root_discount = float(np.clip(m1 / max(1.0, m1 + 2 * m2), 0.1, 0.95))
+        # Frequent words are counted here, their pairs were not.
+        self.often_root_tables = (self.often_customers > 0).astype(float)
+        self.words += self.often_root_tables.sum()
+        self.root_tables += self.often_root_tables.sum()
 
     def _frequent(self, v: np.ndarray) -> None:
-        n, k = self.frequent, FIXED + self.frequent * CONTEXTS
-        self.often_tables = v[k : k + n * CONTEXTS].reshape(n, CONTEXTS)
-        self.often_root_customers = v[k + n * CONTEXTS : k + n * (CONTEXTS + 1)]
-        self.often_root_tables = v[k + n * (CONTEXTS + 1) :]
+        n, p, k = self.frequent, self.pairs, 2 * self.contexts + FIXED
+        self.often_customers, self.often_root_customers = v[k : k + n], v[k + n : k + 2 * n]
+        k += 2 * n
+        self.pair_customers, self.pair_tables = v[k : k + p], v[k + p : k + 2 * p]
 
     def with_tables(self, v: np.ndarray) -> "Totals":
-        self.tables = v[CONTEXTS : 2 * CONTEXTS]
-        self.root_customers, self.root_tables = v[2 * CONTEXTS], v[2 * CONTEXTS + 1]
+        """The same customers with tables of a later seating; frequent words are seated at the root here."""
+        fresh = self.fresh
+        self.tables = v[self.contexts : 2 * self.contexts]
+        self.root_customers, self.root_tables = v[2 * self.contexts], v[2 * self.contexts + 1]
+        often, pairs = self.often_customers, self.pair_customers
         self._frequent(v)
+        self.often_customers, self.pair_customers = often, pairs
+        self.often_root_tables = root_seats(self.often_root_customers.astype(np.int64), fresh, self.root_discount, np.random.default_rng(7))
+        self.root_tables = self.root_tables + self.often_root_tables.sum()
         return self
 
     @staticmethod
-    def places(frequent: int) -> int:
-        return FIXED + frequent * (2 * CONTEXTS + 2)
+    def places(frequent: int, pairs: int = 0, contexts: int = CONTEXTS) -> int:
+        return 2 * contexts + FIXED + 2 * frequent + 2 * pairs
 
     @property
     def base(self) -> float:
         return 1 / (self.words + 1)
 
+    @property
+    def fresh(self) -> float:
+        """Weight of a new table at the root, for any word."""
+        return (STRENGTH + self.root_discount * self.root_tables) * self.base
+
 
-FIXED = 2 * CONTEXTS + 8
+FIXED = 8
+
+
+def root_seats(customers: np.ndarray, fresh: float, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of each word at the root, after its customers are seated one after the other.
+
+    Beyond the 64th, a word's customers come in groups of an eighth of those seated.
+    """
+    left, seated, tables = customers.copy(), np.zeros(len(customers), np.int64), np.zeros(len(customers), np.int64)
+    w = np.flatnonzero(left)
+    while len(w):
+        step = np.minimum(left[w], np.where(seated[w] < 64, 1, seated[w] // 8))
+        old = np.maximum(0, seated[w] - discount * tables[w])
+        tables[w] += rng.binomial(step, fresh / (fresh + old))
+        seated[w] += step
+        left[w] -= step
+        w = w[left[w] > 0]
+    return tables
 
 
 class Seating:
     """Seats of all customers of a shard's (word, context) pairs, and the tables of its words at the root."""
 
-    def __init__(self, contexts_of: np.ndarray, frequent: np.ndarray, context: np.ndarray, count: np.ndarray, totals: Totals, seed: int):
+    def __init__(self, contexts_of: np.ndarray, frequent: np.ndarray, context: np.ndarray, count: np.ndarray, totals: Totals, seed: int,
+                 pairs: np.ndarray | None = None):
         self.totals, self.rng = totals, np.random.default_rng(seed)
         self.context, self.count = context.astype(np.int64), count
         self.word = np.repeat(np.arange(len(contexts_of)), contexts_of)
         self.n_words = len(contexts_of)
-        # Numbers of the frequent words that parts belong to, from 1.
+        # Numbers of the frequent words and pairs that words belong to, from 1.
         self.frequent = frequent
+        self.pairs = np.zeros(len(frequent), np.int64) if pairs is None else pairs
         # All customers of a pair start at one table; a pair with one customer never changes.
         self.tables = (count > 0).astype(np.int64)
         self.active = np.flatnonzero(count > 1)
@@ -278,46 +370,33 @@ class Seating:
         self.seat_root()
 
     def seat_root(self) -> None:
-        """Seat the customers that the contexts' tables send to the root, one after the other.
-
-        Beyond the 64th, a word's customers come in groups of an eighth of those seated.
-        """
+        """Seat the customers that the contexts' tables send to the root; those of frequent words come from many shards."""
         t = self.totals
         self.root_customers = np.bincount(self.word, self.tables, self.n_words).astype(np.int64)
-        left, seated = self.root_customers.copy(), np.zeros(self.n_words, np.int64)
-        self.root_tables = np.zeros(self.n_words, np.int64)
-        w = np.flatnonzero(left)
-        fresh = (STRENGTH + t.root_discount * t.root_tables) * t.base
-        while len(w):
-            step = np.minimum(left[w], np.where(seated[w] < 64, 1, seated[w] // 8))
-            old = np.maximum(0, seated[w] - t.root_discount * self.root_tables[w])
-            self.root_tables[w] += self.rng.binomial(step, fresh / (fresh + old))
-            seated[w] += step
-            left[w] -= step
-            w = w[left[w] > 0]
+        own = np.where(self.frequent > 0, 0, self.root_customers)
+        self.root_tables = root_seats(own, t.fresh, t.root_discount, self.rng)
 
     def root_probability(self) -> np.ndarray:
         t = self.totals
-        fresh = (STRENGTH + t.root_discount * t.root_tables) * t.base
         customers, tables = self.root_customers.astype(float), self.root_tables.astype(float)
         part = np.flatnonzero(self.frequent)
         customers[part] = t.often_root_customers[self.frequent[part] - 1]
         tables[part] = t.often_root_tables[self.frequent[part] - 1]
-        return (np.maximum(customers - t.root_discount * tables, 0) + fresh) / (STRENGTH + t.root_customers)
+        return (np.maximum(customers - t.root_discount * tables, 0) + t.fresh) / (STRENGTH + t.root_customers)
 
     def whole_counts(self) -> np.ndarray:
-        """Training tokens of each pair, for parts of a frequent word those of the word."""
-        of = self.frequent[self.word]
+        """Training tokens of each pair, for parts of a frequent pair those of the pair."""
+        of = self.pairs[self.word]
         out = self.count.astype(float)
         at = np.flatnonzero(of)
-        out[at] = self.totals.often_customers[of[at] - 1, self.context[at]]
+        out[at] = self.totals.pair_customers[of[at] - 1]
         return out
 
     def word_counts(self) -> np.ndarray:
-        """Training tokens of each word, for parts those of the word."""
+        """Training tokens of each word, for pairs of a frequent word those of the word."""
         out = np.bincount(self.word, self.count, self.n_words)
         part = np.flatnonzero(self.frequent)
-        out[part] = self.totals.often_customers.sum(axis=1)[self.frequent[part] - 1]
+        out[part] = self.totals.often_customers[self.frequent[part] - 1]
         return out
 
     def sweep(self) -> None:
@@ -372,74 +451,115 @@ class Seating:
         self.seat[who] = label
         np.add.at(self.at_table, self.first[pair] + label, 1)
         self.tables[self.active] = tables + gained
-        self.context_tables += np.bincount(self.context[self.active], gained - lost, CONTEXTS)
+        self.context_tables += np.bincount(self.context[self.active], gained - lost, self.totals.contexts)
 
     def probability(self) -> np.ndarray:
         """Predictive probability of every pair's word after its context."""
         t = self.totals
         up = (STRENGTH + t.discount * t.tables[self.context]) * self.root_probability()[self.word]
-        of, tables = self.frequent[self.word], self.tables.astype(float)
+        of, tables = self.pairs[self.word], self.tables.astype(float)
         at = np.flatnonzero(of)
-        tables[at] = t.often_tables[of[at] - 1, self.context[at]]
+        tables[at] = t.pair_tables[of[at] - 1]
         return (np.maximum(self.whole_counts() - t.discount * tables, 0) + up) / (STRENGTH + t.customers[self.context])
 
-    def sums(self) -> tuple[list[int], list[float]]:
-        """Places and numbers of :class:`Totals` that seating changes."""
-        n = self.totals.frequent
-        k = FIXED + n * CONTEXTS
-        of = self.frequent[self.word]
-        at, part = np.flatnonzero((of > 0) & (self.tables > 0)), np.flatnonzero(self.frequent)
-        place = np.concatenate([np.arange(CONTEXTS, 2 * CONTEXTS + 2), k + (of[at] - 1) * CONTEXTS + self.context[at],
-                                k + n * CONTEXTS + self.frequent[part] - 1, k + n * (CONTEXTS + 1) + self.frequent[part] - 1])
-        value = np.concatenate([np.bincount(self.context, self.tables, CONTEXTS), [self.root_customers.sum(), self.root_tables.sum()],
-                                self.tables[at], self.root_customers[part], self.root_tables[part]])
-        return place.tolist(), value.astype(float).tolist()
-
-
-def _added(parts: DataFrame, n: int) -> np.ndarray:
-    """Sums of the numbers ``v`` at places ``i``; the driver sees one per place."""
-    rows = parts.select(F.explode(F.arrays_zip("i", "v")).alias("p")).groupBy("p.i").agg(F.sum("p.v").alias("x")).collect()
-    out = np.zeros(n)
-    for r in rows:
-        out[r["i"]] = r["x"]
-    return out
-
-
-def _counts(frequent: int):
-    def run(stream):
-        for b in stream:
-            place, value = [], []
-            for one in zip(*(b.column(c).to_pylist() for c in ("contexts_of", "frequent", "context", "count"))):
-                contexts_of, often, context, count = unplaned(one[0]), unplaned(one[1]), np.frombuffer(one[2], "<u2").astype(np.int64), unplaned(one[3])
-                word = np.repeat(np.arange(len(contexts_of)), contexts_of)
-                kinds = np.bincount(word, count > 0, len(contexts_of))
-                known = (np.bincount(word, count, len(contexts_of)) > 0) & (often == 0)
-                of = often[word]
-                at, part = np.flatnonzero(of), np.flatnonzero(often)
-                k = FIXED + frequent * CONTEXTS
-                place.append(np.concatenate([
-                    np.arange(FIXED), FIXED + (of[at] - 1) * CONTEXTS + context[at], k + (of[at] - 1) * CONTEXTS + context[at],
-                    k + frequent * CONTEXTS + often[part] - 1]).tolist())
-                value.append(np.concatenate([
-                    np.bincount(context, count, CONTEXTS), np.bincount(context, count > 0, CONTEXTS),
-                    [kinds.sum(), known.sum(), count.sum(), known.sum(), (count == 1).sum(), (count == 2).sum(),
-                     (kinds == 1).sum(), (kinds == 2).sum()], count[at], count[at] > 0, kinds[part]]).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(place, pa.list_(pa.int64())), pa.array(value, pa.list_(pa.float64()))], ["i", "v"])
-
-    return run
-
-
-def _seatings(b: pa.RecordBatch, i: int, totals: Totals, run: int):
-    """Seatings of a shard's words, some after the other, which keeps the seats in memory few."""
-    contexts_of, often, context, count = (b.column(c)[i].as_py() for c in ("contexts_of", "frequent", "context", "count"))
-    contexts_of, often, context, count = unplaned(contexts_of), unplaned(often), np.frombuffer(context, "<u2"), unplaned(count)
-    first = np.append(0, np.cumsum(contexts_of))
-    group = np.cumsum(np.add.reduceat(count, first[:-1])) // SEATED_AT_ONCE
-    cuts = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
-    for k, (x, y) in enumerate(zip(cuts, cuts[1:])):
-        pairs = slice(first[x], first[y])
-        yield Seating(contexts_of[x:y], often[x:y], context[pairs], count[pairs], totals,
-                      seed=(b.column("shard")[i].as_py() * 1000 + k) * 10 + run)
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places and numbers of :class:`Totals` that seating changes; those of the restaurants come first."""
+        t = self.totals
+        k = 2 * t.contexts + FIXED + t.frequent
+        word, pair = np.flatnonzero(self.frequent), np.flatnonzero(self.pairs)
+        place = np.concatenate([np.arange(t.contexts, 2 * t.contexts + 2), k + self.frequent[word] - 1,
+                                k + t.frequent + t.pairs + self.pairs[pair] - 1])
+        value = np.concatenate([np.bincount(self.context, self.tables, t.contexts), [self.root_customers.sum(), self.root_tables.sum()],
+                                self.root_customers[word], self.root_customers[pair]])
+        return place, value.astype(float)
+
+
+_SHARES = "range long, shard long, contexts binary, numbers binary"
+
+
+def _shares(shard: int, contexts: np.ndarray, numbers: list[np.ndarray], bits: int, rest: np.ndarray) -> list[tuple]:
+    """A shard's numbers of its contexts, a row per range of contexts, and ``rest`` for all, in range -1."""
+    cuts = np.searchsorted(contexts, np.arange(1 << bits, dtype=np.uint64) << U64(CONTEXT_BITS - bits))
+    cuts = np.append(cuts, len(contexts))
+    out = [(r, shard, steps_of(contexts[a:z]), planes(np.concatenate([x[a:z] for x in numbers])))
+           for r, (a, z) in enumerate(zip(cuts, cuts[1:])) if z > a]
+    return [*out, (-1, shard, b"", rest.astype("<f8").tobytes())]
+
+
+def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*rows), kinds)], ["range", "shard", "contexts", "numbers"])
+
+
+def _meet(pdf):
+    """Sums over the shards of a range's contexts, for each shard those of its contexts in its order."""
+    import pandas as pd
+
+    at = int(pdf["range"].iloc[0])
+    if at < 0:
+        total = np.sum([np.frombuffer(x, "<f8") for x in pdf["numbers"]], axis=0)
+        return pd.DataFrame({"shard": [-1], "range": [at], "numbers": [total.astype("<f8").tobytes()]})
+    contexts = [unstepped(x) for x in pdf["contexts"]]
+    numbers = [unplaned(x).reshape(-1, len(c)) for x, c in zip(pdf["numbers"], contexts)]
+    _, of = np.unique(np.concatenate(contexts), return_inverse=True)
+    sums = np.stack([np.bincount(of, x) for x in np.concatenate(numbers, axis=1)]).astype(np.int64)
+    out, k = [], 0
+    for c in contexts:
+        out.append(planes(sums[:, of[k : k + len(c)]].ravel(), 6))
+        k += len(c)
+    return pd.DataFrame({"shard": pdf["shard"], "range": at, "numbers": out})
+
+
+def _exchanged(shares: DataFrame, name: str) -> tuple[DataFrame, np.ndarray]:
+    """Per shard the sums for its contexts, a list in order of ranges named ``name``, and the sums of what all share."""
+    met = written(shares.groupBy("range").applyInPandas(_meet, "shard long, range long, numbers binary"), "met")
+    root = met.where("shard = -1").select("numbers").first()
+    lists = met.where("shard >= 0").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("range", "numbers")))["numbers"].alias(name))
+    return lists, np.frombuffer(bytes(root["numbers"]), "<f8") if root else np.zeros(0)
+
+
+def _numbers(parts: list[bytes], contexts: int, kinds: int) -> np.ndarray:
+    out = [unplaned(x, 6).reshape(kinds, -1) for x in parts]
+    return (np.concatenate(out, axis=1) if out else np.zeros((kinds, 0))).astype(float).reshape(kinds, contexts)
+
+
+class Shard:
+    """Row ``i`` of a batch of merged shards."""
+
+    def __init__(self, b: pa.RecordBatch, i: int):
+        self.number = b.column("shard")[i].as_py()
+        one = {c: b.column(c)[i].as_py() for c in _STATE}
+        self.contexts = unstepped(one.pop("contexts"))
+        self.contexts_of, self.frequent, self.pair, self.context, self.count = (unplaned(x) for x in one.values())
+
+    def totals(self, sizes: tuple[int, int], counted: list[bytes], root: np.ndarray) -> Totals:
+        """``counted`` and ``root``: what :func:`_exchanged` gave of the customers."""
+        k = len(self.contexts)
+        return Totals(np.concatenate([_numbers(counted, k, 2).ravel(), root]), *sizes, k)
+
+    def counts(self, sizes: tuple[int, int]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Customers and first tables (one a pair) of the contexts, and the numbers behind them in :class:`Totals`."""
+        word = np.repeat(np.arange(len(self.contexts_of)), self.contexts_of)
+        count, k = self.count, len(self.contexts)
+        tokens = np.bincount(word, count, len(self.contexts_of))
+        kinds = np.bincount(word, count > 0, len(self.contexts_of))
+        own = self.frequent == 0
+        known = (own & (tokens > 0)).sum()
+        words, pairs = np.flatnonzero(self.frequent), np.flatnonzero(self.pair)
+        rest = [np.bincount(of[at] - 1, v[at], n) for n, of, at in ((sizes[0], self.frequent, words), (sizes[1], self.pair, pairs))
+                for v in (tokens, kinds)]
+        root = [kinds.sum(), known, count.sum(), known, (count == 1).sum(), (count == 2).sum(), (own & (kinds == 1)).sum(), (own & (kinds == 2)).sum()]
+        return [np.bincount(self.context, x, k).astype(np.int64) for x in (count, count > 0)], np.concatenate([root, *rest])
+
+    def seatings(self, totals: Totals, run: int):
+        """Seatings of the shard's words, some after the other, which keeps the seats in memory few."""
+        first = np.append(0, np.cumsum(self.contexts_of))
+        group = np.cumsum(np.add.reduceat(self.count, first[:-1])) // SEATED_AT_ONCE
+        cuts = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
+        for k, (x, y) in enumerate(zip(cuts, cuts[1:])):
+            of = slice(first[x], first[y])
+            yield Seating(self.contexts_of[x:y], self.frequent[x:y], self.context[of], self.count[of], totals,
+                          seed=(self.number * 1000 + k) * 10 + run, pairs=self.pair[x:y])
 
 
 def score(docs: DataFrame, held: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -456,35 +576,54 @@ def score(docs: DataFrame, held: str | None = None, id_col: str = "doc_id", text
     id_type = rows.schema["id"].dataType.simpleString()
     size = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     shards = 1 << max(6, int(np.ceil(np.log2(max(1, size / 6 / SHARD_TOKENS)))))
-    merged = "shard long, block long, " + ", ".join(f"{c} binary" for c in _MERGED[2:10]) + (
+    ranges = max(4, (shards // SHARDS_PER_RANGE).bit_length() - 1)
+    merged = "shard long, block long, " + ", ".join(f"{c} binary" for c in _MERGED[2:-3]) + (
         f", ids array<{id_type}>, held array<boolean>, n_tokens array<long>")
     frequent = frequent_words(rows, size / 6, SHARD_TOKENS / 2)
-    places = Totals.places(len(frequent))
-    table = written(shard_rows(rows, shards, frequent).groupBy("shard").applyInPandas(merge_shard, merged), "shards")
-    state = table.where("shard >= 0").select("shard", "contexts_of", "frequent", "context", "count")
-    totals = Totals(_added(state.mapInArrow(_counts(len(frequent)), "i array<long>, v array<double>"), places), len(frequent))
-    totals.often_root_tables = (totals.often_customers.sum(axis=1) > 0).astype(float)
-    share = rows.sparkSession.sparkContext.broadcast
-
-    def tables(stream, shared=share(totals)):
+    sizes = len(frequent.words), len(frequent.pairs)
+    dealt = shard_rows(rows, shards, frequent).repartition(shards, "shard")
+    table = hashed_table(dealt.groupBy("shard").applyInPandas(merge_shard, merged), "shards", ["shard"], shards)
+    state = table.where("shard >= 0").select("shard", *_STATE)
+
+    def counts(stream):
         for b in stream:
             out = []
             for i in range(b.num_rows):
-                for s in _seatings(b, i, shared.value, 0):
+                s = Shard(b, i)
+                numbers, rest = s.counts(sizes)
+                out += _shares(s.number, s.contexts, numbers, ranges, rest)
+            if out:
+                yield _batch_of(out)
+
+    counted, root = _exchanged(state.mapInArrow(counts, _SHARES), "counted")
+
+    def tables(stream):
+        for b in stream:
+            out = []
+            for i in range(b.num_rows):
+                s = Shard(b, i)
+                t = s.totals(sizes, b.column("counted")[i].as_py(), root)
+                k, v = t.contexts, np.zeros(Totals.places(*sizes, t.contexts))
+                for seats in s.seatings(t, 0):
                     for _ in range(TOTAL_SWEEPS):
-                        s.sweep()
-                    out.append(s.sums())
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.list_(pa.int64())),
-                                              pa.array([o[1] for o in out], pa.list_(pa.float64()))], ["i", "v"])
+                        seats.sweep()
+                    np.add.at(v, *seats.sums())
+                out += _shares(s.number, s.contexts, [v[k : 2 * k].astype(np.int64)], ranges, v[2 * k :])
+            if out:
+                yield _batch_of(out)
 
-    totals.with_tables(_added(state.mapInArrow(tables, "i array<long>, v array<double>"), places))
+    # The few numbers of each shard's contexts come to the shards, which stay where they are.
+    seated, later = _exchanged(state.join(counted.hint("shuffle_hash"), "shard").mapInArrow(tables, _SHARES), "seated")
 
-    def parts(stream, shared=share(totals)):
-        t = shared.value
+    def parts(stream):
         for b in stream:
             for i in range(b.num_rows):
                 log_p, c = [], []
-                for s in _seatings(b, i, t, 1):
+                shard = Shard(b, i)
+                t = shard.totals(sizes, b.column("counted")[i].as_py(), root)
+                k = t.contexts
+                t.with_tables(np.concatenate([np.zeros(k), _numbers(b.column("seated")[i].as_py(), k, 1)[0], later]))
+                for s in shard.seatings(t, 1):
                     for _ in range(BURN_IN):
                         s.sweep()
                     p = 0
@@ -496,12 +635,12 @@ def score(docs: DataFrame, held: str | None = None, id_col: str = "doc_id", text
                 log_p, c = np.concatenate(log_p), np.concatenate(c)
                 base = np.log10((c + 1) / (t.train_tokens + t.words + 1))
                 blocks, n_pairs, n_texts = np.frombuffer(b.column("blocks")[i].as_py(), "<i8").reshape(3, -1)
-                places, text = unplaned(b.column("places")[i].as_py()), np.frombuffer(b.column("text")[i].as_py(), "<u2")
-                times, k, m = b.column("texts_of")[i].as_py(), 0, 0
+                places, times, k, m = unplaned(b.column("places")[i].as_py()), unplaned(b.column("texts_of")[i].as_py()), 0, 0
+                text = unplaned(b.column("text")[i].as_py(), 2)
                 out = []
                 for block, n, texts in zip(blocks, n_pairs, n_texts):
-                    pair = np.repeat(np.cumsum(places[k : k + n]), unplaned(times[4 * k : 4 * (k + n)]))
-                    doc = text[m : m + texts].astype(np.int64)
+                    pair = np.repeat(np.cumsum(places[k : k + n]), times[k : k + n])
+                    doc = text[m : m + texts]
                     have = np.flatnonzero(np.bincount(doc))
                     out.append((int(block), have.astype("<u2").tobytes(), *[np.bincount(doc, v[pair])[have].astype("<f8").tobytes()
                                                                            for v in (log_p, base, (c > 0).astype(float))]))
@@ -509,10 +648,12 @@ def score(docs: DataFrame, held: str | None = None, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*out), [pa.int64(), *[pa.binary()] * 4])],
                                                  ["block", "doc", "score", "base", "known"])
 
-    sums = table.where("shard >= 0").select("shard", *_MERGED[2:10]).mapInArrow(
+    whole = table.where("shard >= 0").select("shard", *_MERGED[2:-3])
+    whole = whole.join(counted.hint("shuffle_hash"), "shard").join(seated.hint("shuffle_hash"), "shard")
+    sums = whole.mapInArrow(
         parts, "block long, doc binary, score binary, base binary, known binary")
     texts = table.where("shard < 0").select("block", "ids", "held", "n_tokens")
-    train_tokens = int(totals.train_tokens)
+    train_tokens = int(root[2]) if len(root) else 0
 
     def gather(pdf):
         import pandas as pd

@@ -193,6 +193,35 @@ def test_language_model_counts_and_normalisation(spark, monkeypatch, shard_token
     assert pitman_yor.score(table(spark, [])).count() == 0
 
 
+def test_each_word_has_a_restaurant_of_its_own(spark):
+    # Of 1500 words each is followed by one other; a model that mixes contexts can't tell which.
+    n = 1500
+    token, context, _ = pitman_yor.token_stream(pa.array([f"c{i} w{i}" for i in range(n)]))
+    assert len(set(context.tolist())) == 2 * n + 1
+    texts = [f"c{i} w{i}" for i in range(n)] * 4 + [f"c{i} w{i}" for i in range(0, n, 10)] + [f"c{i} w{i + 1}" for i in range(0, n, 10)]
+    docs = table(spark, texts).withColumn("out", F.col("doc_id") >= 4 * n)
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score(docs, held="out").collect()}
+    right, wrong = (np.array([got[4 * n + k * (n // 10) + i] for i in range(n // 10)]) for k in (0, 1))
+    assert (right > wrong + 2).all()
+    # The first word is one of n, the other two follow from the word before in more than half of the cases.
+    assert (right > -math.log10(n) + 2 * math.log10(0.5) - 0.3).all()
+
+
+@pytest.mark.parametrize("limit", [3_000_000, 60])
+def test_pairs_of_frequent_words_score_alike(spark, monkeypatch, limit):
+    # Frequent words are dealt by their contexts, and frequent pairs by blocks; known pairs stay likelier than others.
+    monkeypatch.setattr(pitman_yor, "SHARD_TOKENS", limit)
+    monkeypatch.setattr(pitman_yor, "BLOCK_TOKENS", 300)
+    texts = [f"the a{i % 9} of the b{i % 5}" for i in range(400)] + ["the a1 of the b2", "a1 the the b2 of"]
+    docs = table(spark, texts).withColumn("out", F.col("doc_id") >= 400)
+    got = {r["doc_id"]: r for r in pitman_yor.score(docs, held="out").collect()}
+    assert got[400]["n_known"] == got[401]["n_known"] == 6
+    assert got[400]["base_score"] == pytest.approx(got[401]["base_score"])
+    # the | start, a1 | the, of | a1, the | of, b2 | the, end | b2
+    assert got[400]["score"] == pytest.approx(math.log10(1 / 18 * 1 / 10), abs=0.15)
+    assert got[401]["score"] < got[400]["score"] - 4
+
+
 def test_seating_stays_consistent_and_sums_to_one():
     rng = np.random.default_rng(6)
     words, k = 40, pitman_yor.CONTEXTS
