@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachlake.llm.textvec import U64, Words, batches_of, held_out, kept_columns, mix, utf8
+from reachlake.llm.textvec import U64, Words, batches_of, held_out, kept_columns, mix, planes, unplaned, utf8
 from reachlake.session import hashed_table, written
 
 CONTEXTS = 256  # contexts that totals have room for where nothing else is said
@@ -54,20 +54,6 @@ def token_stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return token, before >> U64(64 - CONTEXT_BITS), doc
 
 
-def planes(values: np.ndarray, width: int = 4) -> bytes:
-    """Numbers of ``width`` bytes byte plane by byte plane, compressed, as most planes are nearly empty."""
-    raw = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
-
-
-def unplaned(raw: bytes, width: int = 4) -> np.ndarray:
-    n = int.from_bytes(raw[:8], "little")
-    flat = pa.Codec("zstd").decompress(raw[8:], n, asbytes=True) if n else b""
-    out = np.zeros((n // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(flat, np.uint8).reshape(width, -1).T
-    return out.view("<i8").ravel()
-
-
 def sixes(values: np.ndarray) -> bytes:
     """The six low bytes of each number."""
     return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()

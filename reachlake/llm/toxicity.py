@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachlake.llm.textvec import MARKS, Words, batches_of, held_out, kept_columns, utf8
+from reachlake.llm.textvec import MARKS, Words, batches_of, held_out, kept_columns, planes, unplaned, utf8
 from reachlake.session import written
 
 WIDTHS = (1, 2, 3)
@@ -222,7 +222,8 @@ def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     One id in five sets the thresholds (``check``) and is not fitted.
     """
     marks = labels.where(F.col("toxic").isin(0, 1)).groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"))
-    return docs.join(marks, "id").select(
+    # Sent by id at every size: labels grow with the texts, so a broadcast of them would too.
+    return docs.join(marks.hint("merge"), "id").select(
         "id", "text", "toxic", F.coalesce("lang", F.lit("")).alias("lang"), (F.pmod(F.xxhash64("id"), F.lit(5)) == 0).alias("check"))
 
 
@@ -248,13 +249,50 @@ def _count_words(stream):
              pa.array(np.diff(np.append(at, len(word)))), pa.array(np.add.reduceat(times, at))], ["word", *kinds, "texts", "times"])
 
 
+def _changed(moved: np.ndarray) -> list[tuple[int, bytes]]:
+    """The chunks of a vector that aren't zero, each as a bit per number and the numbers other than zero.
+
+    A task meets a bounded number of words however many a model knows, so what it sends is bounded too.
+    """
+    out = []
+    for c in range(0, len(moved), CHUNK):
+        part = np.zeros(CHUNK, "<f4")
+        part[: len(moved) - c] = moved[c : c + CHUNK]
+        if part.any():
+            out.append((c, np.packbits(part != 0).tobytes() + part[part != 0].tobytes()))
+    return out
+
+
 def _add_chunks(pdf):
     import pandas as pd
 
-    total = np.sum([np.frombuffer(x, "<f4").astype(float) for x in pdf["moved"]], axis=0)
+    total = np.zeros(CHUNK)
+    for raw in pdf["moved"]:
+        total[np.unpackbits(np.frombuffer(raw, np.uint8, CHUNK // 8)).astype(bool)] += np.frombuffer(raw, "<f4", offset=CHUNK // 8)
     return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "moved": [total.astype("<f4").tobytes()]})
 
 
+def _one_row(stream):
+    """All texts of a task as one row, so that they stay together wherever they are read."""
+    words, kinds = [], []
+    for b in stream:
+        words += b.column("words").to_pylist()
+        kinds.append(np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.uint8) for c in ("toxic", "check")]))
+    if words:
+        toxic, check = np.concatenate(kinds, axis=1)
+        sizes = np.array([len(x) // 4 for x in words])
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (
+            planes(np.frombuffer(b"".join(words), "<i4")), planes(sizes), toxic.tobytes(), check.tobytes())], ["words", "sizes", "toxic", "check"])
+
+
+def _texts_of(stream):
+    """Per row of :func:`_one_row` the texts' words and their classes and uses."""
+    for b in stream:
+        for words, sizes, toxic, check in zip(*(b.column(c).to_pylist() for c in ("words", "sizes", "toxic", "check"))):
+            texts = np.split(unplaned(words).astype("<i4"), np.cumsum(unplaned(sizes))[:-1])
+            yield texts, np.frombuffer(toxic, np.uint8).astype(np.int32), np.frombuffer(check, np.uint8).astype(bool)
+
+
 def fit_texts(texts: DataFrame) -> WordCnn:
     """A network fitted on all ``texts`` of :func:`labelled_texts`.
 
@@ -298,50 +336,45 @@ def fit_texts(texts: DataFrame) -> WordCnn:
                                              ["words", "toxic", "check"])
 
     table = written(texts.select("text", "toxic", "check").mapInArrow(indexed, "words binary, toxic int, check boolean")
-                    .repartition(tasks, "words"), "indexed")
-    fit = table.where(fitted).repartition(tasks, "words")
+                    .repartition(tasks, "words").mapInArrow(_one_row, "words binary, sizes binary, toxic binary, check binary"), "indexed")
     epochs = int(np.clip(-(-SEEN // rows), 2, 6))
     for e in range(epochs):
         shared = share(model)
 
         def learn(stream, shared=shared, rate=RATE * (1 - e / epochs), seed=e):
-            index, toxic = [], []
-            for b in stream:
-                index += [np.frombuffer(x, "<i4") for x in b.column("words").to_pylist()]
-                toxic += b.column("toxic").to_pylist()
-            if not index:
-                return
-            order = sorted(range(len(index)), key=lambda i: (index[i].tobytes(), toxic[i]))
-            own = WordCnn()
-            own.__dict__.update(shared.value.__dict__)
-            own.embedding = own.embedding.copy()
-            before = own.vector()
-            own.epoch([index[i] for i in order], np.array(toxic)[order], rate, seed)
-            moved = ((own.vector() - before) * len(index)).astype("<f4")
-            for c in range(0, len(moved), CHUNK):
-                if moved[c : c + CHUNK].any():
-                    yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([moved[c : c + CHUNK].tobytes()], pa.binary())], ["chunk", "moved"])
-
-        sums = fit.mapInArrow(learn, "chunk long, moved binary").groupBy("chunk").applyInPandas(_add_chunks, "chunk long, moved binary")
+            for index, toxic, check in _texts_of(stream):
+                order = sorted(np.flatnonzero(~check | both), key=lambda i: (index[i].tobytes(), toxic[i]))
+                if not order:
+                    continue
+                own = WordCnn()
+                own.__dict__.update(shared.value.__dict__)
+                own.embedding = own.embedding.copy()
+                before = own.vector()
+                own.epoch([index[i] for i in order], toxic[order], rate, seed)
+                for c, moved in _changed(((own.vector() - before) * len(order)).astype("<f4")):
+                    yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([moved], pa.binary())], ["chunk", "moved"])
+
+        sums = table.mapInArrow(learn, "chunk long, moved binary").groupBy("chunk").applyInPandas(_add_chunks, "chunk long, moved binary")
         v = model.vector().astype(float)
         for r in sums.collect():
-            part = np.frombuffer(bytes(r["moved"]), "<f4")
+            part = np.frombuffer(bytes(r["moved"]), "<f4")[: len(v) - r["chunk"]]
             v[r["chunk"] : r["chunk"] + len(part)] += part / n_fit.sum()
         model.set_vector(v)
     shared = share(model)
 
     def logits(stream, shared=shared):
         m = shared.value
-        for b in stream:
-            if not b.num_rows:
-                continue
-            part = [np.frombuffer(x, "<i4") for x in b.column("words").to_pylist()]
-            first = np.append(0, np.cumsum([len(x) for x in part]))
-            flat = np.concatenate(part)
-            z = np.round(m.logits(flat, first) * STEPS_PER_LOGIT).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(m.language(flat, first)), pa.array(z), b.column("toxic")], ["lang", "z", "toxic"])
-
-    checked = (table if both else table.where("check")).mapInArrow(logits, "lang long, z long, toxic int")
+        for index, toxic, check in _texts_of(stream):
+            used = np.flatnonzero(check | both)
+            for rows in np.split(used, range(512, len(used), 512)):
+                if not len(rows):
+                    continue
+                first = np.append(0, np.cumsum([len(index[i]) for i in rows]))
+                flat = np.concatenate([index[i] for i in rows])
+                z = np.round(m.logits(flat, first) * STEPS_PER_LOGIT).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(m.language(flat, first)), pa.array(z), pa.array(toxic[rows])], ["lang", "z", "toxic"])
+
+    checked = table.mapInArrow(logits, "lang long, z long, toxic int")
     found = checked.groupBy("lang", "z", "toxic").agg(F.count("*").alias("n")).toArrow()
     lang, z, toxic, n = (found.column(c).to_numpy() for c in ("lang", "z", "toxic", "n"))
     model.set_thresholds(lang, z / STEPS_PER_LOGIT, toxic, n)

@@ -371,6 +371,23 @@ def test_toxicity_network(spark):
     assert {r["predicted"] for r in empty.collect()} == {0}
 
 
+def test_toxicity_tasks_send_only_what_they_changed():
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    moved = np.zeros((5, 20 * toxicity.CHUNK + 7), "<f4")
+    for m in moved:
+        m[rng.integers(0, moved.shape[1], 40)] = rng.normal(size=40)
+    moved[0, -1] = 3
+    sent = pd.DataFrame([r for m in moved for r in toxicity._changed(m)], columns=["chunk", "moved"])
+    # Numbers that didn't change cost a bit, and chunks without a change nothing.
+    assert sent["moved"].map(len).sum() <= len(sent) * toxicity.CHUNK // 8 + 41 * 5 * 4
+    got = np.zeros(21 * toxicity.CHUNK, "<f4")
+    for c, rows in sent.groupby("chunk"):
+        got[c : c + toxicity.CHUNK] = np.frombuffer(toxicity._add_chunks(rows)["moved"][0], "<f4")
+    assert np.allclose(got[: moved.shape[1]], moved.sum(axis=0)) and not got[moved.shape[1] :].any()
+
+
 def test_toxicity_counts_every_labelled_text(spark, monkeypatch):
     """Words of the last of many texts and of the end of a long one are known, and tasks share what they learn."""
     monkeypatch.setattr(toxicity, "TEXTS_PER_TASK", 1500)
