@@ -186,6 +186,23 @@ def test_search_by_pattern_equals_brute_force(spark, monkeypatch, slots):
             assert got.get(i, {}) == plain_reach(at, times, x, y, start, start + duration, most)
 
 
+def test_rounds_carry_numbers_and_shuffle_nothing_twice(spark, monkeypatch):
+    """Boardings hold no walk and no parent, and known ready times aren't dealt again after they were grouped."""
+    kept, keep = {}, T.written_with_count
+
+    def spy(df, label="step"):
+        kept.setdefault(label, []).append(df)
+        return keep(df, label)
+
+    monkeypatch.setattr(T, "written_with_count", spy)
+    at, times = lines_of_service()
+    stops = spark.createDataFrame([(s, *p) for s, p in at.items()], "stop_id long, x long, y long")
+    visits = spark.createDataFrame(times, "trip_id long, seq long, stop_id long, arrival long, departure long")
+    T.reach(spark.createDataFrame([(1, 0, 0, 900, 4000)], "request_id long, x long, y long, start long, duration long"), T.Network(stops, visits))
+    assert set(kept["boards"][0].columns) == {*T.REQ, "trip_id", "seq", "boardings", "until_seq"}
+    assert not [c for df in kept["ready"] for c, t in df.select(*T.REQ, "place_id").dtypes if t == "double"]
+
+
 def test_departures_follow_within_patterns_that_no_trip_overtakes(spark):
     at, times = lines_of_service()
     visits = spark.createDataFrame([(*t, t[0] % 2) for t in times], "trip_id long, seq long, stop_id long, arrival long, departure long, mode int")
