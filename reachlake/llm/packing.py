@@ -12,9 +12,11 @@ import re
 import struct
 import zlib
 from collections.abc import Sequence
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from reachlake.llm.bpe import byte_letters
-from reachlake.llm.textvec import batches_of, kept_columns
+from reachlake.llm.textvec import batches_of, kept_columns, utf8
 from reachlake.session import written
 
 END_ID = 0
@@ -176,6 +178,7 @@ def pack_pieces(pieces: DataFrame, size: int) -> DataFrame:
 
 # Words of printable ASCII and Latin letters: they hold no mark that could combine with another.
 _LATIN = re.compile(r"[!-~\u00c0-\u024f]+")
+_LATIN_LINES = re.compile(r"[\n!-~\u00c0-\u024f]+")
 
 
 # Texts of ASCII and letters with lead bytes C3-C9, for which marks can be told from letters by bytes.
@@ -198,15 +201,52 @@ def parted(text: bytes) -> bytes:
     return text
 
 
+NO_RANK = 1 << 48  # above any rank and id
+
+
+class PairTable:
+    """Rank and id of merges by pair, for many pairs at once: open addressing over numpy arrays."""
+
+    def __init__(self, merges: dict[int, int]):
+        keys, values = (np.fromiter(x, np.int64, len(merges)) for x in (merges.keys(), merges.values()))
+        self.bits = max(8, (8 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.values = np.full(1 << self.bits, NO_RANK, np.int64)
+        slot = self.slots(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slot] == -1)
+            self.keys[slot[free]] = keys[free]  # of several in one slot the last stays
+            placed = self.keys[slot] == keys
+            self.values[slot[placed]] = values[placed]
+            keys, values, slot = keys[~placed], values[~placed], (slot[~placed] + 1) & (len(self.keys) - 1)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """``rank << 20 | id`` of each pair, or ``NO_RANK``."""
+        slot = self.slots(keys)
+        there, out = self.keys.take(slot), self.values.take(slot)
+        out[there != keys] = NO_RANK
+        look = np.flatnonzero((there != keys) & (there != -1))
+        while len(look):
+            slot[look] = (slot[look] + 1) & (len(self.keys) - 1)
+            there = self.keys[slot[look]]
+            hit = there == keys[look]
+            out[look[hit]] = self.values[slot[look[hit]]]
+            look = look[~hit & (there != -1)]
+        return out
+
+
 class WordIds:
     """Token ids of whole texts as the tokenizers library gives them, each different word encoded once.
 
     The vocabulary drops white space and never joins across it, so ids of a text are those of its
     runs of other bytes; added tokens hold no white space either. New words in Latin letters are
-    merged here from the vocabulary's own table; the library encodes all others. Caches are bounded.
+    merged here, many at once, from the vocabulary's own table; the library encodes all others. Caches are bounded.
     """
 
-    def __init__(self, spec: str, max_cached: int = 400_000):
+    def __init__(self, spec: str, max_cached: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
@@ -218,64 +258,110 @@ class WordIds:
         end = model["end_of_word_suffix"]
         split = whole["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(split)
-        self.inner = [vocab[c] for c in byte_letters()]
-        self.last = [vocab[c + end] for c in byte_letters()]
-        self.merges: dict[int, int] = {}
+        self.inner = np.array([vocab[c] for c in byte_letters()], np.int64)
+        self.last = np.array([vocab[c + end] for c in byte_letters()], np.int64)
+        merges: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault(vocab[a] << 20 | vocab[b], rank << 20 | vocab[a + b])
+            merges.setdefault(vocab[a] << 20 | vocab[b], rank << 20 | vocab[a + b])
+        self.merges = PairTable(merges)
         self.cache: dict[bytes, bytes] = {}
         self.of_piece: dict[str, bytes] = {}
         self.max_cached = max_cached
 
-    def merge(self, piece: str) -> bytes:
-        raw = piece.encode()
-        ids = [*map(self.inner.__getitem__, raw)]
-        ids[-1] = self.last[raw[-1]]
-        find, none = self.merges.get, 1 << 62
-        ranks = [find(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
-        while ranks and (best := min(ranks)) < none:
-            i = ranks.index(best)
-            ids[i] = best & 0xFFFFF
-            del ids[i + 1], ranks[i]
-            if i < len(ranks):
-                ranks[i] = find(ids[i] << 20 | ids[i + 1], none)
-            if i:
-                ranks[i - 1] = find(ids[i - 1] << 20 | ids[i], none)
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def word(self, raw: bytes) -> bytes:
-        text = raw.decode()
-        if len(raw) > 64 or not _LATIN.fullmatch(text) or any(t in raw for t in self.added):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
-        text = text.lower()
-        out = []
-        for p in [text] if text.isalpha() else self.pieces.findall(text):
-            got = self.of_piece.get(p)
-            if got is None:
-                got = self.of_piece[p] = self.merge(p)
-            out.append(got)
-        return b"".join(out)
+    def merge(self, pieces: Sequence[str]) -> list[bytes]:
+        """Ids of each piece (of fewer than 256 bytes): the lowest rank first, leftmost first, one merge a piece and round."""
+        data, size = utf8(pa.array(pieces, pa.string()))
+        size = np.diff(size)
+        begin = np.cumsum(size) - size
+        out = self.inner.take(data)
+        out[begin + size - 1] = self.last.take(data[begin + size - 1])
+        # What is left of the pieces that may still merge: symbols, ranks of pairs by their left one, and which pieces.
+        symbols, piece, left = out, np.arange(len(pieces)), size.copy()
+        rank = np.full(len(out), NO_RANK)
+        rank[:-1] = self.merges.find(out[:-1] << 20 | out[1:])
+        rank[begin + size - 1] = NO_RANK
+        first = begin
+        while len(piece):
+            place = np.arange(len(symbols)) - np.repeat(first, left)
+            best = np.minimum.reduceat(rank << 8 | place, first)
+            done = best >> 8 == NO_RANK
+            gone = np.repeat(done, left)
+            ended = np.flatnonzero(gone)
+            out[np.repeat(begin[piece[done]], left[done]) + place[ended]] = symbols[ended]
+            size[piece[done]] = left[done]
+            symbols, rank = symbols[~gone], rank[~gone]
+            piece, left, best = piece[~done], left[~done], best[~done]
+            if not len(piece):
+                break
+            at = np.cumsum(left) - left + (best & 255)
+            symbols[at] = best >> 8 & 0xFFFFF
+            rank[at] = rank[at + 1]
+            stays = np.ones(len(symbols), bool)
+            stays[at + 1] = False
+            symbols, rank = symbols[stays], rank[stays]
+            at -= np.arange(len(at))  # one symbol of each piece before it is gone
+            left -= 1
+            first = np.cumsum(left) - left
+            inner = at[at + 1 < first + left]
+            rank[inner] = self.merges.find(symbols[inner] << 20 | symbols[inner + 1])
+            rank[at[at + 1 == first + left]] = NO_RANK
+            inner = at[at > first]
+            rank[inner - 1] = self.merges.find(symbols[inner - 1] << 20 | symbols[inner])
+        raw = out.astype("<u4").tobytes()
+        return [raw[4 * i : 4 * (i + n)] for i, n in zip(begin.tolist(), size.tolist())]
+
+    def learn(self, words: Sequence[bytes]) -> None:
+        """Put the ids of new words into the cache."""
+        if not words:
+            return
+        whole = b"\n".join(words)
+        texts = whole.decode().split("\n")
+        if max(map(len, words)) > 64 or not _LATIN_LINES.fullmatch(whole.decode()) or any(t in whole for t in self.added):
+            own = [len(raw) <= 64 and bool(_LATIN.fullmatch(text)) and not any(t in raw for t in self.added) for raw, text in zip(words, texts)]
+            for raw, text, here in zip(words, texts, own):
+                if not here:
+                    ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                    self.cache[raw] = struct.pack(f"<{len(ids)}I", *ids)
+            words, texts = [*compress(words, own)], [*compress(texts, own)]
+        texts = [*map(str.lower, texts)]
+        one = [*map(str.isalpha, texts)]
+        cut = {raw: self.pieces.findall(text) for raw, text, alone in zip(words, texts, one) if not alone}
+        known = self.of_piece
+        new = [*set(compress(texts, one)).union(*cut.values()).difference(known)]
+        if new:
+            known.update(zip(new, self.merge(new)))
+        self.cache.update(zip(compress(words, one), map(known.__getitem__, compress(texts, one))))
+        for raw, pieces in cut.items():
+            self.cache[raw] = b"".join(map(known.__getitem__, pieces))
 
     def encode(self, texts: Sequence[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit numbers."""
-        cache, out = self.cache, []
-        for t in texts:
-            words = parted(t).split()
-            try:
-                out.append(b"".join(map(cache.__getitem__, words)))
-                continue
-            except KeyError:
-                pass
-            if len(cache) > self.max_cached:
-                cache.clear()
-            if len(self.of_piece) > self.max_cached // 2:
-                self.of_piece.clear()
-            for w in set(words).difference(cache):
-                cache[w] = self.word(w)
-            out.append(b"".join(map(cache.__getitem__, words)))
-        return out
+        """Ids of each text as little-endian 32-bit numbers.
+
+        Words of all texts are numbered by Arrow, so that each different one is looked up once a call.
+        """
+        cache = self.cache
+        words = pc.ascii_split_whitespace(pa.array([*map(parted, texts)], pa.large_binary()).cast(pa.large_string()))
+        numbered = words.flatten().dictionary_encode()
+        if len(cache) > self.max_cached:
+            cache.clear()
+        if len(self.of_piece) > self.max_cached // 2:
+            self.of_piece.clear()
+        known = numbered.dictionary.cast(pa.large_binary()).to_pylist()
+        self.learn([w for w in known if w not in cache])
+        ids = [*map(cache.__getitem__, known)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        all_ids = np.frombuffer(b"".join(ids), "<u4")
+        if not len(all_ids):
+            return [b""] * len(texts)
+        number = numbered.indices.to_numpy()
+        count = size.take(number)
+        end = np.cumsum(count)
+        # From the place of an id in the texts to that among the ids of all different words.
+        shift = (np.cumsum(size) - size).take(number) - (end - count)
+        flat = all_ids.take(np.repeat(shift, count) + np.arange(end[-1]))
+        bounds = np.append(0, end).take(words.offsets.to_numpy()).tolist()
+        return [flat[i:j].tobytes() for i, j in zip(bounds, bounds[1:])]
 
 
 _LOADED: dict[tuple, WordIds] = {}

@@ -74,6 +74,20 @@ def test_word_ids_equal_the_library():
         assert np.frombuffer(own.encode([t.encode()])[0], "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
 
 
+def test_many_pieces_are_merged_at_once():
+    from tokenizers import Tokenizer
+
+    path = packing.default_vocabulary()
+    own, lib = packing.WordIds(open(path, encoding="utf-8").read()), Tokenizer.from_file(path)
+    pieces = sorted({w.lower() for t in fuzz(600, 5) for w in t.split() if w.lower().isalpha() and packing._LATIN.fullmatch(w)} | {"a", "ab", "aaaaaaaa", "thethethe", "\u00e9" * 40})
+    for p, ids in zip(pieces, own.merge(pieces)):
+        assert np.frombuffer(ids, "<u4").tolist() == lib.encode(p, add_special_tokens=False).ids, p
+    texts = [x or "" for x in ODD] + fuzz(300, 6)
+    for t, ids in zip(texts, own.encode([t.encode() for t in texts])):
+        assert np.frombuffer(ids, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
+    assert own.encode([]) == [] and own.encode([b"", b" \n"]) == [b"", b""]
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 500, 50_000])
 def test_plan_uses_every_piece_once_and_few_sequences(n):
     rng = np.random.default_rng(n)
