@@ -219,10 +219,12 @@ def identify(docs: DataFrame, model: ByteGru, id_col: str = "doc_id", text_col:
     unless named in ``keep`` (our name -> theirs).
     """
     keep = keep or {}
-    rows = kept_columns(docs, {"id": id_col, "text": text_col, **keep})
+    # A kept column that is the text itself is sent once.
+    of = {n: "text" if theirs == text_col else n for n, theirs in keep.items()}
+    rows = kept_columns(docs, {"id": id_col, "text": text_col, **{n: c for n, c in keep.items() if of[n] == n}})
     rows = rows.withColumn("_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    extra = [f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in keep]
+    extra = [f"`{n}` {rows.schema[of[n]].dataType.simpleString()}" for n in keep]
     schema = ", ".join([f"`{id_col}` {rows.schema['id'].dataType.simpleString()}", *extra, "lang_pred string, score double, label_share double"])
 
     def run(stream):
@@ -241,7 +243,7 @@ def identify(docs: DataFrame, model: ByteGru, id_col: str = "doc_id", text_col:
                 score[at] = np.clip(prob[np.arange(len(at)), best], 0, 1)
                 share[at] = labels[np.arange(len(at)), best] / labels.sum(axis=1)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id").combine_chunks(), *[b.column(n).combine_chunks() for n in keep],
+                [b.column("id").combine_chunks(), *[b.column(of[n]).combine_chunks() for n in keep],
                  pa.array(list(names[pick]), pa.string()), pa.array(score), pa.array(share)],
                 [id_col, *keep, "lang_pred", "score", "label_share"])
 

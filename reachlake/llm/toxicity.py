@@ -396,9 +396,11 @@ def score_texts(docs: DataFrame, model: WordCnn, id_col: str = "doc_id", text_co
     other columns are ignored unless named in ``keep`` (our name -> theirs).
     """
     keep = keep or {}
-    rows = kept_columns(docs, {"id": id_col, "text": text_col, **keep})
+    # A kept column that is the text itself is sent once.
+    of = {n: "text" if theirs == text_col else n for n, theirs in keep.items()}
+    rows = kept_columns(docs, {"id": id_col, "text": text_col, **{n: c for n, c in keep.items() if of[n] == n}})
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    extra = [f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in keep]
+    extra = [f"`{n}` {rows.schema[of[n]].dataType.simpleString()}" for n in keep]
     schema = ", ".join([f"`{id_col}` {rows.schema['id'].dataType.simpleString()}", *extra, "score double, predicted int"])
 
     def run(stream):
@@ -407,7 +409,7 @@ def score_texts(docs: DataFrame, model: WordCnn, id_col: str = "doc_id", text_co
             words = Words(*utf8(b.column("text")), breaks=MARKS)
             score = model.scores(model.lookup(words.hash), words.first)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id").combine_chunks(), *[b.column(n).combine_chunks() for n in keep], pa.array(score),
+                [b.column("id").combine_chunks(), *[b.column(of[n]).combine_chunks() for n in keep], pa.array(score),
                  pa.array((score >= 0.5).astype(np.int32))], [id_col, *keep, "score", "predicted"])
 
     return rows.mapInArrow(run, schema)

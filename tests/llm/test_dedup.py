@@ -321,6 +321,22 @@ def test_language_network(spark):
     assert {r["lang_pred"] for r in language_id.identify(df, none, id_col="id").collect()} == {"und"}
 
 
+@pytest.mark.parametrize("module", ["language_id", "toxicity"])
+def test_kept_text_is_sent_once(spark, monkeypatch, module):
+    module = {"language_id": language_id, "toxicity": toxicity}[module]
+    sent, real = [], module.kept_columns
+    monkeypatch.setattr(module, "kept_columns", lambda df, needed: sent.append(dict(needed)) or real(df, needed))
+    df = spark.createDataFrame([(1, "one text", "en"), (2, None, None)], "doc_id long, text string, lang string")
+    if module is language_id:
+        out = language_id.identify(df, language_id.ByteGru(["en", "de"]), keep={"_c0": "text", "_c1": "lang"})
+    else:
+        none = toxicity.train(df, spark.createDataFrame([], "doc_id long, toxic int"))
+        sent.clear()
+        out = toxicity.score_texts(df, none, keep={"_c0": "text", "_c1": "lang"})
+    assert sorted((r["doc_id"], r["_c0"], r["_c1"]) for r in out.collect()) == [(1, "one text", "en"), (2, None, None)]
+    assert list(sent[-1].values()).count("text") == 1
+
+
 def test_gradients_of_the_language_network():
     rng = np.random.default_rng(2)
     model = language_id.ByteGru(["a", "b", "c"], hidden=3)
