@@ -181,7 +181,7 @@ def walks_sql(edges, weight, rounds, seeds="select source, id, 0.0::double d fro
 @query("hop_levels", D.with_views(["hop_edges", "starts"], walks_sql("hop_edges", "1", 6) +
        " select source, id, cast(cost as int) as level from best"))
 def hop_levels(spark, sf_dir):
-    return P.hop_levels(starts(spark, sf_dir), D.hop_edges(spark, sf_dir))
+    return P.hop_levels(starts(spark, sf_dir), written(D.hop_edges(spark, sf_dir), "edges"))
 
 
 @query("has_path", D.with_views(["dag_edges", "starts"], """with recursive r(a, id) as (
@@ -290,7 +290,7 @@ def reverse_topological(spark, sf_dir):
 
 @query("shortest_paths", D.with_views(["hop_edges", "starts"], walks_sql("hop_edges", "weight", 8) + " select * from best"))
 def shortest_paths(spark, sf_dir):
-    return P.shortest_paths(starts(spark, sf_dir), D.hop_edges(spark, sf_dir)).select("source", "id", "cost")
+    return P.shortest_paths(starts(spark, sf_dir), written(D.hop_edges(spark, sf_dir), "edges")).select("source", "id", "cost")
 
 
 @query("shortest_path_to_goal", D.with_views(["hop_edges", "starts"], walks_sql("hop_edges", "weight", 8) + """

@@ -101,10 +101,10 @@ def routes(od_pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[Dat
     ``results(od_id, cost, status, start_node, end_node)``. All pairs advance together; labels that
     cannot beat a cost already found at their goal are dropped with the straight distance as bound.
     """
-    usable = connected_nodes(nodes, edges)
+    usable = written(connected_nodes(nodes, edges), "usable")
     start = snap(od_pairs.select("od_id", F.col("start_lat").alias("lat"), F.col("start_lon").alias("lon")), usable, "od_id")
     end = snap(od_pairs.select("od_id", F.col("end_lat").alias("lat"), F.col("end_lon").alias("lon")), usable, "od_id")
-    ways = directed(edges, nodes)
+    ways = written(directed(edges, nodes), "ways")
     asked = od_pairs.join(start.select("od_id", F.col("node_id").alias("start_node")), "od_id").join(
         end.select("od_id", F.col("node_id").alias("end_node"), F.col("node_lat").alias("_lat"), F.col("node_lon").alias("_lon")), "od_id")
     asked = written(asked.drop("end_lat", "end_lon").withColumnsRenamed({"_lat": "end_lat", "_lon": "end_lon"}), "asked")
