@@ -5,8 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from conftest import rows
-from reachlake.operators import skew
-from reachlake.operators.fixpoint import relax
+from reachlake.operators import grid, skew
+from reachlake.operators.fixpoint import Adjacency, relax
 from reachlake.operators.grid import nearest_points, within_distance
 
 
@@ -100,3 +100,29 @@ def test_lost_deltas_merge(spark):
     labels, rounds = relax(spark.createDataFrame([(0, 0.0)], "id long, cost double"), line)
     assert rows(labels.select("id", "cost")) == [(i, float(i)) for i in range(31)]
     assert rounds == 31
+
+
+def test_piles_are_expanded_in_even_tasks(spark, monkeypatch):
+    rnd = random.Random(8)
+    spots = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(6)]
+    pts = [(i, *spots[0 if i < 40 else i % 6]) for i in range(90)]
+    p = spark.createDataFrame(pts, "id int, x long, y long")
+    q = p.withColumnRenamed("id", "other")
+    want = sorted((a[0], b[0]) for a in pts for b in pts if (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 <= 6400)
+    monkeypatch.setattr(grid, "ROWS_PER_TASK", 400)
+    monkeypatch.setattr(grid, "LIST_ROWS", 7)
+    out = within_distance(p, q, 80)
+    assert out.columns == ["x", "y", "id", "dist", "other"]
+    assert rows(out.select("id", "other")) == want
+    sizes = [r[0] for r in out.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert max(sizes) < len(want) / 2
+
+
+def test_a_frontier_does_not_read_other_edges(spark):
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(100)], "src long, dst long, weight double")
+    kept = Adjacency(edges)
+    met = kept.join(spark.createDataFrame([(3,), (5,)], "src long"), ends=(3, 5))
+    assert rows(met.select("src", "dst")) == [(3, 4), (5, 6)]
+    assert kept.edges.where("src between 3 and 5").count() == 3
+    assert "src#" in met._jdf.queryExecution().optimizedPlan().toString() and ">= 3" in met._jdf.queryExecution().optimizedPlan().toString()
+    kept.release()
