@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from reachlake.operators import grid
 from reachlake.operators.asof import next_departure
 from reachlake.operators.profile import between_marks, runs
 from reachlake.operators.shapes import place_on_shape, shape_slices
@@ -213,3 +214,50 @@ def test_departures_follow_within_patterns_that_no_trip_overtakes(spark):
         assert after == (None if line == 5 or k == 0 else by_trip[trip - 1, seq])
     classes = {(r.trip_id, r.seq): r.after for r in T.following(visits, ["mode"]).collect()}
     assert classes[3, 0] == by_trip[1, 0] and classes[2, 0] is None
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Joins shuffle both sides, as those of large tables do."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def shuffles(df):
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    return [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+
+
+def test_stops_of_short_and_long_shapes(spark, monkeypatch, shuffled):
+    line = [(s, i, i * 10.0, float(i % 3), (i + 1) * 10.0, float((i + 1) % 3)) for s in ("a", "b") for i in range(6)]
+    segs = spark.createDataFrame(line, "shape_id string, seg long, x1 double, y1 double, x2 double, y2 double")
+    stops = spark.createDataFrame([(t, s, x, y) for t, (s, x, y) in enumerate(
+        [("a", 3.0, 1.0), ("a", 3.0, 1.0), ("b", 41.0, 9.0), ("b", 90.0, 0.0), ("c", 1.0, 1.0), ("a", None, 2.0), (None, 1.0, 1.0)])],
+        "trip_id int, shape_id string, x double, y double")
+    monkeypatch.setattr(grid, "FEW_ITEMS", 2)
+    cells = place_on_shape(stops, segs)
+    monkeypatch.setattr(grid, "FEW_ITEMS", 6)
+    lists = place_on_shape(stops, segs)
+    assert rows(lists) == rows(cells) and len(rows(lists)) == 4
+    assert lists.columns == cells.columns and lists.dtypes == cells.dtypes
+    q = stops.where("trip_id < 5").select("shape_id", "x", "y")
+    few = rows(grid.nearest(q, segs, ["seg"], 3, ["shape_id"]))
+    monkeypatch.setattr(grid, "FEW_ITEMS", 2)
+    assert few == rows(grid.nearest(q, segs, ["seg"], 3, ["shape_id"]))
+    # No query is repeated for nine cells, and a stop is shuffled once.
+    assert len(shuffles(lists)) == 2 < len(shuffles(cells))
+
+
+def test_points_of_slices_are_not_shuffled(spark, shuffled):
+    pts = spark.createDataFrame([(s, i, i * 10.0, float(i * i)) for s in ("s", "t") for i in range(5)],
+                                "shape_id string, i long, x double, y double")
+    legs = spark.createDataFrame([("l", "s", 0.5, 3.25), ("m", "s", 1.0, 3.0), ("n", "t", 4.0, 4.0), ("o", "t", 2.5, 3.5)],
+                                 "leg_id string, shape_id string, a double, b double")
+    cut = shape_slices(legs, pts)
+    assert rows(cut) == [
+        ("l", 0, 5.0, 0.5), ("l", 1, 10.0, 1.0), ("l", 2, 20.0, 4.0), ("l", 3, 30.0, 9.0), ("l", 4, 32.5, 10.75),
+        ("m", 1, 10.0, 1.0), ("m", 2, 20.0, 4.0), ("m", 3, 30.0, 9.0), ("n", 4, 40.0, 16.0),
+        ("o", 2, 25.0, 6.5), ("o", 3, 30.0, 9.0), ("o", 4, 35.0, 12.5)]
+    assert len(shuffles(cut)) == 2 and not any("leg_id" in x for x in shuffles(cut))
