@@ -12,6 +12,7 @@ from reachlake.operators.fixpoint import relax
 from reachlake.operators.graph import basic as G
 from reachlake.operators.graph import components as C
 from reachlake.operators.graph import paths as P
+from reachlake.sources import derived as D
 
 def graph(spark, pairs, weight=None):
     data = [(int(a), int(b), float(w)) for a, b, w in ((*p, 1.0) if len(p) == 2 else p for p in pairs)]
@@ -240,3 +241,22 @@ def test_searches_end_at_their_goals(spark):
     assert rounds <= 7 and labels.count() <= 8
     pairs = spark.createDataFrame([(0, 2), (0, 101), (5, 3), (7, 7), (2, 40)], "a long, b long")
     assert rows(P.has_path(pairs, g)) == [(0, 2, True), (0, 101, True), (2, 40, True), (5, 3, False), (7, 7, True)]
+
+
+def test_hops_shuffle_the_lines_once(spark, tmp_path, capsys):
+    lines = [(o, n, (o * 7 + n * 3) % 11) for o in range(40) for n in range(o % 5)] + [(3, 1, 0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    hops = D.hop_edges(spark, str(tmp_path))
+    hops.explain()
+    # Lines are dealt by order once, hops by their ends.
+    assert capsys.readouterr().out.count("Exchange") == 2
+    stop = {}
+    for o, n, s in lines:
+        stop[o, n] = min(s, stop.get((o, n), s))
+    want = {(stop[o, a], stop[o, b]) for o, a in stop for b in [min((n for p, n in stop if p == o and n > a), default=None)] if b is not None}
+    assert {(r.src, r.dst) for r in hops.collect()} == {(a, b) for a, b in want if a != b}
+    spark.conf.set("reachlake.hot.rows", "3")
+    try:
+        assert {(r.src, r.dst) for r in D.hop_edges(spark, str(tmp_path)).collect()} == {(a, b) for a, b in want if a != b}
+    finally:
+        spark.conf.unset("reachlake.hot.rows")

@@ -1,6 +1,7 @@
 """The paths for hot keys give the same rows as the plain ones."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from conftest import rows
 from reachlake.operators import grid, skew
 from reachlake.operators.fixpoint import Adjacency, relax
 from reachlake.operators.grid import nearest_points, within_distance
+from reachlake.session import written
 
 
 def sample(spark):
@@ -126,3 +128,41 @@ def test_a_frontier_does_not_read_other_edges(spark):
     assert kept.edges.where("src between 3 and 5").count() == 3
     assert "src#" in met._jdf.queryExecution().optimizedPlan().toString() and ">= 3" in met._jdf.queryExecution().optimizedPlan().toString()
     kept.release()
+
+
+def shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = disk.getAllFiles().iterator()
+    found = set()
+    while files.hasNext():
+        name = files.next().getName()
+        if name.startswith("shuffle_"):
+            found.add(name)
+    return found
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s")).repartition("s")
+    before = shuffle_files(spark)
+    kept = written(df)
+    for _ in range(50):
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
+    assert rows(kept) == rows(df)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_hot_keys_are_found_behind_their_hashes(spark, monkeypatch):
+    df = sample(spark)
+    monkeypatch.setattr(skew, "COUNTED_HASHES", 2)
+    spark.conf.set("reachlake.hot.rows", "60")
+    try:
+        many = df.groupBy("k").count().where("count > 60").count()
+        assert skew.any_hot(df, ["k"]) and skew.hot_keys(df, ["k"]).count() == many
+        # Two hashes hold more than 60 of these rows each, but no key does.
+        assert not skew.any_hot(df, ["i"]) and skew.hot_keys_and_rows(df, ["i"]) == (None, 200)
+    finally:
+        spark.conf.unset("reachlake.hot.rows")
