@@ -260,3 +260,12 @@ def test_hops_shuffle_the_lines_once(spark, tmp_path, capsys):
         assert {(r.src, r.dst) for r in D.hop_edges(spark, str(tmp_path)).collect()} == {(a, b) for a, b in want if a != b}
     finally:
         spark.conf.unset("reachlake.hot.rows")
+
+
+def test_closure_reads_its_edges_once(spark, tmp_path, monkeypatch):
+    graph(spark, [(0, 1), (1, 2), (2, 3), (5, 6)]).write.parquet(f"{tmp_path}/e")
+    used, plain = [], P._source_words
+    monkeypatch.setattr(P, "_source_words", lambda e: used.append(e.inputFiles()) or plain(e))
+    assert rows(P.closure(spark.read.parquet(f"{tmp_path}/e"))) == [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3), (5, 6)]
+    # The search works on a table of its own, not on the input again and again.
+    assert not any(str(tmp_path) in f for f in used[0])
