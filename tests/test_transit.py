@@ -1,5 +1,8 @@
 """Searches on tiny networks worked out by hand, and routes against brute force."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -261,3 +264,61 @@ def test_points_of_slices_are_not_shuffled(spark, shuffled):
         ("m", 1, 10.0, 1.0), ("m", 2, 20.0, 4.0), ("m", 3, 30.0, 9.0), ("n", 4, 40.0, 16.0),
         ("o", 2, 25.0, 6.5), ("o", 3, 30.0, 9.0), ("o", 4, 35.0, 12.5)]
     assert len(shuffles(cut)) == 2 and not any("leg_id" in x for x in shuffles(cut))
+
+
+def searched(stops, times, x, y, start, until, most):
+    """Earliest arrivals by rounds over all walks and trips: stop -> (t, boardings)."""
+    place = {s: (a, b) for s, a, b in stops}
+    trips = {}
+    for trip, seq, stop, arrival in times:
+        trips.setdefault(trip, []).append((seq, stop, arrival))
+    ready = {s: start + math.dist((x, y), p) / T.STRAIGHT_SPEED + 35 for s, p in place.items() if math.dist((x, y), p) <= 800}
+    best = {}
+    for k in range(1, most + 1):
+        new = {}
+        for visits in trips.values():
+            for seq, stop, arrival in visits:
+                if stop in ready and ready[stop] <= arrival <= until:
+                    for later, to, t in visits:
+                        if later > seq and t <= until and t < min(new.get(to, math.inf), best.get(to, (math.inf,))[0]):
+                            new[to] = t
+        best |= {s: (float(t), k) for s, t in new.items()}
+        for s, (t, _) in best.items():
+            for to, p in place.items():
+                if (d := math.dist(place[s], p)) <= 800:
+                    ready[to] = min(ready.get(to, math.inf), t + d / T.STRAIGHT_SPEED + 35)
+    return best
+
+
+@pytest.mark.parametrize("sent", [T.WALKS_SENT, 0])
+def test_search_equals_brute_force_and_skips_what_leads_nowhere(spark, monkeypatch, sent):
+    monkeypatch.setattr(T, "WALKS_SENT", sent)
+    rnd = random.Random(5)
+    stops = [(s, rnd.randrange(2500), rnd.randrange(2500)) for s in range(30)]
+    times = [(trip, q, rnd.randrange(28), 1000 + trip * 17 % 2000 + q * 150) for trip in range(90) for q in range(1 + trip % 4)]
+    # Trips of one pattern, the same up to a last stop that differs, and one that goes back in time.
+    times += [(trip, q, s, 1200 + trip + q * 200) for trip, last in ((200, 7), (210, 7), (220, 9)) for q, s in enumerate((3, 5, last))]
+    times += [(300, 0, 4, 2500), (300, 1, 6, 2400), (300, 2, 8, 2600)]
+    net = T.Network(spark.createDataFrame(stops, "stop_id long, x long, y long"),
+                    spark.createDataFrame(times, "trip_id long, seq long, stop_id long, arrival long"))
+    ends = {trip: max(q for p, q, _, _ in times if p == trip) for trip, *_ in times}
+    assert not [r for r in net.boardable().collect() if ends[r.trip_id] == r.seq]
+    gone = {s for s, *_ in stops} - {stop for trip, q, stop, _ in times if q < ends[trip]}
+    assert {28, 29} <= gone and not gone & {r.to_place for r in net.walks.collect()}
+    asked = [(i, rnd.randrange(2500), rnd.randrange(2500), 900 + 100 * i, 1500) for i in range(6)]
+    labels = T.reach(spark.createDataFrame(asked, "request_id long, x long, y long, start long, duration long"), net)
+    got = {}
+    for r in T.best_labels(labels, 2).collect():
+        got.setdefault(r.request_id, {})[r.stop_id] = (r.t, r.boardings)
+    for i, x, y, start, duration in asked:
+        assert got.get(i, {}) == searched(stops, times, x, y, start, start + duration, T.MAX_BOARDINGS)
+
+
+def test_a_round_puts_walks_of_a_request_together(spark, city, capsys):
+    stops, times, _ = city
+    net = T.Network(stops, times)
+    labels = T.reach(ask(spark), net)
+    T._least_by_boardings(T._walked(labels, net, 4), [*T.REQ, "place_id"], T.READY, 4).explain()
+    plan = capsys.readouterr().out
+    # Only labels are dealt, by request; what is walked to isn't shuffled.
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(request_id" in plan
