@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reachlake.operators.skew import OrderedScan
+from reachlake.operators.skew import OrderedScan, hot_row_limit, rows_and_bound
 
 
 def next_departure(labels: DataFrame, departures: DataFrame, pattern: Sequence[str]) -> DataFrame:
@@ -26,7 +26,10 @@ def next_departure(labels: DataFrame, departures: DataFrame, pattern: Sequence[s
         *keys, F.col("time").cast("double").alias("at"), F.lit(1).alias("kind"), F.col("seq").cast("long").alias("a"),
         F.col("trip_id").cast("long").alias("b"),
         F.struct(*[F.col(c).cast("long").alias(c) for c in ("time", "seq", "trip_id")]).alias("dep"))
-    scan = OrderedScan(asks.unionByName(buses), keys, ["at", "kind", "a", "b"]).fill_next("next", F.col("dep"))
+    # No key has more rows than its stop has labels and it has departures itself, which are counted before they meet.
+    most = rows_and_bound(labels, ["stop_id"])[1] + rows_and_bound(departures, keys)[1]
+    blocked = False if most <= hot_row_limit(labels.sparkSession) else None
+    scan = OrderedScan(asks.unionByName(buses), keys, ["at", "kind", "a", "b"], blocked).fill_next("next", F.col("dep"))
     return scan.frame().where("kind = 0 and next is not null").select(
         F.col("a").alias("label_id"), *keys, "next.time", "next.seq", "next.trip_id")
 

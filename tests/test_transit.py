@@ -322,3 +322,14 @@ def test_a_round_puts_walks_of_a_request_together(spark, city, capsys):
     plan = capsys.readouterr().out
     # Only labels are dealt, by request; what is walked to isn't shuffled.
     assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(request_id" in plan
+
+
+def test_next_departure_reads_each_key_once(spark, capsys):
+    labels = spark.createDataFrame([(1, 5, 10.0), (2, 5, 21.0), (3, 6, 0.0), (4, 5, 99.0)], "label_id long, stop_id long, ready double")
+    buses = spark.createDataFrame([(5, 0, 20, 1, 7), (5, 0, 21, 0, 8), (5, 1, 10, 0, 9), (6, 0, 3, 2, 7)],
+                                  "stop_id long, mode int, time long, seq long, trip_id long")
+    got = next_departure(labels, buses, ["mode"])
+    got.explain()
+    # A window to the end of the key is worked out anew for every row.
+    assert "unboundedfollowing" not in capsys.readouterr().out
+    assert rows(got.select("label_id", "mode", "time", "trip_id")) == [(1, 0, 20, 7), (1, 1, 10, 9), (2, 0, 21, 8), (3, 0, 3, 7)]
