@@ -1,5 +1,6 @@
 """Searches on tiny networks worked out by hand, and routes against brute force."""
 
+import datetime
 import math
 import random
 
@@ -14,6 +15,7 @@ from reachlake.operators.shapes import place_on_shape, shape_slices
 from reachlake.operators.tiles import pyramid, tiles_in_polygons
 from reachlake.plans import itinerary as I
 from reachlake.plans import transit as T
+from reachlake.streaming.requests import answer
 
 
 @pytest.fixture
@@ -333,3 +335,21 @@ def test_next_departure_reads_each_key_once(spark, capsys):
     # A window to the end of the key is worked out anew for every row.
     assert "unboundedfollowing" not in capsys.readouterr().out
     assert rows(got.select("label_id", "mode", "time", "trip_id")) == [(1, 0, 20, 7), (1, 1, 10, 9), (2, 0, 21, 8), (3, 0, 3, 7)]
+
+
+def test_a_batch_of_requests_is_read_once(spark, tmp_path):
+    cols = "request_id long, ts timestamp, latitude double, longitude double, agencies array<string>, modes array<string>, " \
+           "start_time int, max_search_time double, transfer_penalty_secs long"
+    at = datetime.datetime(2024, 1, 1)
+    spark.createDataFrame([(i, at, 43.0 + i % 3, -79.0, ["A"], ["bus"], 0, 60.0, 0) for i in range(9)], cols).write.parquet(f"{tmp_path}/in")
+    read = []
+
+    def search(batch):
+        read.append(batch.inputFiles())
+        return batch.select("latitude")
+
+    stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
+    answer(stream, search, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert rows(spark.read.parquet(f"{tmp_path}/out").select("latitude")) == [(43.0,), (44.0,), (45.0,)]
+    # Repeats are dropped once: the search reads a written table.
+    assert read and all(files and not any(f"{tmp_path}" in f for f in files) for files in read)
